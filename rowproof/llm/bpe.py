@@ -84,8 +84,9 @@ def _by_position(words: pa.Table, packs: pa.Table, want: tuple[str, ...]) -> Ite
     """(doc id, number of ids, then for each column in want the words' values joined by one space)."""
     import zstandard
 
+    seqs = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), "<u4") for x in packs.column("seq")]
     at = words.column("pos").to_numpy()
-    counts = np.zeros(int(at.max()) + 1 if len(at) else 1, np.int64)
+    counts = np.zeros(1 + max([0, *(int(x.max()) for x in (*seqs, at) if len(x))]), np.int64)  # words without ids aren't in the table
     counts[at] = words.column("n").to_numpy()
     values = []
     for name in want:
@@ -93,8 +94,7 @@ def _by_position(words: pa.Table, packs: pa.Table, want: tuple[str, ...]) -> Ite
         for i, x in zip(at.tolist(), words.column(name).to_pylist(), strict=True):
             column[i] = x
         values.append(column)
-    for row in range(packs.num_rows):
-        seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(packs.column("seq")[row].as_py()), "<u4")
+    for row, seq in enumerate(seqs):
         lengths = packs.column("lengths")[row].as_py()
         end = 0
         for doc_id, length in zip(packs.column("ids")[row].as_py(), lengths, strict=True):
