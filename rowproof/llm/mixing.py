@@ -21,7 +21,7 @@ from rowproof.llm.common import n_words, table, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 256
 
 
 def quality(size: Column, n_chars: Column) -> Column:
