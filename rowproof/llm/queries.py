@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rowproof.llm import bpe, mixing
+from rowproof.llm import bpe, mixing, secret_scan, token_files
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op5_token_files": token_files.op5_token_files,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op10_bpe_words": bpe.op10_bpe_words,
 }
 SQL = {"op3_mix_sources": mixing.OP3_SQL}
