@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from rowproof.llm import bpe, mixing, secret_scan, token_files
+from rowproof.llm import bpe, cover_tree, html_text, minhash, mixing, multi_index, run_length, secret_scan, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_run_length": run_length.op2_run_length,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_cover_tree": cover_tree.op4_cover_tree,
     "op5_token_files": token_files.op5_token_files,
+    "op6_minhash": minhash.op6_minhash,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_html_text": html_text.op8_html_text,
+    "op9_multi_index": multi_index.op9_multi_index,
     "op10_bpe_words": bpe.op10_bpe_words,
 }
+#: The others are not for SQL: their tests compare them with brute force, round trips or held-out labels.
 SQL = {"op3_mix_sources": mixing.OP3_SQL}
