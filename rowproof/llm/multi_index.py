@@ -4,8 +4,9 @@ Both halves of a vector are quantised by codebooks of their own (fitted on a bou
 entered in the cell of its two nearest centroids. A query goes through the pairs of centroids in order of their
 summed score, kept in a heap, until the cells passed hold enough vectors; these are reranked by the exact measure.
 
-Cells with the same first centroid are one list, cut into blocks of bounded size, so a list with a third of all
-vectors is many tasks. A query meets each block of the lists it passes once, and keeps its best there.
+Neighbouring first centroids share a list of about BLOCK vectors; a centroid with more is cut into blocks of that
+size, so that one with a third of all vectors is many tasks. A query meets each block of the lists it passes once,
+and keeps its best there.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql.window import Window
 from rowproof.llm.common import small_batches, table, written
 from rowproof.llm.vectors import matrix, sample, usable
 
-#: Rows to fit codebooks on at most, centroids of each half, vectors of a list's block.
-SAMPLE, CENTROIDS, BLOCK = 16_384, 32, 4096
-#: A query passes cells until they hold this share of all vectors, and this many at least.
-SHARE, LEAST = 0.15, 2000
+#: Rows to fit codebooks on at most, centroids of each half, vectors of a block about.
+SAMPLE, CENTROIDS, BLOCK = 16_384, 128, 4096
+#: A query passes cells until they hold this share of all vectors, and this many at least. Vectors without any
+#: structure, as most here, need this much for a recall of 0.9: neither half says much about the other.
+SHARE, LEAST = 0.37, 1000
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -106,7 +108,8 @@ class MultiIndex:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         books, cut, counts = self.books, self.cut, self.counts
         enough = int(max(least, share * self.n)) + k + 1
-        blocks = {i: max(1, -(-int(counts[i].sum()) // BLOCK)) for i in range(len(books[0]))}
+        width = counts.shape[1]
+        lists, blocks = self._lists()
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -114,44 +117,60 @@ class MultiIndex:
                 first, second = v[:, :cut] @ books[0].T, v[:, cut:] @ books[1].T
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for row, (query_id, a, b) in enumerate(zip(batch.column("vec_id").to_pylist(), first, second, strict=True)):
-                    lists: dict[int, list[int]] = {}
+                    cells: dict[int, list[int]] = {}
                     for i, j in passed(a, b, counts, enough):
-                        lists.setdefault(i, []).append(j)
-                    for i, js in lists.items():
-                        for block in range(blocks[i]):
-                            for column, value in zip(out, (query_id, row, i, block, js), strict=True):
+                        cells.setdefault(lists[i], []).append(i * width + j)
+                    for at, own in cells.items():
+                        for block in range(blocks[at]):
+                            for column, value in zip(out, (query_id, row, at, block, own), strict=True):
                                 column.append(value)
                 rows = pa.array(out[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column("v").take(rows), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int32()))], ["query_id", "q", "at", "part", "js"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column("v").take(rows), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int32()))], ["query_id", "q", "at", "part", "cells"])
 
-        n_blocks = F.element_at(F.array(*(F.lit(blocks[i]).cast("long") for i in range(len(blocks)))), F.col("i") + 1)
-        entries = self.entries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), n_blocks))
-        routed = self.entries.where(queries).select("vec_id", "v").repartition(self._parts()).mapInArrow(route, "query_id long, q array<double>, at int, part long, js array<int>")
+        list_of = F.element_at(F.array(*map(F.lit, lists)), F.col("i") + 1)
+        n_blocks = F.element_at(F.array(*(F.lit(n).cast("long") for n in blocks)), F.col("list") + 1)
+        entries = self.entries.withColumn("list", list_of).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), n_blocks))
+        entries = entries.select("vec_id", "v", (F.col("i") * width + F.col("j")).alias("cell"), "list", "block")
+        routed = self.entries.where(queries).select("vec_id", "v").repartition(self._parts()).mapInArrow(route, "query_id long, q array<double>, at int, part long, cells array<int>")
+        n_cells = counts.size
 
         def rerank(own: pa.Table, asked: pa.Table) -> pa.Table:
             found: list[tuple[np.ndarray, ...]] = []
             if own.num_rows and asked.num_rows:
-                v, ids, j = matrix(own.column("v")), own.column("vec_id").to_numpy(), own.column("j").to_numpy()
+                v, ids, cell = matrix(own.column("v")), own.column("vec_id").to_numpy(), own.column("cell").to_numpy()
                 order = np.argsort(ids, kind="stable")
-                v, ids, j = v[order], ids[order], j[order]
-                for at in range(0, asked.num_rows, 256):
-                    part = asked.slice(at, 256)
-                    scores = matrix(part.column("q")) @ v.T
-                    for query_id, js, s, q in zip(part.column("query_id").to_pylist(), part.column("js").to_pylist(), scores, matrix(part.column("q")), strict=True):
-                        place = np.flatnonzero(np.isin(j, js) & (ids != query_id))
-                        best = place[np.argsort(-s[place], kind="stable")[:k]]
+                v, ids, cell = v[order], ids[order], cell[order]
+                for at in range(0, asked.num_rows, 128):
+                    part = asked.slice(at, 128)
+                    q_rows = matrix(part.column("q"))
+                    scores = q_rows @ v.T
+                    for query_id, cells, s, q in zip(part.column("query_id").to_pylist(), part.column("cells"), scores, q_rows, strict=True):
+                        in_reach = np.zeros(n_cells, bool)
+                        in_reach[cells.values.to_numpy()] = True
+                        place = np.flatnonzero(in_reach[cell] & (ids != query_id))
                         if len(place) > k:  # ties at the cut, and rounding of the block product, are settled exactly
-                            best = place[s[place] >= s[best[-1]] - 1e-9 * max(1.0, abs(s[best[-1]]))]
-                        exact = (v[best] * q).sum(axis=1)
-                        keep = np.lexsort((ids[best], -exact))[:k]
-                        found.append((np.full(len(keep), query_id), ids[best][keep], exact[keep]))
+                            least_ = np.partition(s[place], len(place) - k)[len(place) - k]
+                            place = place[s[place] >= least_ - 1e-9 * max(1.0, abs(least_))]
+                        exact = (v[place] * q).sum(axis=1)
+                        keep = np.lexsort((ids[place], -exact))[:k]
+                        found.append((np.full(len(keep), query_id), ids[place][keep], exact[keep]))
             a, b, c = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*found, strict=True) if found else ((), (), ()), strict=True))
             return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-        best = entries.groupBy("i", "block").cogroup(routed.groupBy("at", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+        best = entries.groupBy("list", "block").cogroup(routed.groupBy("at", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+    def _lists(self) -> tuple[list[int], list[int]]:
+        """(list of each first centroid, number of blocks of each list)."""
+        lists, sizes = [], []
+        for n in self.counts.sum(axis=1).tolist():
+            if not sizes or sizes[-1] + n > BLOCK:
+                sizes.append(0)
+            sizes[-1] += n
+            lists.append(len(sizes) - 1)
+        return lists, [max(1, -(-n // BLOCK)) for n in sizes]
+
     def _parts(self) -> int:
         return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -90,7 +90,7 @@ def test_recall(spark):
     data = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()]
     expected = nearest(data)
     got = {}
-    for r in multi_index.MultiIndex(spark.read.parquet(f"{d}/embeddings.parquet")).search(F.col("vec_id") % 20 == 0, share=0.15, least=200).collect():
+    for r in multi_index.MultiIndex(spark.read.parquet(f"{d}/embeddings.parquet")).search(F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     recall = np.mean([len(got[q] & {i for i, _ in v}) / len(v) for q, v in expected.items()])
     print("recall", recall)
