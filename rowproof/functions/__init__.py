@@ -1 +1,39 @@
-"""See the README."""
+"""Column expressions that the operators and contracts share."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def money(c: Column | str) -> Column:
+    """Two decimals, so that sums do not depend on the order of the rows."""
+    return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")
+
+
+def total(c: Column | str) -> Column:
+    """Exact sum of two-decimal numbers, as a double."""
+    return F.sum(money(c)).cast("double")
+
+
+def surrogate_key(*columns: str | Column, separator: str = "-") -> Column:
+    """MD5 of the columns as text; NULL has a text of its own, so the key determines the inputs up to the separator."""
+    text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("_null_")) for c in columns]
+    return F.md5(F.concat_ws(separator, *text))
+
+
+def none_of(*columns: str) -> Column:
+    """True where none of the columns is NULL."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def field_check(column: str, ge=None, gt=None, le=None, lt=None, multiple_of=None, min_length=None, max_length=None) -> Column:
+    """True where a declared bound fails; NULL passes every bound."""
+    c, bad = F.col(column), F.lit(False)
+    for bound, test in ((ge, lambda v: c < v), (gt, lambda v: c <= v), (le, lambda v: c > v), (lt, lambda v: c >= v), (multiple_of, lambda v: c % v != 0), (min_length, lambda v: F.length(c) < v), (max_length, lambda v: F.length(c) > v)):
+        if bound is not None:
+            bad = bad | F.coalesce(test(bound), F.lit(False))
+    return bad

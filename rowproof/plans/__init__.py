@@ -1 +1 @@
-"""See the README."""
+"""Findings, worlds, lineage and incremental loads as data frames."""

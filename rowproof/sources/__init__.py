@@ -1 +1,100 @@
-"""See the README."""
+"""Readers of project metadata: one JSON file becomes tables of nodes, columns, tests, edges and macros."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_KINDS = ("model", "source", "seed", "snapshot")
+_MATERIALIZED = ("view", "table", "incremental", "materialized_view", "ephemeral", "snapshot")
+
+
+def _entries(spark: SparkSession, path: str, *sections: str) -> DataFrame:
+    """(section, uid, entry variant): the objects of top-level sections; missing sections have none."""
+    text = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("j"))
+    out = None
+    for name in sections:
+        text.createOrReplaceTempView("__project_json")
+        one = spark.sql(f"select '{name}' as section, e.key as uid, e.value as entry from __project_json, lateral variant_explode_outer(try_variant_get(j, '$.{name}', 'variant')) as e where e.key is not null")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _text(path: str):
+    return F.try_variant_get("entry", path, "string")
+
+
+def _known(c, values: tuple[str, ...]):
+    c = F.lower(c)
+    return F.when(c.isin(*values), c).otherwise("other")
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """nodes(uid, name, kind, sql, status, materialized, strategy, unique_key, valid_from, valid_to, depends_on, path).
+
+    Unknown kinds and materialisations are "other"; status says whether there is compiled SQL ("not_compiled" and
+    "absent" are gaps, not empty models); nodes written in Python count as compiled.
+    """
+    x = _entries(spark, path, "nodes", "sources")
+    sql = _text("$.compiled_code")
+    status = F.when(_text("$.language") == "python", "compiled").when(sql.isNotNull() & (F.trim(sql) != ""), "compiled").when(F.try_variant_get("entry", "$.compiled", "boolean"), "absent").otherwise("not_compiled")
+    keys = F.coalesce(F.try_variant_get("entry", "$.config.unique_key", "array<string>"), F.when(_text("$.config.unique_key").isNotNull(), F.array(_text("$.config.unique_key"))), F.array().cast("array<string>"))
+    return x.select(
+        "uid", F.coalesce(_text("$.identifier"), _text("$.alias"), _text("$.name")).alias("name"), _known(_text("$.resource_type"), _KINDS).alias("kind"), sql.alias("sql"), status.alias("status"),
+        _known(_text("$.config.materialized"), _MATERIALIZED).alias("materialized"), _text("$.config.incremental_strategy").alias("strategy"), keys.alias("unique_key"),
+        F.coalesce(_text("$.config.snapshot_meta_column_names.dbt_valid_from"), F.lit("dbt_valid_from")).alias("valid_from"), F.coalesce(_text("$.config.snapshot_meta_column_names.dbt_valid_to"), F.lit("dbt_valid_to")).alias("valid_to"),
+        F.coalesce(F.try_variant_get("entry", "$.depends_on.nodes", "array<string>"), F.array().cast("array<string>")).alias("depends_on"), _text("$.original_file_path").alias("path"),
+    )
+
+
+def read_columns(spark: SparkSession, path: str) -> DataFrame:
+    """columns(uid, name, data_type, description): documented columns, names in lower case."""
+    _entries(spark, path, "nodes", "sources").createOrReplaceTempView("__project_entries")
+    return spark.sql(
+        "select uid, lower(c.key) as name, try_variant_get(c.value, '$.data_type', 'string') as data_type, try_variant_get(c.value, '$.description', 'string') as description "
+        "from __project_entries, lateral variant_explode_outer(try_variant_get(entry, '$.columns', 'variant')) as c where c.key is not null"
+    )
+
+
+def read_tests(spark: SparkSession, path: str) -> DataFrame:
+    """tests(uid, target, name, column_name, columns, condition, enabled): declared generic tests.
+
+    The target is the attached node, else the first of the sorted data-flow dependencies.
+    """
+    x = _entries(spark, path, "nodes").where(_text("$.resource_type") == "test").where(_text("$.test_metadata.name").isNotNull())
+    flow = F.filter(F.coalesce(F.try_variant_get("entry", "$.depends_on.nodes", "array<string>"), F.array().cast("array<string>")), lambda n: ~n.startswith("macro."))
+    return x.select(
+        "uid", F.coalesce(_text("$.attached_node"), F.get(F.array_sort(flow), 0)).alias("target"), _text("$.test_metadata.name").alias("name"), F.lower(F.coalesce(_text("$.column_name"), _text("$.test_metadata.kwargs.column_name"))).alias("column_name"),
+        F.try_variant_get("entry", "$.test_metadata.kwargs.combination_of_columns", "array<string>").alias("columns"), _text("$.config.where").alias("condition"), F.coalesce(F.try_variant_get("entry", "$.config.enabled", "boolean"), F.lit(True)).alias("enabled"),
+    )
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """edges(to_node, from_node)."""
+    return read_nodes(spark, path).select(F.col("uid").alias("to_node"), F.explode("depends_on").alias("from_node"))
+
+
+def declared_keys(tests: DataFrame) -> DataFrame:
+    """keys(target, columns, condition): from enabled uniqueness tests; a condition limits the claim to its rows."""
+    single = F.when(F.col("name") == "unique", F.array("column_name"))
+    joint = F.when(F.col("name").endswith("unique_combination_of_columns"), F.transform("columns", F.lower))
+    return tests.where("enabled").select("target", F.coalesce(single, joint).alias("columns"), "condition").where("columns is not null")
+
+
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV seed with a header and a declared schema."""
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+def register_models(spark: SparkSession, nodes: DataFrame, order: DataFrame) -> list[tuple[str, str]]:
+    """Create a temporary view for each compiled model, dependencies first; (model, reason) of those that failed.
+
+    A project has few models, so their names and texts are read by the driver. `order` is levels() of the edges.
+    """
+    skipped = []
+    for r in nodes.join(order.withColumnRenamed("node", "uid"), "uid", "left").where("kind = 'model'").orderBy(F.coalesce("level", F.lit(0)), "uid").select("name", "sql").collect():
+        try:
+            spark.sql(r["sql"]).createOrReplaceTempView(r["name"])
+        except Exception as e:
+            skipped.append((r["name"], str(e).splitlines()[0]))
+    return skipped
