@@ -6,9 +6,10 @@
    candidate pair. All 16-bit signatures are compared first, then full sets confirm.
 3. Connected components by large-star and small-star. Pairs within a component need no more work, which is what
    keeps a group of thousands of near copies linear.
-4. Buckets whose members are still in several components are compared pair by pair on signatures, in blocks of
-   bounded size, between components only; what passes is confirmed on full sets, best pairs first. So no bucket
-   is capped and no link that the bands find is lost.
+4. Buckets whose members are still in several components are compared in blocks of bounded size, between
+   components only, each pair in the first bucket it shares: signatures first, then full sets, best pairs first.
+   A link joins two components for the rest of the block, so a task returns fewer links than it has members. No
+   bucket is capped and no link that the bands find is lost.
 
 With 5 rows and 32 bands a pair at similarity 0.8 shares no band with probability 3e-6.
 """
@@ -101,13 +102,15 @@ def _profiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for ids, texts in _texts(batches):
-        sizes, signatures, sets = [], [], []
+        sizes, signatures, bands, sets = [], [], [], []
         for text in texts:
             x = shingles(text, k)
+            m = minima(x)
             sizes.append(len(x))
-            signatures.append(minima(x).astype(np.uint16).tobytes())
+            signatures.append(m.astype(np.uint16).tobytes())
+            bands.append(band_values(m).tobytes())
             sets.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(sets, pa.binary())], ["node", "n", "signature", "shingles"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (signatures, bands, sets))], ["node", "n", "signature", "bands", "shingles"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -121,45 +124,53 @@ def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array(estimate[good])], ["a", "b", "estimate"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= percent * (len(x) + len(y) - both))
+        good = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _across(percent: int):
-    """Pairs of a bucket's block pair that lie in different components and may reach the threshold."""
+    """Links between the components that a bucket's block pair holds: as many as it takes to join them."""
 
-    def pairs(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    def links(t: pa.Table) -> pa.Table:
+        value, i, j = (t.column(c)[0].as_py() for c in ("value", "i", "j"))
         block, node, comp, n = (t.column(c).to_numpy() for c in ("block", "node", "comp", "n"))
         s = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
+        bands = np.frombuffer(b"".join(t.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b, out_e = [], [], []
+        found = []
         for x in left.tolist():
             y = right[(comp[right] != comp[x]) & (node[right] > node[x] if i == j else node[right] != node[x])]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            if len(y):
-                e = (s[y] == s[x]).mean(axis=1)
-                good = e >= percent / 100 - MARGIN
-                out_a.append(np.minimum(node[y[good]], node[x]))
-                out_b.append(np.maximum(node[y[good]], node[x]))
-                out_e.append(e[good])
-        a, b, e = (np.concatenate([np.zeros(0, kind), *o]) for o, kind in ((out_a, np.int64), (out_b, np.int64), (out_e, float)))
-        return pa.table({"a": a, "b": b, "estimate": e})
-
-    return pairs
-
-
-def _with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Add ca and cb, the components of a and b."""
-    for c in ("a", "b"):
-        pairs = pairs.join(comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}_")), c, "left")
-    return pairs.select("a", "b", "estimate", F.coalesce("ca_", "a").alias("ca"), F.coalesce("cb_", "b").alias("cb"))
+            y = y[bands[x][(bands[y] == bands[x]).argmax(axis=1)] == value]  # the first bucket that both are in
+            e = (s[y] == s[x]).mean(axis=1)
+            good = e >= percent / 100 - MARGIN
+            found.append((np.full(int(good.sum()), x), y[good], e[good]))
+        xs, ys, e = (np.concatenate([np.zeros(0, kind), *c]) for c, kind in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.int64, float), strict=True))
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := joined.get(c, c)) != c:
+                joined[c] = c = joined.get(up, up)
+            return c
+
+        out = []
+        order = np.argsort(-e, kind="stable")
+        for x, y in zip(xs[order].tolist(), ys[order].tolist(), strict=True):
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q and _similar(sets[x], sets[y], percent):
+                joined[q] = p
+                out.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = written(dealt.join(hubs, "value").select("value", "hub", "held", "node"), "minhash-buckets")
 
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = x.join(candidates, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "node long, n long, signature binary, shingles binary")
+    sets = x.join(candidates, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "node long, n long, signature binary, bands binary, shingles binary")
     sets = written(sets, "minhash-sets")
 
     def side(c: str, *columns: tuple[str, str]) -> DataFrame:
@@ -198,34 +209,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     stars = written(alike(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "minhash-stars")
     best = stars.groupBy("b").agg(F.max(F.struct("estimate", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-    tested = written(best, "minhash-best")
-    links = confirmed(tested)
+    links = confirmed(best)
     comps = components(links)
 
     # buckets whose members lie in several components: every pair between components, by blocks
-    placed = members.where("held > 2").join(comps, "node", "left").select("value", "held", "node", F.coalesce("component", "node").alias("comp"))
+    placed = members.join(comps, "node", "left").select("value", "held", "node", F.coalesce("component", "node").alias("comp"))
     split = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
-    open_ = placed.join(split, "value").join(sets.select("node", "n", "signature"), "node")
     blocks = F.ceil(F.col("held") / BLOCK)
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    open_ = placed.join(split, "value").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "held")
-    cross = open_.groupBy("value", "i", "j").applyInArrow(_across(percent), "a long, b long, estimate double")
-    pool = written(stars.unionByName(cross).groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "minhash-pool")
-
-    for turn in range(4):
-        pool = _with_components(pool.join(tested, ["a", "b"], "left_anti"), comps).where("ca <> cb")
-        pool = written(pool, "minhash-pool")
-        if pool.isEmpty():
-            break
-        pick = pool.select("a", "b")
-        if turn < 3:  # the best pair of each two components first: what it links needs no other pair
-            low, high = F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")
-            pick = pool.groupBy(low, high).agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b")
-        pick = written(pick, "minhash-pick")
-        links = links.unionByName(confirmed(pick))
-        tested = tested.unionByName(pick)
-        comps = components(links)
-        pool = pool.select("a", "b", "estimate")
+    cross = open_.join(sets, "node").groupBy("value", "i", "j").applyInArrow(_across(percent), "a long, b long")
+    comps = components(links.unionByName(written(cross, "minhash-cross")))
 
     out = profiles.join(classes.select("digest", "node"), "digest", "left").select("doc_id", "n", F.when(real, F.col("node")).alias("node"))
     out = out.join(comps, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
