@@ -486,3 +486,77 @@ def lineage_closure(t):
 @query("""select surrogate, count(*) as n from (select md5(concat_ws('-', coalesce(c_custkey::varchar, '_null_'), coalesce(c_mktsegment, '_null_'))) as surrogate from customer) group by 1""")
 def surrogate_keys(t):
     return t.customer.groupBy(surrogate_key("c_custkey", "c_mktsegment").alias("surrogate")).agg(F.count("*").alias("n"))
+
+
+# ---- range joins, functions and clauses ------------------------------------------------------------------------
+
+
+@query("""select l, count(*) as parts from (select n_nationkey as l, n_nationkey + n_regionkey * 3 as h from nation) join part on p_size between l and h group by 1""")
+def range_join_fanout(t):
+    i = t.nation.select(F.col("n_nationkey").cast("long").alias("l"), (F.col("n_nationkey") + F.col("n_regionkey") * 3).cast("long").alias("h"))
+    return joins.within_intervals(t.part.select("p_partkey", "p_size"), i, "p_size", "l", "h", 8).groupBy(F.col("l").cast("int").alias("l")).agg(F.count("*").alias("parts"))
+
+
+@query("""select o_orderpriority as left_unit, l_returnflag as right_unit, count(*) as pairs from (select o_orderkey, case when o_totalprice > 100000 then 'R' else 'N' end as o_orderpriority from orders) join lineitem on l_orderkey = o_orderkey where o_orderpriority <> l_returnflag group by all""")
+def join_key_unit_mismatch(t):
+    o = t.orders.withColumn("unit", F.when(F.col("o_totalprice") > 100000, "R").otherwise("N"))
+    return joins.key_unit_mismatch(o, t.lineitem, "o_orderkey", "l_orderkey", "unit", "l_returnflag")
+
+
+@query("""select o_orderkey from orders where o_orderdate >= timestamp '1997-03-15 00:00:00' and not date_trunc('month', o_orderdate) >= timestamp '1997-03-01 00:00:00'""")
+def date_trunc_implication(t):
+    return facts.counterexamples(t.orders, F.expr("o_orderdate >= timestamp_ntz '1997-03-15 00:00:00'"), F.expr("date_trunc('month', o_orderdate) >= timestamp_ntz '1997-03-01 00:00:00'")).select("o_orderkey")
+
+
+@query("""select count(*) as n_rows, count(k) as raw, count(coalesce(k, -1)) as with_default, count(coalesce(k, nullif(o_custkey % 2, 0))) as maybe, count(nullif(k, 3)) as nullified, count(k is null) as tested, count(k + 1) as added
+from (select nullif(o_custkey % 6, 0) as k, o_custkey from orders)""")
+def null_rules(t):
+    x = t.orders.select(F.expr("nullif(o_custkey % 6, 0)").alias("k"), "o_custkey")
+    n = lambda e, name: F.expr(f"count({e})").alias(name)
+    return x.agg(n("*", "n_rows"), n("k", "raw"), n("coalesce(k, -1)", "with_default"), n("coalesce(k, nullif(o_custkey % 2, 0))", "maybe"), n("nullif(k, 3)", "nullified"), n("k is null", "tested"), n("k + 1", "added"))
+
+
+@query("""select o_custkey, count(*) as n from orders group by 1 having count(*) > 15 and min(o_totalprice) > 1000""")
+def having_clause(t):
+    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least")).where("n > 15 and least > 1000").drop("least")
+
+
+@query("""select c_custkey from customer where c_acctbal > (select avg(c_acctbal::decimal(18,2))::double from customer)""")
+def scalar_subquery(t):
+    mean = t.customer.agg((F.sum(money("c_acctbal")).cast("double") / F.count("c_acctbal")).alias("mean"))
+    return t.customer.join(F.broadcast(mean)).where(F.col("c_acctbal") > F.col("mean")).select("c_custkey")  # one row
+
+
+@query("""select l_returnflag, l_linestatus, grouping(l_returnflag)::int as g1, grouping(l_linestatus)::int as g2, count(*) as n from lineitem group by cube(l_returnflag, l_linestatus)""")
+def cube_null_rows(t):
+    return t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.grouping("l_returnflag").cast("int").alias("g1"), F.grouping("l_linestatus").cast("int").alias("g2"), F.count("*").alias("n"))
+
+
+@query("""select o_orderpriority, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as statuses, quantile_disc(o_totalprice, 0.5) as median_price from orders group by 1""")
+def ordered_aggregates(t):
+    statuses = F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses")
+    return t.orders.groupBy("o_orderpriority").agg(statuses, F.expr("percentile_disc(0.5) within group (order by o_totalprice)").alias("median_price"))
+
+
+@query("""select doc_id, pos::int as pos, word from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos from (select doc_id, string_split(text, ' ') as w from documents)) where length(word) > 14""")
+def flatten_positions(t):
+    return t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).where(F.length("word") > 14)
+
+
+@query("""select event_type, count(*) as empty_series from events where floor(value) - 40 < 1 group by 1""")
+def series_emptiness(t):
+    top = F.floor("value").cast("int") - 40
+    series = F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
+    return arrays.dropped_parents(t.events, series).groupBy("event_type").agg(F.count("*").alias("empty_series"))
+
+
+@query("""select c_nationkey, c_mktsegment, count(*) as n from (select distinct c_nationkey, c_mktsegment from customer) group by all having count(*) > 1""")
+def distinct_makes_key(t):
+    return facts.key_violations(t.customer.select("c_nationkey", "c_mktsegment").distinct(), ["c_nationkey", "c_mktsegment"])
+
+
+@query("""select user_id, event_type, n from (select *, row_number() over (partition by user_id order by n desc, event_type) as r from (select user_id, event_type, count(*) as n from events group by all)) where r <= 2""")
+def top_k_per_group(t):
+    counts = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
+    return counts.withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")

@@ -81,3 +81,21 @@ def padded_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     kind = F.when(F.col("nb").isNull(), "left only").when(F.col("na").isNull(), "right only").otherwise("matched")
     n = F.when(F.col("nb").isNull(), F.col("na")).when(F.col("na").isNull(), F.col("nb")).otherwise(F.col("na") * F.col("nb"))
     return x.groupBy(kind.alias("kind")).agg(F.sum(n).alias("n"))
+
+
+def within_intervals(points: DataFrame, intervals: DataFrame, value: str, low: str, high: str, width: int) -> DataFrame:
+    """Pairs with low <= value <= high: a range join as an equi-join on steps of `width`.
+
+    Each interval is repeated once per step that it touches; a value lies in one step, so no pair is built twice.
+    """
+    step = lambda c: F.floor(F.col(c) / F.lit(width))
+    spread = intervals.where(F.col(low) <= F.col(high)).withColumn("__step", F.explode(F.sequence(step(low), step(high))))
+    return points.withColumn("__step", step(value)).join(spread, "__step").where(F.col(value).between(F.col(low), F.col(high))).drop("__step")
+
+
+def key_unit_mismatch(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_unit: str, right_unit: str) -> DataFrame:
+    """(left_unit, right_unit, pairs): matches of a join whose two sides carry different units."""
+    a = left.groupBy(F.col(left_key).alias("k"), F.col(left_unit).alias("left_unit")).agg(F.count("*").alias("na"))
+    b = right.groupBy(F.col(right_key).alias("k"), F.col(right_unit).alias("right_unit")).agg(F.count("*").alias("nb"))
+    pairs = a.join(b, "k").where("left_unit <> right_unit")
+    return pairs.groupBy("left_unit", "right_unit").agg(F.sum(F.col("na") * F.col("nb")).cast("long").alias("pairs"))
