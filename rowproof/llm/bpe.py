@@ -2,18 +2,20 @@
 
 1. Tasks split the texts into words and pack them: a pack has its own words once each, and each document as a
    sequence of positions in that list. Packs are bounded by the text in them and are written to a table.
-2. The distinct words of all packs are encoded once each with the tokenizers library.
-3. The ids are joined with the table of pieces (as many rows as the tokenizer has ids), which decodes them.
-4. Each word's ids and pieces are joined back to the packs that hold the word; a task then puts the ids of each
-   document together by position.
+2. The packs' words are dealt out by a hash of the word. Each part of that table encodes its distinct words once
+   each and returns the ids to every pack that holds them.
+3. A pack's task puts the ids of each document together by position, and joins every id with the table of pieces
+   (as many rows as the tokenizer has ids, so it fits beside any task), which decodes it.
 
-Words meet in a shuffle once per pack and not once per occurrence, so that a very common word is no hot key, and
-the texts themselves are never shuffled.
+Words meet in a shuffle once per pack and not once per occurrence, so a very common word is no hot key; they travel
+in compressed columns, and the texts themselves are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rowproof.llm.common import documents, small_batches, table, written
-from rowproof.llm.words import chunks, load
+from rowproof.llm.words import chunks, encoder, folded, load
 
 #: Characters of text in a pack at most (one longer document is a pack of its own).
 PACK_CHARS = 32_000_000
@@ -37,20 +39,88 @@ class _Positions(dict):
         return n
 
 
-def _packs(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned 32-bit integers, compressed byte by byte."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    parts = [squeeze(a.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()) for a in arrays]
+    return b"".join(struct.pack("<I", len(p)) + p for p in parts)
+
+
+def _plain(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    plain, out, at = zstandard.ZstdDecompressor().decompress, [], 0
+    while at < len(data):
+        (n,) = struct.unpack_from("<I", data, at)
+        out.append(np.frombuffer(np.frombuffer(plain(data[at + 4 : at + 4 + n]), "u1").reshape(4, -1).T.tobytes(), "<u4"))
+        at += 4 + n
+    return out
+
+
+def _squeezed_sequence(x: np.ndarray) -> bytes:
+    """Numbers of which most are small: one byte below 192, else a byte for the range and 14 bits within it."""
+    over = x.astype(np.int64) - 192
+    range_ = np.minimum(over >> 14, 63)
+    lead = np.where(over < 0, x, 192 + range_)
+    within, far = over[(over >= 0) & (range_ < 63)], over[range_ == 63]
+    return _bytes(lead, within & 0xFF, (within & 0x3FFF) >> 8) + _squeezed(far)
+
+
+def _plain_sequence(data: bytes) -> np.ndarray:
+    import zstandard
+
+    plain, parts, at = zstandard.ZstdDecompressor().decompress, [], 0
+    for _ in range(3):
+        (n,) = struct.unpack_from("<I", data, at)
+        parts.append(np.frombuffer(plain(data[at + 4 : at + 4 + n]), "u1").astype(np.int64))
+        at += 4 + n
+    lead, low, high = parts
+    (far,) = _plain(data[at:])
+    out = lead.copy()
+    near = (lead >= 192) & (lead < 255)
+    out[near] = 192 + ((lead[near] - 192) << 14) + (high << 8) + low
+    out[lead == 255] = 192 + far.astype(np.int64)
+    return out
+
+
+def _bytes(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=6).compress
+    parts = [squeeze(a.astype("u1").tobytes()) for a in arrays]
+    return b"".join(struct.pack("<I", len(p)) + p for p in parts)
+
+
+def _packs(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row with the documents of each pack (bucket -1), and one with its words of each bucket."""
     from pyspark import TaskContext
     import zstandard
 
     partition, k = TaskContext.get().partitionId(), 0
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    types = [pa.int64(), pa.int32(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def full() -> pa.RecordBatch:
-        at = np.concatenate(seqs) if seqs else np.zeros(0, "<u4")
-        words = list(positions)[1:]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([(partition << 24) + k], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([squeeze(at.tobytes())], pa.binary()), pa.array([words], pa.list_(pa.string()))],
-            ["pack", "ids", "lengths", "seq", "words"],
-        )
+        at = np.concatenate(seqs)
+        uses = np.bincount(at, minlength=len(positions))
+        uses[0] = len(at) + 1  # the empty word stays the first
+        by_use = np.argsort(-uses, kind="stable")  # frequent words get small numbers, which compress better
+        number = np.empty(len(by_use), np.int64)
+        number[by_use] = np.arange(len(by_use))
+        words = list(positions)
+        words = [words[i] for i in by_use.tolist()]
+        bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+        bucket[0] = -1  # the empty word
+        order = np.argsort(bucket, kind="stable")[1:]
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+        pack = (partition << 24) + k
+        rows = [(pack, -1, ids, lengths, _squeezed_sequence(number[at]), None)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[a:b]
+            rows.append((pack, int(bucket[own[0]]), None, None, _squeezed(np.diff(own, prepend=0)), squeeze("\n".join([words[i] for i in own.tolist()]).encode("utf-8", "surrogatepass"))))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["pack", "bucket", "ids", "lengths", "places", "words"])
 
     positions, ids, lengths, seqs, held = _Positions({"": 0}), [], [], [], 0
     for batch in batches:
@@ -59,7 +129,7 @@ def _packs(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[
             if held and held + len(text) > PACK_CHARS:
                 yield full()
                 positions, ids, lengths, seqs, held, k = _Positions({"": 0}), [], [], [], 0, k + 1
-            words = chunks(text)
+            words = chunks(folded(text))
             at = np.fromiter(map(positions.__getitem__, words), "<u4", len(words))
             at = at[at > 0]
             ids.append(doc_id)
@@ -71,78 +141,93 @@ def _packs(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokenizer = load(path)
-    for batch in batches:
-        words = batch.column(0).to_pylist()
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            ids = [x.ids for x in tokenizer.encode_batch(some, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-
-def _by_position(words: pa.Table, packs: pa.Table, want: tuple[str, ...]) -> Iterator[tuple]:
-    """(doc id, number of ids, then for each column in want the words' values joined by one space)."""
+    """Words by bucket (sorted) -> for each pack the places, numbers of ids and ids of its words of the bucket."""
     import zstandard
 
-    seqs = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), "<u4") for x in packs.column("seq")]
-    at = words.column("pos").to_numpy()
-    counts = np.zeros(1 + max([0, *(int(x.max()) for x in (*seqs, at) if len(x))]), np.int64)  # words without ids aren't in the table
-    counts[at] = words.column("n").to_numpy()
-    values = []
-    for name in want:
-        column = [""] * len(counts)
-        for i, x in zip(at.tolist(), words.column(name).to_pylist(), strict=True):
-            column[i] = x
-        values.append(column)
-    for row, seq in enumerate(seqs):
-        lengths = packs.column("lengths")[row].as_py()
+    encode, plain = encoder(path), zstandard.ZstdDecompressor().decompress
+    known: dict[str, list[int]] = {}
+    bucket = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                known, bucket = {}, row["bucket"]  # the distinct words of this bucket, each encoded once
+            found = []
+            for word in plain(row["words"]).decode("utf-8", "surrogatepass").split("\n"):
+                ids = known.get(word)
+                if ids is None:
+                    known[word] = ids = encode.ids(word)
+                found.append(ids)
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter((i for x in found for i in x), np.int64, int(n.sum()))
+            data = struct.pack("<I", len(row["places"])) + row["places"] + _squeezed(n, ids)
+            yield pa.RecordBatch.from_arrays([pa.array([row["pack"]], pa.int64()), pa.array([data], pa.binary())], ["in_pack", "found"])
+
+
+def _by_position(found: pa.Table, packs: pa.Table) -> Iterator[tuple]:
+    """(doc id, array of its ids) for each document of a pack."""
+    parts = []
+    for x in found.column("found").to_pylist():
+        (k,) = struct.unpack_from("<I", x)
+        (gaps,) = _plain(x[4 : 4 + k])
+        parts.append((np.cumsum(gaps, dtype=np.int64), *_plain(x[4 + k :])))
+    for row in range(packs.num_rows):
+        seq = _plain_sequence(packs.column("places")[row].as_py())
+        size = 1 + max([0, *(int(p[0].max()) for p in parts if len(p[0])), *([int(seq.max())] if len(seq) else [])])
+        count, first = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        at = 0
+        for place, n, ids in parts:
+            count[place] = n
+            first[place] = at + np.cumsum(n, dtype=np.int64) - n
+            at += len(ids)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(p[2] for p in parts)])
         end = 0
-        for doc_id, length in zip(packs.column("ids")[row].as_py(), lengths, strict=True):
+        for doc_id, length in zip(packs.column("ids")[row].as_py(), packs.column("lengths")[row].as_py(), strict=True):
             own = seq[end : end + length]
             end += length
-            n = counts[own]
-            own = own[n > 0].tolist()
-            yield (doc_id, int(n.sum()), *(" ".join(map(column.__getitem__, own)) for column in values))
+            n = count[own]
+            yield doc_id, ids[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
-def tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(packs, words by pack): packs (pack, ids, lengths, seq), words (in_pack, pos, n, id_text, piece_text).
+def piece_list(path: str) -> list[str]:
+    """The piece of every id of a tokenizer."""
+    vocabulary = load(path).get_vocab(with_added_tokens=True)
+    out = [""] * (1 + max(vocabulary.values()))
+    for piece, i in vocabulary.items():
+        out[i] = piece
+    return out
 
-    id_text has a word's ids in decimal and piece_text its pieces, joined by one space.
-    """
+
+def _joined(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[tuple[str, str]], finish) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     x = documents(docs, id_col, text_col)
     id_type = x.schema["doc_id"].dataType
     arrow_type = to_arrow_type(id_type)
-    schema = f"pack long, ids array<{id_type.simpleString()}>, lengths array<long>, seq binary, words array<string>"
-    packs = written(x.mapInArrow(lambda it: _packs(it, arrow_type), schema), "bpe-packs")
-    placed = packs.select("pack", F.posexplode("words").alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
-    encoded = placed.select("word").distinct().mapInArrow(lambda it: _encoded(it, path), "word string, ids array<int>")
-    vocabulary = load(path).get_vocab(with_added_tokens=True)
-    pieces = spark.createDataFrame([(i, p) for p, i in vocabulary.items()], "id int, piece string")
-    decoded = encoded.select("word", F.posexplode("ids").alias("p", "id")).join(F.broadcast(pieces), "id")  # a row for each id of the tokenizer
-    decoded = decoded.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("p", "id", "piece"))).alias("x"))
-    decoded = decoded.select("word", F.size("x").alias("n"), F.concat_ws(" ", F.transform("x", lambda y: y.id.cast("string"))).alias("id_text"), F.concat_ws(" ", F.transform("x", lambda y: y.piece)).alias("piece_text"))
-    words = placed.join(decoded, "word").select(F.col("pack").alias("in_pack"), "pos", "n", "id_text", "piece_text")
-    return packs.select("pack", "ids", "lengths", "seq"), words
-
-
-def _joined(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[tuple[str, str]], finish) -> DataFrame:
-    packs, words = tables(docs, path, id_col, text_col)
-    id_type = packs.schema["ids"].dataType.elementType
-    arrow_type = to_arrow_type(id_type)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packs = written(x.mapInArrow(lambda it: _packs(it, arrow_type, buckets), f"pack long, bucket int, ids array<{id_type.simpleString()}>, lengths array<long>, places binary, words binary"), "bpe-packs")
+    words = packs.where("bucket >= 0").select("pack", "bucket", "places", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = words.mapInArrow(lambda it: _encoded(it, path), "in_pack long, found binary")
+    pieces = spark.sparkContext.broadcast(piece_list(path))  # a string per id of the tokenizer
+    numbers = spark.sparkContext.broadcast([str(i) for i in range(len(pieces.value))])
     schema = ", ".join(f"{name} {kind}" for name, kind in [("doc_id", id_type.simpleString()), ("n_tokens", "long"), *fields])
     types = [arrow_type, pa.int64(), *({"string": pa.string(), "array<int>": pa.list_(pa.int32())}[kind] for _, kind in fields)]
     names = ["doc_id", "n_tokens", *(name for name, _ in fields)]
 
-    def together(own_words: pa.Table, own_packs: pa.Table) -> pa.Table:
+    def together(own: pa.Table, own_packs: pa.Table) -> pa.Table:
         if not own_packs.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
-        rows = [(d, n, *finish(i, p)) for d, n, i, p in _by_position(own_words, own_packs, ("id_text", "piece_text"))]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        rows = []
+        for doc_id, ids in _by_position(own, own_packs):
+            at = ids.tolist()
+            rows.append((doc_id, len(at), *finish(at, numbers.value, pieces.value)))
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    documents_ = packs.where("bucket < 0").select("pack", "ids", "lengths", "places")
+    return found.groupBy("in_pack").cogroup(documents_.groupBy("pack")).applyInArrow(together, schema)
+
 
-    return words.groupBy("in_pack").cogroup(packs.groupBy("pack")).applyInArrow(together, schema)
+def _text(ids: list[int], pieces: list[str]) -> str:
+    return " ".join(map(pieces.__getitem__, ids))
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,18 +236,31 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Null and empty texts have no ids and decode to an empty text; repeated rows and ids stay repeated; an empty
     table gives no rows. Special tokens written in a text are encoded as the library does it.
     """
-    return _joined(docs, path, id_col, text_col, [("ids", "array<int>"), ("decoded", "string")], lambda i, p: (list(map(int, i.split())), p))
+    return _joined(docs, path, id_col, text_col, [("ids", "array<int>"), ("decoded", "string")], lambda ids, numbers, pieces: (ids, _text(ids, pieces)))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode_decode(), with SHA-256 digests of the ids (decimal, joined by one space) and of the decoded text."""
 
-    def finish(i: str, p: str) -> tuple[str, str]:
-        return hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(p.encode()).hexdigest()
+    def finish(ids: list[int], numbers: list[str], pieces: list[str]) -> tuple[str, str]:
+        return hashlib.sha256(_text(ids, numbers).encode()).hexdigest(), hashlib.sha256(_text(ids, pieces).encode()).hexdigest()
 
     return _joined(docs, path, id_col, text_col, [("ids_sha256", "string"), ("decoded_sha256", "string")], finish)
 
 
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, decoded) of rows with arrays of ids, by a join of the ids with the tokenizer's pieces.
+
+    Null and empty arrays decode to an empty text; ids that the tokenizer does not have are passed over; rows
+    with the same id and ids are one.
+    """
+    pieces = encoded.sparkSession.createDataFrame(list(enumerate(piece_list(path))), "id int, piece string")
+    x = encoded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids")).distinct()
+    one = x.select("doc_id", "ids", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces), "id", "left")  # a row per id of the tokenizer
+    one = one.groupBy("doc_id", "ids").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))).alias("x"))
+    return one.select("doc_id", F.concat_ws(" ", F.transform("x", lambda y: y.piece)).alias("decoded"))
+
+
 def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -37,6 +37,12 @@ def test_equals_library(spark, monkeypatch, pack):
         assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids, skip_special_tokens=False))
 
 
+def test_sequences_round_trip():
+    x = np.array([0, 1, 191, 192, 193, 192 + 16383, 192 + 16384, 192 + 63 * 16384 - 1, 192 + 63 * 16384, 4_000_000_000], np.int64)
+    assert bpe._plain_sequence(bpe._squeezed_sequence(x)).tolist() == x.tolist()
+    assert len(bpe._plain_sequence(bpe._squeezed_sequence(x[:0]))) == 0
+
+
 def test_decode_join(spark):
     library = load(PATH)
     data = [(1, library.encode("Some plain words, here", add_special_tokens=False).ids), (2, []), (3, None), (4, [49407, 320])]
