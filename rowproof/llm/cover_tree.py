@@ -6,7 +6,7 @@ Unit vectors at cosine c are sqrt(2 - 2c) apart, so the threshold is a distance.
   and a cell's covering radius is measured over all its members. Pairs of cells farther apart than both radii and
   the threshold are dropped; there are at most CELLS squared of them.
 * A cell is cut into blocks of about BLOCK classes, so that a cell with a third of all rows is many tasks. Each
-  block gets a cover tree: nested levels with halving radii, each node with its measured covering radius.
+  block gets a cover tree, made once: nested levels with halving radii, each node with its measured covering radius.
 * Each surviving pair of blocks is one task: it descends both trees, prunes node pairs by the covering radii and
   computes the cosines of what is left in double precision.
 
@@ -29,8 +29,8 @@ from rowproof.llm.vectors import matrix, sample, unit, usable
 
 SAMPLE, CELLS, BLOCK = 4096, 256, 4096
 RADII = (1.0, 0.5, 0.25)
-#: Slack for rounding in pruning; cosines of pairs that are left are computed exactly.
-SLACK = 1e-6
+#: Slack for rounding in pruning, which is done in single precision; cosines of pairs that are left are exact.
+SLACK = 1e-4
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -47,56 +47,58 @@ def centres(x: np.ndarray, k: int) -> np.ndarray:
     return x[picked]
 
 
+def nearest_centres(x: np.ndarray) -> np.ndarray:
+    """A row per level of RADII: for each row of x the row of its nearest centre on that level.
+
+    Centres are nested: those of a level are more than its radius apart, and no row is farther than the radius
+    from its centre. A centre's distances are computed once, for many centres at a time.
+    """
+    near, far, levels = np.zeros(len(x), np.int64), np.full(len(x), np.inf), []
+    for r in RADII:
+        for i in range(0, len(x), 256):
+            open_ = i + np.flatnonzero(far[i : i + 256] > r)
+            if not len(open_):
+                continue
+            apart = _distances(x[open_], x[open_]) > r
+            free, new = np.ones(len(open_), bool), []
+            for k in range(len(open_)):
+                if free[k]:
+                    new.append(open_[k])
+                    free &= apart[k]
+            d = _distances(x, x[new])
+            at = d.argmin(axis=1)
+            d = d[np.arange(len(x)), at]
+            closer = d < far
+            near[closer], far[closer] = np.array(new)[at[closer]], d[closer]
+        levels.append(near.copy())
+    return np.stack(levels)
+
+
 class CoverTree:
     """Nested levels of nodes over the rows of x. A node is a centre row; levels[0] is the coarsest.
 
-    members lists, level by level and node by node, what a node holds: nodes of the next level, or rows at the
-    last one; starts has where each node's list begins; radius is the greatest distance to a row below.
+    near is what nearest_centres() says of x. members lists, level by level and node by node, what a node holds:
+    nodes of the next level, or rows at the last one; starts has where each node's list begins; radius is the
+    greatest distance to a row below.
     """
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        n = len(x)
-        parents, rows = [], []
-        chosen = np.zeros(0, np.int64)
-        for r in RADII:
-            free = np.ones(n, bool)
-            if len(chosen):
-                free = self._nearest(chosen)[1] > r
-            new = list(chosen)
-            for i in range(n):
-                if free[i]:
-                    new.append(i)
-                    free &= _distances(x, x[i : i + 1])[:, 0] > r
-            chosen = np.array(new, np.int64)
-            rows.append(chosen)
-        home = [self._nearest(c)[0] for c in rows]
-        for level in range(len(RADII) - 1):
-            parents.append(home[level][rows[level + 1]])
-        self.centre = rows
+    def __init__(self, x: np.ndarray, near: np.ndarray | None = None):
+        self.x, self.coarse = x, x.astype(np.float32)
+        self.centre, home = zip(*(np.unique(c, return_inverse=True) for c in (nearest_centres(x) if near is None else near)), strict=True)
         self.members, self.starts, self.radius = [], [], []
         below = home[-1]  # of each row: its node on the level at hand
         for level in range(len(RADII) - 1, -1, -1):
+            held = home[-1]
             if level < len(RADII) - 1:
-                below = parents[level][below]
-                held = parents[level]
-            else:
-                held = home[-1]
+                held = home[level][self.centre[level + 1]]
+                below = held[below]
             order = np.argsort(held, kind="stable")
-            radius = np.zeros(len(rows[level]))
-            np.maximum.at(radius, below, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x * x[rows[level][below]]).sum(axis=1))))
+            radius = np.zeros(len(self.centre[level]))
+            np.maximum.at(radius, below, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x * x[self.centre[level][below]]).sum(axis=1))))
             self.members.insert(0, order)
-            self.starts.insert(0, np.searchsorted(held[order], np.arange(len(rows[level]) + 1)))
+            self.starts.insert(0, np.searchsorted(held[order], np.arange(len(self.centre[level]) + 1)))
             self.radius.insert(0, radius)
 
-    def _nearest(self, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, far = np.empty(len(self.x), np.int64), np.empty(len(self.x))
-        for i in range(0, len(self.x), 512):
-            d = _distances(self.x[i : i + 512], self.x[centre])
-            at[i : i + 512] = d.argmin(axis=1)
-            far[i : i + 512] = d.min(axis=1)
-        return at, far
-
     def held(self, level: int, node: int) -> np.ndarray:
         return self.members[level][self.starts[level][node] : self.starts[level][node + 1]]
 
@@ -109,8 +111,11 @@ def near_leaves(a: CoverTree, b: CoverTree, distance: float) -> Iterator[tuple[n
         for left, right in pairs:
             for i in range(0, len(left), 512):
                 part = left[i : i + 512]
-                reach = a.radius[level][part][:, None] + b.radius[level][right][None, :] + distance + SLACK
-                hit = _distances(a.x[a.centre[level][part]], b.x[b.centre[level][right]]) <= reach
+                least = a.radius[level][part].astype(np.float32)[:, None] + (b.radius[level][right] + distance).astype(np.float32)
+                least *= least
+                least *= -0.5
+                least += 1.0 - SLACK  # centres within reach have at least this inner product
+                hit = a.coarse[a.centre[level][part]] @ b.coarse[b.centre[level][right]].T >= least
                 for p in np.flatnonzero(hit.any(axis=1)).tolist():
                     near = right[hit[p]]
                     own = a.held(level, int(part[p]))
@@ -134,20 +139,28 @@ def _labels(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
         la, lb = na, nb
 
 
+def _planted(t: pa.Table) -> pa.Table:
+    """A block's rows with their number in it and their nearest centres: what its cover tree is made of."""
+    near = nearest_centres(unit(matrix(t.column("v")))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, len(near), dtype=np.int32), pa.array(near.T.ravel()))
+    return t.append_column("at", pa.array(np.arange(t.num_rows, dtype=np.int32))).append_column("near", lists)
+
+
 def _linked(cosine: float):
     distance = math.sqrt(2.0 - 2.0 * cosine)
 
     def join(t: pa.Table) -> pa.Table:
         """A pair of blocks: per vector the number of vectors it links with here, and spanning links."""
+        t = t.sort_by("at")  # of each block, the order that its tree was made in
         side = t.column("side").to_numpy()
         rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-        x = matrix(t.column("unit"))
+        x, near = unit(matrix(t.column("v"))), matrix(t.column("near"), np.int64)
         at = [np.flatnonzero(side == s) for s in (0, 1)]
         same = not len(at[1])
         if not len(at[0]):
             return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
-        one = CoverTree(x[at[0]])
-        two = one if same else CoverTree(x[at[1]])
+        one = CoverTree(x[at[0]], near[at[0]].T)
+        two = one if same else CoverTree(x[at[1]], near[at[1]].T)
         rep_b, n_b = (rep[at[0]], n[at[0]]) if same else (rep[at[1]], n[at[1]])
         rep_a, n_a = rep[at[0]], n[at[0]]
         links_a, links_b = np.zeros(len(rep_a), np.int64), np.zeros(len(rep_b), np.int64)
@@ -213,23 +226,26 @@ def _found(classes: DataFrame, cosine: float) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(matrix(batch.column("v")))
-            d = _distances(x, top)
-            unit_rows = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), unit_rows, pa.array(d.argmin(axis=1)), pa.array(d.min(axis=1))], ["rep", "n", "unit", "cell", "far"])
+            d = _distances(unit(matrix(batch.column("v"))), top)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("v"), pa.array(d.argmin(axis=1)), pa.array(d.min(axis=1))], ["rep", "n", "v", "cell", "far"])
 
-    placed = written(classes.mapInArrow(assign, "rep long, n long, unit array<double>, cell long, far double"), "vector-cells")
+    kind = classes.schema["v"].dataType.simpleString()
+    placed = written(classes.select("rep", "n", "v").mapInArrow(assign, f"rep long, n long, v {kind}, cell long, far double"), "vector-cells")
     cells = sorted((r.cell, r.held, r.radius) for r in placed.groupBy("cell").agg(F.count("*").alias("held"), F.max("far").alias("radius")).collect())  # CELLS rows at most
     between = _distances(top, top)
     distance = math.sqrt(2.0 - 2.0 * cosine)
     blocks = {c: -(-held // BLOCK) for c, held, _ in cells}
-    near = [(c, d, blocks[c], blocks[d]) for c, _, rc in cells for d, _, rd in cells if between[c, d] <= rc + rd + distance + SLACK]
-    near = placed.sparkSession.createDataFrame(near, "cell long, other long, blocks long, others long")
-    dealt = placed.join(F.broadcast(near), "cell")  # CELLS squared rows at most
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("with_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    sizes = placed.sparkSession.createDataFrame(list(blocks.items()), "cell long, blocks long")
+    planted = placed.join(F.broadcast(sizes), "cell").select("rep", "n", "v", "cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))  # CELLS rows at most
+    planted = planted.groupBy("cell", "block").applyInArrow(_planted, f"rep long, n long, v {kind}, cell long, block long, at int, near array<int>")
+    planted = written(planted, "vector-trees")
+    near = [(c, d, blocks[d]) for c, _, rc in cells for d, _, rd in cells if between[c, d] <= rc + rd + distance + SLACK]
+    near = placed.sparkSession.createDataFrame(near, "cell long, other long, others long")
+    dealt = planted.join(F.broadcast(near), "cell")  # CELLS squared rows at most
+    dealt = dealt.withColumn("with_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     first = (F.col("cell") < F.col("other")) | ((F.col("cell") == F.col("other")) & (F.col("block") <= F.col("with_")))
     own, partner = F.struct("cell", "block"), F.struct(F.col("other").alias("cell"), F.col("with_").alias("block"))
-    dealt = dealt.select("rep", "n", "unit", F.when(first, own).otherwise(partner).alias("p"), F.when(first, partner).otherwise(own).alias("q"), F.when(first, 0).otherwise(1).alias("side"))
+    dealt = dealt.select("rep", "n", "v", "at", "near", F.when(first, own).otherwise(partner).alias("p"), F.when(first, partner).otherwise(own).alias("q"), F.when(first, 0).otherwise(1).alias("side"))
     return dealt.groupBy("p", "q").applyInArrow(_linked(cosine), "rep long, links long, low long")
 
 
