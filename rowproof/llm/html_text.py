@@ -3,8 +3,11 @@
 A task reads each page once and returns its text blocks, each with the hashes of the element subtrees around it,
 and the page's subtree hashes. Spark counts on how many pages of a host each subtree occurs; blocks in a subtree
 that recurs on many pages of the host are deleted. Elements that are never article text by their kind (menus,
-footers, forms, adverts, reader comments and so on) go as well, which also serves hosts with few pages. Inside an
-article or main element only this second rule holds, as articles may repeat a line or be copies of each other.
+footers, forms, adverts, reader comments and so on) go as well, which also serves hosts with few pages.
+
+Copies of a page count once. Inside an article or main element a subtree has to be in more of the host's different
+articles, as articles may repeat a line. Blocks outside an article are left to the counts; only where a host has too
+few pages to count does a page's single article stand for its text.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from rowproof.llm.common import small_batches, table, written
 
 #: A subtree is part of the template if it is on so many pages of the host, and on this share of them.
 LEAST_PAGES, SHARE = 4, 0.2
+#: Inside articles it has to be in this share of the host's different articles.
+ARTICLE_SHARE = 0.5
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "select", "textarea", "button", "option", "datalist"}
@@ -53,13 +58,16 @@ class _Element:
 
 
 class PageReader(HTMLParser):
-    """Blocks of a page: [text, dropped by kind, in an article, hashes of the subtrees around it]."""
+    """Blocks of a page: [text, dropped by kind, in an article, hashes of the subtrees around it].
+
+    Hashes of subtrees inside an article are complemented, so that they are counted apart.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []
         self.hashes: set[int] = set()
-        self.has_article = False
+        self.articles = 0
         self.held: list[str] = []
         self.stack = [_Element("", "", False, False, False, 0)]
 
@@ -90,8 +98,8 @@ class PageReader(HTMLParser):
         hidden = any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "")) or (k == "aria-hidden" and v == "true") for k, v in attrs)
         article = tag in ("article", "main") or "main" in named and any(k == "role" and v == "main" for k, v in attrs)
         bad = top.bad or tag in NOT_ARTICLE or (tag == "header" and not top.in_article) or (tag not in ("body", "html") and bool(named & MARKS)) or hidden
-        if article and not bad:
-            self.has_article = True
+        if article and not bad and not top.in_article:
+            self.articles += 1
         self.stack.append(_Element(tag, marks, bad, top.in_article or (article and not bad), top.silent or tag in SILENT, len(self.blocks)))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -116,11 +124,12 @@ class PageReader(HTMLParser):
             self.stack.pop()
             h = _hash(top.tag, top.attrs, *top.parts)
             self.stack[-1].parts.append(str(h))
-            if top.tag not in INLINE and top.parts and not top.in_article and top.tag not in ("html", "body"):
-                self.hashes.add(h)
+            if top.tag not in INLINE and top.parts and top.tag not in ("html", "body"):
+                h = ~h if top.in_article else h
                 for block in self.blocks[top.block_from :]:
-                    if not block[2]:
+                    if block[2] == top.in_article and not block[1]:
                         block[3].append(h)
+                        self.hashes.add(h)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -143,16 +152,25 @@ class PageReader(HTMLParser):
         self.close_to(1)
 
 
-def read_page(html: str) -> tuple[list[list], set[int]]:
-    """(blocks that may be main text: [text, hashes around it], all subtree hashes)."""
+def _read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], set[int]]:
+    """(blocks not dropped by kind: (text, in an article, main text as far as the page alone tells, hashes around it), all subtree hashes)."""
     reader = PageReader()
     reader.feed(html)
     reader.finish()
-    kept = [[text, hashes] for text, bad, in_article, hashes in reader.blocks if not bad and (in_article or not reader.has_article)]
-    return kept, reader.hashes
+    kept = [(text, in_article, hashes) for text, bad, in_article, hashes in reader.blocks if not bad]
+    inside = sum(len(text) for text, in_article, _ in kept if in_article)
+    # several articles with less text than stands beside them are teasers
+    only = reader.articles == 1 or (reader.articles > 1 and 2 * inside >= sum(len(text) for text, _, _ in kept))
+    return [(text, in_article, in_article or not only, hashes) for text, in_article, hashes in kept], reader.hashes
+
+
+def read_page(html: str) -> tuple[list[list], set[int]]:
+    """(blocks that may be main text: [text, hashes around it], all subtree hashes)."""
+    blocks, hashes = _read(html)
+    return [[text, around] for text, _, alone, around in blocks if alone], hashes
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
     """(page_id, url, text), one row per input row.
 
     text has the page's blocks in order, joined by an empty line; white space inside a block is one space. Null
@@ -170,30 +188,43 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
         n = TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys, texts, around, hashes = [], [], [], []
+            keys, texts, alone, around, outer, inner, page, article = [], [], [], [], [], [], [], []
             for html in batch.column(3):
-                blocks, own = read_page(html.as_py())
+                blocks, own = _read(html.as_py())
                 keys.append(n)
                 n += 1
-                texts.append([t for t, _ in blocks])
-                around.append([h for _, h in blocks])
-                hashes.append(sorted(own))
+                texts.append([b[0] for b in blocks])
+                alone.append([b[2] for b in blocks])
+                around.append([b[3] for b in blocks])
+                inside = {h for b in blocks if b[1] for h in b[3]}
+                outer.append(sorted(own - inside))
+                inner.append(sorted(inside))
+                page.append(_hash(*(b[0] for b in blocks)))
+                article.append(_hash(*(b[0] for b in blocks if b[1])))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(around, pa.list_(longs)), pa.array(hashes, longs)], ["page_id", "url", "host", "key", "texts", "around", "hashes"])
-
-    read_ = written(x.mapInArrow(read, f"page_id {id_type}, url string, host string, key long, texts array<string>, around array<array<long>>, hashes array<long>"), "page-blocks")
-    # on how many pages of its host each subtree occurs: counted before the shuffle, so a hot host is no hot group
-    seen = read_.where("host <> ''").select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("pages"))
-    totals = read_.where("host <> ''").groupBy("host").agg(F.count("*").alias("all_pages"))
-    recurring = seen.where(F.col("pages") >= least).join(totals, "host").where(F.col("pages") >= share * F.col("all_pages")).select("host", "h")
-    # only pages with blocks outside an article ask which of the subtrees around them recur; the others stay where they are
-    open_ = F.size(F.flatten("around")) > 0
-    asked = read_.where(open_).select("key", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("h"))
-    gone = asked.join(recurring, ["host", "h"]).groupBy("key").agg(F.collect_set("h").alias("gone"))
-    out = read_.where(open_).select("page_id", "url", "key", "texts", "around").join(gone, "key", "left")
-    left = F.filter(F.arrays_zip("texts", "around"), lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b.around, F.col("gone")))
-    out = out.select("page_id", "url", F.array_join(F.transform(left, lambda b: b.texts), "\n\n").alias("text"))
-    return out.unionByName(read_.where(~open_).select("page_id", "url", F.array_join("texts", "\n\n").alias("text")))
+            columns = [pa.array(keys, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(alone, pa.list_(pa.bool_())), pa.array(around, pa.list_(longs)), pa.array(outer, longs), pa.array(inner, longs), pa.array(page, pa.int64()), pa.array(article, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["page_id", "url", "host", "key", "texts", "alone", "around", "outer", "inner", "page", "article"])
+
+    schema = f"page_id {id_type}, url string, host string, key long, texts array<string>, alone array<boolean>, around array<array<long>>, outer array<long>, inner array<long>, page long, article long"
+    read_ = written(x.mapInArrow(read, schema), "page-blocks")
+    named = read_.where("host <> ''")
+
+    # in how many different pages or articles of its host each subtree is: counted before the shuffle, so a hot host is no hot group
+    def recurring(hashes: str, content: str, some: float) -> DataFrame:
+        seen = named.select("host", F.explode(hashes).alias("h"), content).groupBy("host", "h").agg(F.count_distinct(content).alias("n"))
+        totals = (named.where(F.size(hashes) > 0) if content == "article" else named).groupBy("host").agg(F.count_distinct(content).alias("all"))
+        return seen.where(F.col("n") >= least).join(totals, "host").where(F.col("n") >= some * F.col("all")).select("host", "h")
+
+    gone = written(recurring("outer", "page", share).unionByName(recurring("inner", "article", article_share)), "page-template")
+    asked = named.select("key", "host", F.explode(F.concat("outer", "inner")).alias("h")).join(gone, ["host", "h"]).select("key", "h")
+    # where a host has pages enough, its counts tell what to do with blocks beside an article
+    known = named.groupBy("host").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least).select("host")
+    beside = named.where(F.exists("alone", lambda b: ~b)).select("key", "host").join(known, "host").select("key", F.lit(None).cast("long").alias("h"))
+    # written, so that Spark knows its size: pages need no shuffle where few of them have anything to lose
+    gone = written(asked.unionByName(beside).groupBy("key").agg(F.collect_set("h").alias("gone")), "page-gone")
+    out = read_.select("page_id", "url", "key", "texts", "alone", "around").join(gone, "key", "left")
+    left = F.filter(F.arrays_zip("texts", "alone", "around"), lambda b: F.when(F.col("gone").isNull(), b.alone).otherwise(~F.arrays_overlap(b.around, F.col("gone"))))
+    return out.select("page_id", "url", F.array_join(F.transform(left, lambda b: b.texts), "\n\n").alias("text"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

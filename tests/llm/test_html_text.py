@@ -50,3 +50,20 @@ def test_given_pages_lose_no_article_text(spark):
         inside = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
         words = entities.unescape(re.sub(r"<[^>]*>", " ", inside)).split()
         assert got[i].split() == words
+
+
+def test_recurring_subtrees_inside_articles(spark):
+    page = lambda i: f'<article><h1>title {i}</h1><p>story {i}</p><p>same line {i % 5}</p><div><p>Sign up</p><p>Follow us</p></div></article>'
+    rows = [(i, "https://a.example/x", page(i)) for i in range(10)] + [(20 + i, "https://b.example/x", page(1)) for i in range(6)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(10):
+        assert got[i] == f"title {i}\n\nstory {i}\n\nsame line {i % 5}"
+    for i in range(6):  # copies of one article show no template
+        assert got[20 + i] == "title 1\n\nstory 1\n\nsame line 1\n\nSign up\n\nFollow us"
+
+
+def test_counts_decide_beside_articles(spark):
+    page = lambda i: f'<div><p>Site</p></div><article><p>teaser {i}</p></article><div><p>story {i}</p></div>'
+    rows = [(i, "https://a.example/x", page(i)) for i in range(6)] + [(9, "https://b.example/x", page(9))]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"teaser {i}\n\nstory {i}" for i in range(6)} | {9: "teaser 9"}
