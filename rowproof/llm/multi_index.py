@@ -5,8 +5,9 @@ entered in the cell of its two nearest centroids. A query goes through the pairs
 summed score, kept in a heap, until the cells passed hold enough vectors; these are reranked by the exact measure.
 
 Neighbouring first centroids share a list of about BLOCK vectors; a centroid with more is cut into blocks of that
-size, so that one with a third of all vectors is many tasks. A query meets each block of the lists it passes once,
-and keeps its best there.
+size, so that one with a third of all vectors is many tasks. Queries are dealt into blocks as well; each block of
+queries meets each block of vectors in a group of its own, so that neither side of a group grows with the table. A
+query meets each block of the lists it passes once, and keeps its best there.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from rowproof.llm.vectors import matrix, sample, usable
 
 #: Rows to fit codebooks on at most, centroids of each half, vectors of a block about.
 SAMPLE, CENTROIDS, BLOCK = 16_384, 128, 4096
+#: Queries of a block (and one more for each task that deals them, at most).
+QUERIES = 2048
 #: A query passes cells until they hold this share of all vectors, and this many at least. Vectors without any
 #: structure, as most here, need this much for a recall of 0.9: neither half says much about the other.
 SHARE, LEAST = 0.37, 1000
@@ -106,33 +109,8 @@ class MultiIndex:
         """
         if self.empty:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        books, cut, counts = self.books, self.cut, self.counts
-        enough = int(max(least, share * self.n)) + k + 1
-        width = counts.shape[1]
-        lists, blocks = self._lists()
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v = matrix(batch.column("v"))
-                first, second = v[:, :cut] @ books[0].T, v[:, cut:] @ books[1].T
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for row, (query_id, a, b) in enumerate(zip(batch.column("vec_id").to_pylist(), first, second, strict=True)):
-                    cells: dict[int, list[int]] = {}
-                    for i, j in passed(a, b, counts, enough):
-                        cells.setdefault(lists[i], []).append(i * width + j)
-                    for at, own in cells.items():
-                        for block in range(blocks[at]):
-                            for column, value in zip(out, (query_id, row, at, block, own), strict=True):
-                                column.append(value)
-                rows = pa.array(out[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column("v").take(rows), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int32()))], ["query_id", "q", "at", "part", "cells"])
-
-        list_of = F.element_at(F.array(*map(F.lit, lists)), F.col("i") + 1)
-        n_blocks = F.element_at(F.array(*(F.lit(n).cast("long") for n in blocks)), F.col("list") + 1)
-        entries = self.entries.withColumn("list", list_of).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), n_blocks))
-        entries = entries.select("vec_id", "v", (F.col("i") * width + F.col("j")).alias("cell"), "list", "block")
-        routed = self.entries.where(queries).select("vec_id", "v").repartition(self._parts()).mapInArrow(route, "query_id long, q array<double>, at int, part long, cells array<int>")
-        n_cells = counts.size
+        entries, routed = self._dealt(queries, int(max(least, share * self.n)) + k + 1)
+        n_cells = self.counts.size
 
         def rerank(own: pa.Table, asked: pa.Table) -> pa.Table:
             found: list[tuple[np.ndarray, ...]] = []
@@ -157,10 +135,46 @@ class MultiIndex:
             a, b, c = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*found, strict=True) if found else ((), (), ()), strict=True))
             return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-        best = entries.groupBy("list", "block").cogroup(routed.groupBy("at", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+        best = entries.groupBy("list", "block", "with_queries").cogroup(routed.groupBy("at", "part", "query_block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+    def _dealt(self, queries: Column, enough: int) -> tuple[DataFrame, DataFrame]:
+        """Entries by (list, block, with_queries), and queries by (at, part, query_block): what meets in a group."""
+        books, cut, counts = self.books, self.cut, self.counts
+        width = counts.shape[1]
+        lists, blocks = self._lists()
+        asked = self.entries.where(queries).select("vec_id", "v")
+        query_blocks = max(1, -(-asked.count() // QUERIES))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            n = TaskContext.get().partitionId()
+            for batch in batches:
+                v = matrix(batch.column("v"))
+                first, second = v[:, :cut] @ books[0].T, v[:, cut:] @ books[1].T
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for row, (query_id, a, b) in enumerate(zip(batch.column("vec_id").to_pylist(), first, second, strict=True)):
+                    n += 1
+                    cells: dict[int, list[int]] = {}
+                    for i, j in passed(a, b, counts, enough):
+                        cells.setdefault(lists[i], []).append(i * width + j)
+                    for at, own in cells.items():
+                        for block in range(blocks[at]):
+                            for column, value in zip(out, (query_id, row, at, block, n % query_blocks, own), strict=True):
+                                column.append(value)
+                rows = pa.array(out[1], pa.int32())
+                columns = [pa.array(x, t) for x, t in zip(out[2:], (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column("v").take(rows), *columns], ["query_id", "q", "at", "part", "query_block", "cells"])
+
+        list_of = F.element_at(F.array(*map(F.lit, lists)), F.col("i") + 1)
+        n_blocks = F.element_at(F.array(*(F.lit(n).cast("long") for n in blocks)), F.col("list") + 1)
+        entries = self.entries.withColumn("list", list_of).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), n_blocks))
+        entries = entries.select("vec_id", "v", (F.col("i") * width + F.col("j")).alias("cell"), "list", "block")
+        entries = entries.withColumn("with_queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+        return entries, asked.repartition(self._parts()).mapInArrow(route, "query_id long, q array<double>, at int, part long, query_block long, cells array<int>")
+
     def _lists(self) -> tuple[list[int], list[int]]:
         """(list of each first centroid, number of blocks of each list)."""
         lists, sizes = [], []

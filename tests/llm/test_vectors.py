@@ -95,3 +95,30 @@ def test_recall(spark):
     recall = np.mean([len(got[q] & {i for i, _ in v}) / len(v) for q, v in expected.items()])
     print("recall", recall)
     assert recall >= 0.9
+
+
+def test_multi_index_groups_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "QUERIES", 16)
+    monkeypatch.setattr(multi_index, "BLOCK", 50)
+    data = rows()
+    index = multi_index.MultiIndex(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3))
+    entries, routed = index._dealt(F.lit(True), 10_000)
+    sizes = [r["count"] for r in routed.groupBy("at", "part", "query_block").count().collect()]
+    assert max(sizes) <= 16 + index._parts() and len(sizes) > 100
+    assert max(r["count"] for r in entries.groupBy("list", "block", "with_queries").count().collect()) <= 100
+    got = {}
+    for r in index.search(F.lit(True)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in v] for q, v in nearest(data, step=1).items()}
+
+
+def test_recall_where_the_share_decides(spark):
+    d = "/root/testdata/sf0.1"
+    df = spark.read.parquet(f"{d}/embeddings.parquet")
+    expected = nearest([(r.vec_id, r.embedding) for r in df.orderBy("vec_id").collect()])
+    got = {}
+    for r in multi_index.MultiIndex(df).search(F.col("vec_id") % 20 == 0, least=0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(got[q] & {i for i, _ in v}) / len(v) for q, v in expected.items()])
+    print("recall", recall)
+    assert recall >= 0.9
