@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rowproof.llm import bpe, minhash, mixing, secret_scan
 from rowproof.llm import toxicity as tox
-from rowproof.llm.common import table, written
+from rowproof.llm.common import n_words, table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the smallest id.
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the smallest id,
+    one without an id only if none has one.
 
-    Repeated rows of an id are one document; rows without an id stay.
+    Different texts that share an id are documents of their own. Rows without words stay, once for each id.
     """
-    found = minhash.near_duplicates(docs, k=5, percent=80)
-    kept = written(found.where("kept and doc_id is not null").select("doc_id").distinct(), "pipeline-kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows, k=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
+    kept = written(found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first")).select("first.__row"), "pipeline-kept")
+    rows = rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    wordless = (n_words(F.col("text")) == 0) & F.col("doc_id").isNotNull()
+    return rows.where(~wordless).unionByName(rows.where(wordless).dropDuplicates(["doc_id"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: complete epochs, and once more where the fractional selection
     takes at least half of the document's words (whole texts only)."""
     more = F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
-    times = mixing.mix(docs).select(F.col("doc_id").alias("__mix_id"), (F.col("epochs") + more).cast("int").alias("__times")).where("__times > 0")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = mixing.mix(docs, carry=True).select("row", (F.col("epochs") + more).cast("int").alias("__times")).where("__times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

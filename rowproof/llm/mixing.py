@@ -57,18 +57,20 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return x.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: int = 7, carry: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, part, taken): taken = epochs * size + part.
 
     Null text has size 0 and is taken 0 times; null source is a source of its own; ties in the key go by id,
     then size; of equal rows any may be the one taken in part. An empty table gives no rows. `weight` is a
-    quality column over (size, n_chars); by default quality().
+    quality column over (size, n_chars); by default quality(). With `carry`, a column "row" has each row of docs.
     """
     text, doc_id = F.col(text_col), F.col(id_col)
-    sized = docs.select(doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
+    carried = ["row"] if carry else []
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    sized = docs.select(*row, doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
     w = quality(F.col("size"), F.col("n_chars")) if weight is None else weight
     key = -F.log(uniform(F.col("doc_id"), seed)) / w
-    sized = written(sized.select("doc_id", "source", "size", key.alias("key"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name")), "mix-sized")
+    sized = written(sized.select(*carried, "doc_id", "source", "size", key.alias("key"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name")), "mix-sized")
 
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     plan = targets(sources)
@@ -87,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last = written(last.select("no_source", "name", F.col("bucket").alias("last"), (F.col("budget") - F.col("before")).alias("left")), "mix-last")
 
     cut = dealt.join(last, ["no_source", "name"], "left")
-    out = ["doc_id", "source", "size", "source_size", "target", "epochs"]
+    out = [*carried, "doc_id", "source", "size", "source_size", "target", "epochs"]
     clear = cut.where(~F.col("bucket").eqNullSafe(F.col("last"))).select(*out, F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(0).cast("long").alias("part"))
     within = Window.partitionBy("no_source", "name").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = cut.where(F.col("bucket") == F.col("last")).withColumn("upto", F.sum("size").over(within))

@@ -51,6 +51,27 @@ def test_mix_repeats_whole_documents(spark):
     assert max(counts.values()) <= 2
 
 
+def test_mix_takes_rows_not_ids(spark):
+    rows = [(None, f"no id {i} ta lo mi", "en", "s0", 5) for i in range(12)] + [(7, f"same id {i} ta lo mi", "en", f"s{i % 2}", 5) for i in range(8)] + [(i, f"own id {i} lo", "en", "s1", 5) for i in range(20, 40)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    counts = {}
+    for r in cp.mix(spark, x, D).collect():
+        counts[tuple(r)] = counts.get(tuple(r), 0) + 1
+    assert set(counts) <= set(rows) and max(counts.values()) <= 2
+    words = sum(len(r[1].split()) * n for r, n in counts.items())
+    assert abs(words - 1.5 * sum(len(r[1].split()) for r in rows)) <= 2 * 6  # half a document of each source at most
+
+
+def test_near_dedup_takes_rows_not_ids(spark):
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choice(["ta", "lo", "mi", "re", "su"]) for _ in range(4)) for _ in range(30))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, d), (8, d), (3, ""), (3, ""), (4, None), (None, ""), (None, "")]
+    x = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, x, D).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (8, d), (3, ""), (4, None), (None, ""), (None, "")], key=str)
+
+
 def test_toxicity_only_filters(spark):
     x = spark.read.parquet(f"{D}/documents.parquet").withColumn("extra", F.lit("x"))
     got = cp.toxicity(spark, x, D)
