@@ -38,6 +38,8 @@ MARKS = {
     "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "replies", "search", "share", "sharing", "sidebar", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget", "complementary", "contentinfo", "dialog", "alert", "respond", "responses", "overlay", "skip", "topbar",
 }
+#: Words that may stand beside one of MARKS in a class, id or role (has-sidebar and search-results mark nothing).
+NEUTRAL = {"area", "bar", "block", "box", "container", "inner", "item", "items", "left", "link", "links", "list", "outer", "page", "panel", "posts", "right", "section", "site", "slot", "unit", "wrap", "wrapper"}
 #: A start tag ends an open element of these kinds.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 _ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "footer", "header", "nav", "main", "form", "blockquote", "pre", "figure", "figcaption", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "address", "fieldset", "details", "menu"}
@@ -50,10 +52,11 @@ def _hash(*parts: str) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "parts", "block_from", "bad", "in_article", "silent", "text_from")
+    __slots__ = ("tag", "attrs", "parts", "block_from", "bad", "in_article", "silent", "mark")
 
-    def __init__(self, tag, attrs, bad, in_article, silent, block_from):
+    def __init__(self, tag, attrs, bad, in_article, silent, block_from, mark=-1):
         self.tag, self.attrs, self.bad, self.in_article, self.silent, self.block_from = tag, attrs, bad, in_article, silent, block_from
+        self.mark = mark
         self.parts: list[str] = []
 
 
@@ -66,9 +69,10 @@ class PageReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []
-        self.hashes: set[int] = set()
         self.articles = 0
+        self.free_article = False
         self.held: list[str] = []
+        self.marked: list[int] = []  # of each marked element: the marked element around it, or -1
         self.stack = [_Element("", "", False, False, False, 0)]
 
     def end_block(self) -> None:
@@ -77,7 +81,7 @@ class PageReader(HTMLParser):
             self.held = []
             top = self.stack[-1]
             if text:
-                self.blocks.append([text, top.bad, top.in_article, []])
+                self.blocks.append([text, top.bad, top.in_article, [], top.mark])
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in VOID:
@@ -94,13 +98,18 @@ class PageReader(HTMLParser):
             self.end_block()
         top = self.stack[-1]
         marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        named = {w for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower()) if w} if marks else set()
+        tokens = [{w for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", t).lower()) if w} for t in marks.split()]
         hidden = any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "")) or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        article = tag in ("article", "main") or "main" in named and any(k == "role" and v == "main" for k, v in attrs)
-        bad = top.bad or tag in NOT_ARTICLE or (tag == "header" and not top.in_article) or (tag not in ("body", "html") and bool(named & MARKS)) or hidden
+        article = tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs)
+        bad = top.bad or tag in NOT_ARTICLE or (tag == "header" and not top.in_article) or hidden
+        mark = top.mark
+        if tag not in ("body", "html") and not article and any(t & MARKS and t <= MARKS | NEUTRAL for t in tokens):
+            self.marked.append(mark)
+            mark = len(self.marked) - 1
         if article and not bad and not top.in_article:
             self.articles += 1
-        self.stack.append(_Element(tag, marks, bad, top.in_article or (article and not bad), top.silent or tag in SILENT, len(self.blocks)))
+            self.free_article = self.free_article or mark < 0
+        self.stack.append(_Element(tag, marks, bad, top.in_article or (article and not bad), top.silent or tag in SILENT, len(self.blocks), mark))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,7 +138,6 @@ class PageReader(HTMLParser):
                 for block in self.blocks[top.block_from :]:
                     if block[2] == top.in_article and not block[1]:
                         block[3].append(h)
-                        self.hashes.add(h)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -150,22 +158,37 @@ class PageReader(HTMLParser):
         self.close()
         self.end_block()
         self.close_to(1)
+        # a marked element goes, unless it is what holds the page: most of its text, and no article is elsewhere
+        held = [0] * len(self.marked)
+        for text, bad, _, _, mark in self.blocks:
+            if mark >= 0 and not bad:
+                held[mark] += len(text)
+        for i in range(len(held) - 1, -1, -1):
+            if self.marked[i] >= 0:
+                held[self.marked[i]] += held[i]
+        whole = sum(len(b[0]) for b in self.blocks if not b[1])
+        goes: list[bool] = []
+        for outer, n in zip(self.marked, held, strict=True):
+            goes.append((outer >= 0 and goes[outer]) or self.free_article or 2 * n <= whole)
+        for block in self.blocks:
+            block[1] = block[1] or (block[4] >= 0 and goes[block[4]])
 
 
 def _read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], set[int]]:
-    """(blocks not dropped by kind: (text, in an article, main text as far as the page alone tells, hashes around it), all subtree hashes)."""
+    """(blocks not dropped by kind: (text, in an article, main text as far as the page alone tells, hashes around it), all these hashes)."""
     reader = PageReader()
     reader.feed(html)
     reader.finish()
-    kept = [(text, in_article, hashes) for text, bad, in_article, hashes in reader.blocks if not bad]
+    kept = [(text, in_article, hashes) for text, bad, in_article, hashes, _ in reader.blocks if not bad]
     inside = sum(len(text) for text, in_article, _ in kept if in_article)
     # several articles with less text than stands beside them are teasers
-    only = reader.articles == 1 or (reader.articles > 1 and 2 * inside >= sum(len(text) for text, _, _ in kept))
-    return [(text, in_article, in_article or not only, hashes) for text, in_article, hashes in kept], reader.hashes
+    articles = reader.articles if inside else 0
+    only = articles == 1 or (articles > 1 and 2 * inside >= sum(len(text) for text, _, _ in kept))
+    return [(text, in_article, in_article or not only, hashes) for text, in_article, hashes in kept], {h for _, _, hashes in kept for h in hashes}
 
 
 def read_page(html: str) -> tuple[list[list], set[int]]:
-    """(blocks that may be main text: [text, hashes around it], all subtree hashes)."""
+    """(blocks that may be main text: [text, hashes around it], all these hashes)."""
     blocks, hashes = _read(html)
     return [[text, around] for text, _, alone, around in blocks if alone], hashes
 

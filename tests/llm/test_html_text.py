@@ -67,3 +67,10 @@ def test_counts_decide_beside_articles(spark):
     rows = [(i, "https://a.example/x", page(i)) for i in range(6)] + [(9, "https://b.example/x", page(9))]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == {i: f"teaser {i}\n\nstory {i}" for i in range(6)} | {9: "teaser 9"}
+
+
+def test_marks_are_whole_names():
+    for start in ("<div class='content has-sidebar'>", "<article class='post no-comments'>", "<main id='search-results'>", "<div class='social-science'>", "<div class='sidebar'><div>"):
+        assert text(f"{start}<p>a long story</p><div class='comments-area'><p>nice</p></div>") == "a long story"
+    assert text("<div class='sidebar'><p>a much longer menu</p></div><article><p>a</p></article>") == "a"
+    assert text("<article><p>x</p></article><article><p>y</p></article><div><p>the long story</p></div>") == "x\n\ny\n\nthe long story"
