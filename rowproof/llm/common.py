@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,33 +15,54 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir (a folder of our own where it is unset)."""
+    """A new path in the shared folder named by spark.checkpoint.dir.
+
+    Where that is unset a local session gets a folder of its own; on a cluster that is an error, as executors do not
+    see each other's disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rowproof-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/rowproof/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as two underscores) for a while; the caller's come back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
-    This cuts the lineage: what follows survives the loss of executors, and the shuffle files of what came
-    before can go.
+    This cuts the lineage: what follows survives the loss of executors. The shuffle files of what came before go
+    when the table is written.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of data frames that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() made and nothing needs any more."""
+    for x in tables:
+        spark = x.sparkSession
+        for folder in {f.rpartition("/")[0] for f in x.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -52,15 +52,35 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(rl, "HOT", hot)
+@pytest.mark.parametrize("group", [4096, 2])
+def test_equals_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(rl, "GROUP", group)
     data = rows()
     df = spark.createDataFrame([(i, t, 1, "clash") for i, t in data], "doc_id long, text string, start int, h string").repartition(3)
     got = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in rl.spans(df).collect()}
     assert got == brute(data)
 
 
+def test_index_ranks_and_matches():
+    """Against sorted suffixes, terminators smaller than any byte and in text order."""
+    r = random.Random(3)
+    contexts = [bytes(r.choice(b"ab\0\xff") for _ in range(r.randint(1, 40))) for _ in range(12)] + [b"abab" * 9, b"abab" * 8, b"a"]
+    index = rl.RunLengthIndex(contexts)
+    suffixes, at = [], 0
+    for number, c in enumerate(contexts):
+        suffixes += [([x + len(contexts) for x in c[i:]] + [number], at + i) for i in range(len(c) + 1)]
+        at += len(c) + 1
+    order = [p for _, p in sorted(suffixes)]
+    symbols = dict((p, s) for s, p in suffixes)
+    common = lambda x, y: next(i for i in range(len(x)) if x[i] != y[i])
+    match = {q: common(symbols[p], symbols[q]) for p, q in zip(order, order[1:], strict=False)} | {order[0]: 0}
+    assert index.matches().tolist() == [match[p] for p in range(at)]
+    places, ranks = index.ranks(3)
+    assert sorted(places.tolist()) == [p for p in range(at) if len(symbols[p]) > 3]
+    assert [order[k] for k in ranks.tolist()] == places.tolist()
+    assert index.runs < at
+
+
 def test_repeated_rows_and_empty_table(spark):
     t = words(random.Random(1), 40)
     df = spark.createDataFrame([(2, t), (2, t), (1, t)], "doc_id long, text string")
