@@ -2,13 +2,16 @@
 
 Unit vectors at cosine c are sqrt(2 - 2c) apart, so the threshold is a distance. Equal vectors are one class.
 
-* Upper level: cells around at most CELLS centres from a bounded sample; every class goes to its nearest centre,
-  and a cell's covering radius is measured over all its members. Pairs of cells farther apart than both radii and
-  the threshold are dropped; there are at most CELLS squared of them.
-* A cell is cut into blocks of about BLOCK classes, so that a cell with a third of all rows is many tasks. Each
-  block gets a cover tree, made once: nested levels with halving radii, each node with its measured covering radius.
-* Each surviving pair of blocks is one task: it descends both trees, prunes node pairs by the covering radii and
-  computes the cosines of what is left in double precision.
+* Upper level: every class goes to the nearest of some centres (fitted on a bounded sample). A cell with many classes
+  is cut into rings by distance from its centre, so that one with a third of all rows is many blocks; a ring that is
+  still too large, as its distances are equal, is cut by hash. A block holds about SPREAD times the square root of the
+  number of classes (BLOCK at least), so there are that few blocks, and copies of a row grow with the root as well.
+* Each block gets a cover tree, made once: nested levels with halving radii, each node with its measured covering
+  radius.
+* Blocks are numbered. A class meets its own block, and each earlier-numbered block's classes visit it: those whose
+  distance to the block's centre is within its ring, widened by the threshold, and no others. The block is held, its
+  visitors stream past it block by block, for GROUP blocks a task; each time both trees are descended, node pairs are
+  pruned by the covering radii, and the cosines of what is left are computed in double precision.
 
 A task returns a row per vector (how many others it links with) and a spanning set of links, never all pairs.
 """
@@ -25,9 +28,13 @@ from pyspark.sql import functions as F
 
 from rowproof.llm.common import small_batches, table, written
 from rowproof.llm.components import components
+from rowproof.llm.multi_index import codebook
 from rowproof.llm.vectors import matrix, sample, unit, usable
 
-SAMPLE, CELLS, BLOCK = 4096, 256, 4096
+#: Classes that centres are fitted on at most; least size of a block, and its size by the root of the number of classes.
+SAMPLE, BLOCK, SPREAD = 16_384, 4096, 40
+#: Blocks whose classes visit a block in one task.
+GROUP = 8
 RADII = (1.0, 0.5, 0.25)
 #: Slack for rounding in pruning, which is done in single precision; cosines of pairs that are left are exact.
 SLACK = 1e-4
@@ -37,16 +44,6 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
-def centres(x: np.ndarray, k: int) -> np.ndarray:
-    """k rows of x, each the farthest from those before it (fewer if all are taken)."""
-    picked = [0]
-    near = _distances(x, x[:1])[:, 0]
-    while len(picked) < min(k, len(x)) and near.max() > 0:
-        picked.append(int(near.argmax()))
-        near = np.minimum(near, _distances(x, x[picked[-1:]])[:, 0])
-    return x[picked]
-
-
 def nearest_centres(x: np.ndarray) -> np.ndarray:
     """A row per level of RADII: for each row of x the row of its nearest centre on that level.
 
@@ -77,14 +74,21 @@ def nearest_centres(x: np.ndarray) -> np.ndarray:
 class CoverTree:
     """Nested levels of nodes over the rows of x. A node is a centre row; levels[0] is the coarsest.
 
-    near is what nearest_centres() says of x. members lists, level by level and node by node, what a node holds:
+    near is what nearest_centres() says of a block, at which of its rows (in order) x has; all by default. members lists, level by level and node by node, what a node holds:
     nodes of the next level, or rows at the last one; starts has where each node's list begins; radius is the
     greatest distance to a row below.
     """
 
-    def __init__(self, x: np.ndarray, near: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, near: np.ndarray | None = None, at: np.ndarray | None = None):
         self.x, self.coarse = x, x.astype(np.float32)
-        self.centre, home = zip(*(np.unique(c, return_inverse=True) for c in (nearest_centres(x) if near is None else near)), strict=True)
+        self.centre, home = [], []
+        for c in nearest_centres(x) if near is None else near:
+            ids, first, own = np.unique(c, return_index=True, return_inverse=True)
+            if at is not None:  # some rows of a block: where a centre is not among them, the first row stands for it
+                place = np.minimum(np.searchsorted(at, ids), len(at) - 1)
+                ids = np.where(at[place] == ids, place, first)
+            self.centre.append(ids)
+            home.append(own)
         self.members, self.starts, self.radius = [], [], []
         below = home[-1]  # of each row: its node on the level at hand
         for level in range(len(RADII) - 1, -1, -1):
@@ -146,53 +150,87 @@ def _planted(t: pa.Table) -> pa.Table:
     return t.append_column("at", pa.array(np.arange(t.num_rows, dtype=np.int32))).append_column("near", lists)
 
 
-def _linked(cosine: float):
-    distance = math.sqrt(2.0 - 2.0 * cosine)
-
-    def join(t: pa.Table) -> pa.Table:
-        """A pair of blocks: per vector the number of vectors it links with here, and spanning links."""
-        t = t.sort_by("at")  # of each block, the order that its tree was made in
-        side = t.column("side").to_numpy()
-        rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-        x, near = unit(matrix(t.column("v"))), matrix(t.column("near"), np.int64)
-        at = [np.flatnonzero(side == s) for s in (0, 1)]
-        same = not len(at[1])
-        if not len(at[0]):
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
-        one = CoverTree(x[at[0]], near[at[0]].T)
-        two = one if same else CoverTree(x[at[1]], near[at[1]].T)
-        rep_b, n_b = (rep[at[0]], n[at[0]]) if same else (rep[at[1]], n[at[1]])
-        rep_a, n_a = rep[at[0]], n[at[0]]
-        links_a, links_b = np.zeros(len(rep_a), np.int64), np.zeros(len(rep_b), np.int64)
-        edges: list[np.ndarray] = []
-        for own, other in near_leaves(one, two, distance):
-            for i in range(0, len(own), 1024):
-                rows = own[i : i + 1024]
-                link = one.x[rows] @ two.x[other].T >= cosine
-                if same:
-                    link &= rows[:, None] != other[None, :]
-                if not link.any():
-                    continue
-                links_a[rows] += link @ n_b[other]
-                if not same:
-                    links_b[other] += link.T @ n_a[rows]
-                la, lb = _labels(link, rep_a[rows], rep_b[other])
-                for ids, low in ((rep_a[rows], la), (rep_b[other], lb)):
-                    edges.append(np.stack([ids, low])[:, ids != low])
-        counts = [(rep_a, links_a)] if same else [(rep_a, links_a), (rep_b, links_b)]
-        ids = np.concatenate([r[k > 0] for r, k in counts])
-        links = np.concatenate([k[k > 0] for _, k in counts])
-        e = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), np.int64)
-        return pa.table({"rep": pa.array(np.concatenate([ids, e[0]])), "links": pa.array(np.concatenate([links, np.zeros(e.shape[1], np.int64)])), "low": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(e[1])])})
-
-    return join
+class _Side:
+    """A block's rows, or those of them that visit another, and their tree."""
+
+    def __init__(self, t: pa.Table):
+        t = t.sort_by("at")
+        self.rep, self.h, self.n = (t.column(c).to_numpy() for c in ("rep", "h", "n"))
+        self.tree = CoverTree(unit(matrix(t.column("v"))), matrix(t.column("near"), np.int64).T, t.column("at").to_numpy())
+        self.links = np.zeros(len(self.rep), np.int64)
+
+    def counts(self) -> list[np.ndarray]:
+        some = self.links > 0
+        return [self.rep[some], self.h[some], self.links[some]]
+
+
+def _pair(a: _Side, b: _Side, cosine: float) -> np.ndarray:
+    """Add to both sides' numbers of links (once where they are the same); returns spanning links (two rows of ids)."""
+    edges: list[np.ndarray] = []
+    for own, other in near_leaves(a.tree, b.tree, math.sqrt(2.0 - 2.0 * cosine)):
+        for i in range(0, len(own), 1024):
+            rows = own[i : i + 1024]
+            link = a.tree.x[rows] @ b.tree.x[other].T >= cosine
+            if a is b:
+                link &= rows[:, None] != other[None, :]
+            if not link.any():
+                continue
+            a.links[rows] += link @ b.n[other]
+            if a is not b:
+                b.links[other] += link.T @ a.n[rows]
+            la, lb = _labels(link, a.rep[rows], b.rep[other])
+            for ids, low in ((a.rep[rows], la), (b.rep[other], lb)):
+                edges.append(np.stack([ids, low])[:, ids != low])
+    return np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), np.int64)
+
+
+def _met(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Blocks with their visitors, block by block -> (rep, h, links, low): numbers of links, and spanning links."""
+
+    def found(counts: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+        n, e = len(counts[0]), edges.shape[1]
+        columns = [np.concatenate([counts[0], edges[0]]), np.concatenate([counts[1], np.zeros(e, np.int64)]), np.concatenate([counts[2], np.zeros(e, np.int64)])]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(edges[1])])], ["rep", "h", "links", "low"])
+
+    def met(key: tuple, t: pa.Table, held: _Side | None) -> tuple[_Side | None, list[pa.RecordBatch]]:
+        block, group, side, _ = key
+        own = _Side(t)
+        if side == 0:  # the block itself; it meets itself in the task of its own group
+            return own, [found([np.zeros(0, np.int64)] * 3, _pair(own, own, cosine))] if group == block // GROUP else []
+        edges = _pair(held, own, cosine)
+        return held, [found(own.counts(), edges)]
+
+    key, rows, held = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("block", "group", "side", "from_")], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+            if a == b:
+                continue
+            own = tuple(keys[a].tolist())
+            if own != key and rows:
+                before = held
+                held, out = met(key, pa.Table.from_batches(rows), held)
+                yield from out
+                if before is not None and before is not held:
+                    yield found(before.counts(), np.zeros((2, 0), np.int64))
+                rows = []
+            key = own
+            rows.append(batch.slice(a, b - a))
+    if rows:
+        before = held
+        held, out = met(key, pa.Table.from_batches(rows), held)
+        yield from out
+        for x in {id(x): x for x in (before, held) if x is not None}.values():
+            yield found(x.counts(), np.zeros((2, 0), np.int64))
 
 
 def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row; ids are whole numbers.
 
     Vectors with cosine >= `cosine` are linked; n_links counts the other rows linked directly (repeated rows count
-    each), component_id is the smallest id that links reach. Null and zero vectors, vectors with null or
+    each), component_id is the smallest id that links reach; different vectors of one id have links of their own, and
+    reach what any of them does. Null and zero vectors, vectors with null or
     non-finite components and rows without an id link with nothing; vectors of different lengths never link. An
     empty table gives no rows.
     """
@@ -200,7 +238,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     small_batches(spark)
     x = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     good = x.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    classes = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
+    classes = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("h", F.xxhash64("v")), "vector-classes")
     sizes = [r.dims for r in classes.select(F.size("v").alias("dims")).distinct().collect()]  # few: a model gives one length
     links, edges = None, None
     for dims in sizes:
@@ -210,8 +248,8 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
         return x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = written(links, "vector-links")
     edges = components(links.where("low is not null").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_class = classes.join(counts, "rep", "left").join(edges.withColumnRenamed("node", "rep"), "rep", "left")
+    counts = links.groupBy("rep", "h").agg(F.sum("links").alias("links"))
+    per_class = classes.join(counts, ["rep", "h"], "left").join(edges.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = x.withColumn("k", F.when(usable(F.col("v")) & F.col("vec_id").isNotNull(), F.col("v"))).join(per_class.withColumnRenamed("v", "k"), "k", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
@@ -219,35 +257,60 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
 
 
 def _found(classes: DataFrame, cosine: float) -> DataFrame:
-    """(rep, links, low) from all surviving pairs of blocks; vectors of one length."""
-    n = classes.count()
-    some = unit(sample(classes, "rep", "v", SAMPLE))
-    top = centres(some, min(CELLS, max(1, n // BLOCK)))
+    """(rep, h, links, low) from all blocks; vectors of one length."""
+    spark, n = classes.sparkSession, classes.count()
+    size = max(BLOCK, int(SPREAD * math.sqrt(n)))
+    top = codebook(unit(sample(classes, "rep", "v", SAMPLE)), -(-n // size))
+    reach = math.sqrt(2.0 - 2.0 * cosine) + SLACK
+    kind = classes.schema["v"].dataType.simpleString()
+
+    def far(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 1.0 + (top * top).sum(axis=1) - 2.0 * (x @ top.T)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = _distances(unit(matrix(batch.column("v"))), top)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("v"), pa.array(d.argmin(axis=1)), pa.array(d.min(axis=1))], ["rep", "n", "v", "cell", "far"])
-
-    kind = classes.schema["v"].dataType.simpleString()
-    placed = written(classes.select("rep", "n", "v").mapInArrow(assign, f"rep long, n long, v {kind}, cell long, far double"), "vector-cells")
-    cells = sorted((r.cell, r.held, r.radius) for r in placed.groupBy("cell").agg(F.count("*").alias("held"), F.max("far").alias("radius")).collect())  # CELLS rows at most
-    between = _distances(top, top)
-    distance = math.sqrt(2.0 - 2.0 * cosine)
-    blocks = {c: -(-held // BLOCK) for c, held, _ in cells}
-    sizes = placed.sparkSession.createDataFrame(list(blocks.items()), "cell long, blocks long")
-    planted = placed.join(F.broadcast(sizes), "cell").select("rep", "n", "v", "cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))  # CELLS rows at most
-    planted = planted.groupBy("cell", "block").applyInArrow(_planted, f"rep long, n long, v {kind}, cell long, block long, at int, near array<int>")
-    planted = written(planted, "vector-trees")
-    near = [(c, d, blocks[d]) for c, _, rc in cells for d, _, rd in cells if between[c, d] <= rc + rd + distance + SLACK]
-    near = placed.sparkSession.createDataFrame(near, "cell long, other long, others long")
-    dealt = planted.join(F.broadcast(near), "cell")  # CELLS squared rows at most
-    dealt = dealt.withColumn("with_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
-    first = (F.col("cell") < F.col("other")) | ((F.col("cell") == F.col("other")) & (F.col("block") <= F.col("with_")))
-    own, partner = F.struct("cell", "block"), F.struct(F.col("other").alias("cell"), F.col("with_").alias("block"))
-    dealt = dealt.select("rep", "n", "v", "at", "near", F.when(first, own).otherwise(partner).alias("p"), F.when(first, partner).otherwise(own).alias("q"), F.when(first, 0).otherwise(1).alias("side"))
-    return dealt.groupBy("p", "q").applyInArrow(_linked(cosine), "rep long, links long, low long")
+            d = far(unit(matrix(batch.column("v"))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "h", "n", "v")), pa.array(d.argmin(axis=1)), pa.array(d.min(axis=1))], ["rep", "h", "n", "v", "cell", "far"])
+
+    placed = written(classes.select("rep", "h", "n", "v").mapInArrow(assign, f"rep long, h long, n long, v {kind}, cell long, far double"), "vector-cells")
+    held = placed.groupBy("cell").agg(F.count("*").alias("held"), F.percentile_approx("far", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
+    rings = F.ceil(F.col("held") / size)
+    cuts = F.filter("cuts", lambda c, i: F.floor((i + 1) * rings / 64) > F.floor(i * rings / 64))  # up to 64 rings a cell
+    ringed = placed.join(F.broadcast(held.select("cell", cuts.alias("cuts"))), "cell")  # a row per cell
+    ringed = ringed.withColumn("ring", F.size(F.filter("cuts", lambda c: c <= F.col("far"))))
+    found = ringed.groupBy("cell", "ring").agg(F.count("*").alias("held"), F.min("far").alias("low"), F.max("far").alias("high")).orderBy("cell", "ring").collect()  # as many as blocks
+    blocks = [(r["cell"], r["ring"], r["low"], r["high"], piece, -(-r["held"] // (2 * size))) for r in found for piece in range(-(-r["held"] // (2 * size)))]
+    cell, low, high = (np.array([b[i] for b in blocks]) for i in (0, 2, 3))
+    numbers = spark.createDataFrame([(b[0], b[1], b[4], b[5], i) for i, b in enumerate(blocks)], "cell long, ring int, piece long, pieces long, block long")
+    sizes = numbers.select("cell", "ring", "pieces").distinct()
+    ringed = ringed.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("piece", F.pmod(F.col("h"), F.col("pieces")))  # a row per block at most
+    planted = ringed.join(F.broadcast(numbers.drop("pieces")), ["cell", "ring", "piece"]).select("rep", "h", "n", "v", "block")
+    planted = written(planted.groupBy("block").applyInArrow(_planted, f"rep long, h long, n long, v {kind}, block long, at int, near array<int>"), "vector-trees")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("block").to_numpy()
+            d = far(unit(matrix(batch.column("v"))))[:, cell]
+            visits = (d >= low - reach) & (d <= high + reach) & (np.arange(len(blocks)) > own[:, None])
+            for side in (0, 1):
+                if side == 0:  # its own block, for each group of visitors
+                    times = own // GROUP + 1
+                    row = np.repeat(np.arange(len(own)), times)
+                    block, group = own[row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                else:
+                    row, block = np.nonzero(visits)
+                    group = own[row] // GROUP
+                for i in range(0, len(row), 4096):
+                    part = pa.array(row[i : i + 4096])
+                    keys = [block[i : i + 4096], group[i : i + 4096], np.full(len(part), side), own[row[i : i + 4096]]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *(batch.column(c).take(part) for c in ("rep", "h", "n", "v", "at", "near"))], ["block", "group", "side", "from_", "rep", "h", "n", "v", "at", "near"])
+
+    key = ["block", "group"]
+    dealt = planted.mapInArrow(deal, f"block long, group long, side long, from_ long, rep long, h long, n long, v {kind}, at int, near array<int>")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "side", "from_", "at")
+    return dealt.mapInArrow(lambda it: _met(it, cosine), "rep long, h long, links long, low long")
 
 
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between vectors with a cosine of 0.95 or more: their number, and the smallest id that they reach."""
     return near_vectors(table(spark, sf_dir, "embeddings"))

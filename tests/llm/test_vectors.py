@@ -41,6 +41,8 @@ def rows(n=300, dims=12):
 @pytest.mark.parametrize("block", [4096, 40])
 def test_cover_tree_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(cover_tree, "BLOCK", block)
+    monkeypatch.setattr(cover_tree, "SPREAD", 1)
+    monkeypatch.setattr(cover_tree, "GROUP", 2)
     data = rows()
     df = spark.createDataFrame([(i, v, 0, 1) for i, v in data], "vec_id long, embedding array<float>, n int, cell int").repartition(3)
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_vectors(df).collect())
@@ -54,6 +56,13 @@ def test_cover_tree_edges(spark):
     assert [tuple(r) for r in got] == [(1, 0, 1, True)]
 
 
+def test_different_vectors_of_one_id(spark):
+    schema = "vec_id long, embedding array<float>"
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.01]), (3, [0.0, 0.99]), (None, [0.0, 1.0])]
+    got = sorted(((r.vec_id or 0), r.n_links, r.component_id or 0) for r in cover_tree.near_vectors(spark.createDataFrame(data, schema)).collect())
+    assert got == [(0, 0, 0), (1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1)]
+
+
 def nearest(data, k=20, step=20):
     ok = [(i, np.array(v, float)) for i, v in data if v is not None and len(v) == len(data[0][1]) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     ids, x = np.array([i for i, _ in ok]), np.stack([v for _, v in ok])
@@ -85,40 +94,62 @@ def test_multi_index_edges(spark):
     assert got == [(20, 1, 1, 0.5), (20, 2, 2, 0.5)]
 
 
-def test_recall(spark):
+def test_passed_is_the_full_order():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        a, b = rng.normal(size=rng.integers(1, 90)), rng.normal(size=rng.integers(1, 90))
+        counts = rng.integers(0, 3, (len(a), len(b)))
+        counts[0, 0] = 1
+        enough = int(rng.integers(1, max(2, counts.sum())))
+        cells, stop = multi_index.passed(a, b, counts, enough)
+        order = sorted(((a[i] + b[j], i * len(b) + j) for i in range(len(a)) for j in range(len(b)) if counts[i, j]), reverse=True)
+        held, expected = 0, set()
+        for _, cell in order:
+            expected.add(cell)
+            held += counts.ravel()[cell]
+            if held >= enough:
+                break
+        assert set(cells.tolist()) == expected
+        assert all((a[c // len(b)] + b[c % len(b)] >= stop) == (c in expected) for _, c in order)
+
+
+def test_repeated_rows_and_lengths(spark):
+    schema = "vec_id long, embedding array<float>"
+    data = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.5]), (3, [0.0, 2.0]), (None, [9.0, 9.0]), (40, [1.0, 2.0, 3.0]), (41, [1.0, 0.0, 0.0]), (60, [2.0]), (61, [4.0])]
+    got = sorted(tuple(r) for r in multi_index.MultiIndex(spark.createDataFrame(data, schema)).search(F.col("vec_id") % 20 == 0).collect())
+    assert got == [(20, 1, 1, 0.5), (20, 2, 2, 0.25), (20, 3, 3, 0.0), (40, 1, 41, 1.0), (60, 1, 61, 8.0)]
+
+
+@pytest.mark.parametrize("block", [4096, 150])
+def test_recall_and_share_scored(spark, monkeypatch, block):
+    monkeypatch.setattr(multi_index, "BLOCK", block)
     d = "/root/testdata/sf0.1"
-    data = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()]
+    df = spark.read.parquet(f"{d}/embeddings.parquet")
+    data = [(r.vec_id, r.embedding) for r in df.orderBy("vec_id").collect()]
     expected = nearest(data)
+    index = multi_index.MultiIndex(df)
     got = {}
-    for r in multi_index.MultiIndex(spark.read.parquet(f"{d}/embeddings.parquet")).search(F.col("vec_id") % 20 == 0).collect():
+    for r in index.search(F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     recall = np.mean([len(got[q] & {i for i, _ in v}) / len(v) for q, v in expected.items()])
-    print("recall", recall)
-    assert recall >= 0.9
+    part = index.parts[0]
+    scored = []
+    for q in (np.array(v, float) for i, v in data if i % 20 == 0):
+        cells, _ = multi_index.passed(q[: part.cut] @ part.books[0].T, q[part.cut :] @ part.books[1].T, part.counts, int(multi_index.SHARE * part.n) + 21)
+        scored.append(part.counts.ravel()[cells].sum() / part.n)
+    print("recall", recall, "share scored", np.mean(scored), "blocks", len(part.pieces))
+    assert recall >= 0.9 and max(scored) < 1 / 3
 
 
-def test_multi_index_groups_are_bounded(spark, monkeypatch):
+def test_blocks_and_large_cells(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "QUERIES", 16)
     monkeypatch.setattr(multi_index, "BLOCK", 50)
     data = rows()
-    index = multi_index.MultiIndex(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3))
-    entries, routed = index._dealt(F.lit(True), 10_000)
-    sizes = [r["count"] for r in routed.groupBy("at", "part", "query_block").count().collect()]
-    assert max(sizes) <= 16 + index._parts() and len(sizes) > 100
-    assert max(r["count"] for r in entries.groupBy("list", "block", "with_queries").count().collect()) <= 100
+    index = multi_index.MultiIndex(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3), centroids=4)
+    part = index.parts[-1]
+    assert len(part.pieces) > 2 and part.pieces.max() > 1
     got = {}
-    for r in index.search(F.lit(True)).orderBy("query_id", "rank").collect():
+    for r in index.search(F.lit(True), least=10_000).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    assert got == {q: [i for i, _ in v] for q, v in nearest(data, step=1).items()}
-
-
-def test_recall_where_the_share_decides(spark):
-    d = "/root/testdata/sf0.1"
-    df = spark.read.parquet(f"{d}/embeddings.parquet")
-    expected = nearest([(r.vec_id, r.embedding) for r in df.orderBy("vec_id").collect()])
-    got = {}
-    for r in multi_index.MultiIndex(df).search(F.col("vec_id") % 20 == 0, least=0).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    recall = np.mean([len(got[q] & {i for i, _ in v}) / len(v) for q, v in expected.items()])
-    print("recall", recall)
-    assert recall >= 0.9
+    same_length = {q: [i for i, _ in v] for q, v in nearest(data, step=1).items()}
+    assert {q: x for q, x in got.items() if q in same_length} == same_length
