@@ -398,7 +398,8 @@ def repeats(docs: DataFrame, finish, fields: str, types: list[tuple[str, pa.Data
     own = x.where(F.octet_length("text") >= LENGTH).join(copies, ["doc_id", "tie"], "left_anti").select("doc_id", "tie", "text")
 
     hashed = written(own.mapInArrow(_anchors, "doc_id long, tie long, places array<long>, hs array<long>"), "repeat-hashes")
-    often = hashed.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # a table of its own, so that a join with a very common anchor can be split
+    often = written(hashed.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-often")
     anchors = hashed.select("doc_id", "tie", F.explode(F.arrays_zip("hs", "places")).alias("x")).select("doc_id", "tie", F.col("x.hs").alias("h"), F.col("x.places").alias("place"))
     marked = written(anchors.join(often, "h").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("h", "place")).alias("repeated")), "repeat-anchors")
     dropped(hashed)
