@@ -2,12 +2,14 @@
 
 1. Word features (the word and its longer prefixes, hashed into BUCKETS buckets, which bounds every table here)
    are counted over all documents: these counts are the informative part of the Dirichlet priors.
-2. Labelled documents give counts per class. A feature's log-odds is taken less WARY standard deviations, a word's
-   score is that of its best feature, and every word pays DRIFT, so that clean text drifts down.
+2. Labelled documents give counts per class. A feature's log-odds, for or against, is brought WARY standard deviations
+   nearer to zero; a word's score is that of its surest feature less DRIFT (the odds against toxicity where nothing is
+   known), so that clean text drifts down.
 3. A linear-time scan finds all maximal scoring segments of every text (Ruzzo and Tompa).
 4. Extreme-value statistics make segment scores of texts of any length comparable: with lambda from the score
    distribution of clean text and K from its segments, lambda S - ln(K n) is the normalised score of a segment.
-   A logistic curve over a text's best, summed and significant segments gives the score.
+   A logistic curve over a text's best, summed and significant segments gives the score. Statistics and curve are
+   fitted on labelled texts that the log-odds were not learned from.
 
 Labels are the only thing learned from; at most LABELLED labelled documents are used, picked by a hash of the id.
 """
@@ -48,17 +50,14 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a text, in one pass over its words above the drift.
+def segments(places: list[int], before: list[float], after: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of a text, in one pass over its words with a score above zero.
 
-    places and scores are those of the words that score above zero; all others cost `drift` each.
+    before and after are the sums of all words' scores up to each of these words, without and with it.
     """
     out: list[list] = []  # start, end, left sum, right sum, index of the nearest earlier one with a smaller left sum
-    total, last = 0.0, -1
-    for place, score in zip(places, scores, strict=True):
-        total -= drift * (place - last - 1)
-        left, total, last = total, total + score, place
-        start, right = place, total
+    for place, left, right in zip(places, before, after, strict=True):
+        start = place
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= left:
@@ -81,7 +80,7 @@ class _Scores(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = x = max(float(self.weights[b]) for b in features(word)) - DRIFT
+        self[word] = x = max((float(self.weights[b]) for b in features(word)), key=abs) - DRIFT
         return x
 
 
@@ -89,7 +88,8 @@ def scored_segments(text: str, scores: dict) -> tuple[int, list[tuple[int, int,
     """Number of words of a text and its segments."""
     x = np.fromiter(map(scores.__getitem__, words(text)), float)
     at = np.flatnonzero(x > 0)
-    return len(x), segments(at.tolist(), x[at].tolist(), DRIFT)
+    sums = np.cumsum(x)
+    return len(x), segments(at.tolist(), (sums[at] - x[at]).tolist(), sums[at].tolist()) if len(at) else []
 
 
 def learns(doc_id: Column) -> Column:
@@ -140,7 +140,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model:
     """Fit on all documents (counts) and on at most `labelled` labelled ones among the rows learns() allows.
 
-    Several labels of an id count as its largest; null labels are none. Exact copies are learned from once.
+    Several labels of an id count as its largest, and so do those of equal texts, which are learned from once; null
+    labels are none.
     Without documents of both classes every score is 0.
     """
     spark = docs.sparkSession
@@ -167,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null")
     y = y.groupBy("doc_id").agg(F.max("y").alias("y")).where(learns(F.col("doc_id")))
     some = written(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "toxic-labels")
-    known = x.join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"])  # at most `labelled` rows are broadcast
-    known = written(known.select("h", "y", "text", (F.pmod("h", F.lit(10)) < 3).alias("checks")), "toxic-known")
+    known = x.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("y").alias("y"))  # at most `labelled` rows are broadcast
+    known = written(known.select("y", "text", (F.pmod(F.xxhash64("text"), F.lit(10)) < 3).alias("checks")), "toxic-known")
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, list[int]] = {}
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     delta = log_odds(toxic, sizes[1]) - log_odds(clean, sizes[0])
     spread = np.sqrt(1.0 / (toxic + prior) + 1.0 / (clean + prior))
-    weights = np.maximum(0.0, delta - WARY * spread).astype(np.float32)
+    weights = (np.sign(delta) * np.maximum(0.0, np.abs(delta) - WARY * spread)).astype(np.float32)
 
     shared = spark.sparkContext.broadcast(weights)  # BUCKETS numbers
 
@@ -203,29 +204,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = [scored_segments(t.as_py(), scores) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in out], pa.int64()), pa.array([[s[2] for s in f] for _, f in out], pa.list_(pa.float64()))], ["y", "checks", "n", "found"])
 
-    rows = known.select(label.alias("y"), "checks", "text").mapInArrow(scan, "y int, checks boolean, n long, found array<double>").collect()  # `labelled` rows at most
-    quiet = [r for r in rows if r["y"] == 0]
-    lam, k = _extreme_values([r["n"] for r in quiet], [s for r in quiet for s in r["found"]])
+    found = written(known.select(label.alias("y"), "checks", "text").mapInArrow(scan, "y int, checks boolean, n long, found array<double>"), "toxic-segments")
+    used = found.where("checks")
+    if used.agg(F.count_distinct("y")).first()[0] < 2:
+        used = found
+    lam, k = extreme_values(used.where("y = 0"))
     model = Model(weights, lam, k, np.zeros(6))
-    used = [r for r in rows if r["checks"]]
-    if len({r["y"] for r in used}) < 2:
-        used = rows
-    evidence = np.array([model.evidence(r["n"], [(0, 0, s) for s in r["found"]]) for r in used])
-    model.coefficients = _logistic(evidence, np.array([float(r["y"]) for r in used]))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [model.evidence(n, [(0, 0, s) for s in f]) for n, f in zip(batch.column("n").to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+
+    rows = used.mapInArrow(weigh, "y int, x array<double>").toArrow()  # six numbers for each of `labelled` rows at most
+    order = np.lexsort(np.array(rows.column("x").to_pylist()).T)  # sums do not depend on the order of tasks
+    model.coefficients = _logistic(np.array(rows.column("x").to_pylist())[order], rows.column("y").to_numpy().astype(float)[order])
     return model
 
 
-def _extreme_values(lengths: list[int], scores: list[float]) -> tuple[float, float]:
-    """lambda and K of P(best > s) = 1 - exp(-K n exp(-lambda s)) from the segments of clean texts."""
-    n = max(1, sum(lengths))
-    s = np.sort(np.array(scores))
-    if len(s) < 10:
-        return 1.0, (len(s) + 1.0) / n
-    lower = float(np.median(s))
-    tail = s[s > lower]
-    lam = 1.0 / max(1e-3, float((tail - lower).mean())) if len(tail) else 1.0  # segment scores above a level are exponential
-    lam = min(lam, 20.0)
-    return lam, (len(tail) + 1.0) / n * math.exp(min(50.0, lam * lower))
+def extreme_values(found: DataFrame) -> tuple[float, float]:
+    """lambda and K of P(best > s) = 1 - exp(-K n exp(-lambda s)) from clean texts (n, found: scores of their segments).
+
+    Scores above their median are taken to be exponential there.
+    """
+    n = max(1, found.agg(F.sum("n")).first()[0] or 0)
+    s = found.select(F.explode("found").alias("s"))
+    count, lower = s.agg(F.count("*"), F.percentile("s", 0.5)).first()
+    if count < 10:
+        return 1.0, (count + 1.0) / n
+    held, mean = s.where(F.col("s") > lower).agg(F.count("*"), F.avg(F.col("s") - lower)).first()
+    lam = min(20.0, 1.0 / max(1e-3, round(mean, 9))) if held else 1.0
+    return lam, (held + 1.0) / n * math.exp(min(50.0, lam * lower))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,6 +267,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of two thirds of the ids; the others are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     out = scored(docs, model)
@@ -265,7 +275,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below the threshold, with all their columns."""
+    """The rows of docs whose text scores below the threshold, with all their columns.
+
+    Null and empty texts have no evidence and stay (unless most texts are toxic); equal texts share their fate;
+    repeated rows stay repeated; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)

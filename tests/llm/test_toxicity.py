@@ -11,22 +11,60 @@ from rowproof.llm import toxicity as tox
 def test_segments_equal_definition():
     r = random.Random(1)
     for _ in range(200):
-        x = [r.choice([-0.125, -0.125, -0.125, 0.25, 1.0, 0.1875]) for _ in range(r.randint(0, 40))]
+        x = [r.choice([-0.125, -0.125, -1.5, 0.25, 1.0, 0.1875, -0.5]) for _ in range(r.randint(0, 40))]
         at = [i for i, v in enumerate(x) if v > 0]
-        got = sorted((s, e) for s, e, _ in tox.segments(at, [x[i] for i in at], 0.125))
-
-        def maximal(lo, hi):  # the definition: the best segment, then both sides of it
-            best = None
-            for s in range(lo, hi):
-                total = 0.0
-                for e in range(s, hi):
-                    total += x[e]
-                    if total > 1e-12 and (best is None or total > best[0] + 1e-9 or (abs(total - best[0]) <= 1e-9 and e + 1 - s < best[2] - best[1])):
-                        best = (total, s, e + 1)
-            return [] if best is None else [*maximal(lo, best[1]), (best[1], best[2]), *maximal(best[2], hi)]
-
+        before = [sum(x[:i]) for i in at]
+        got = sorted((s, e) for s, e, _ in tox.segments(at, before, [b + x[i] for b, i in zip(before, at, strict=True)]))
         score = lambda spans: sorted(round(sum(x[s:e]), 6) for s, e in spans)
-        assert score(got) == score(maximal(0, len(x)))
+        assert score(got) == score(maximal(x, 0, len(x)))
+
+
+def maximal(x, lo, hi):
+    """The definition: the best segment, then both sides of it."""
+    best = None
+    for s in range(lo, hi):
+        total = 0.0
+        for e in range(s, hi):
+            total += x[e]
+            if total > 1e-12 and (best is None or total > best[0] + 1e-9 or (abs(total - best[0]) <= 1e-9 and e + 1 - s < best[2] - best[1])):
+                best = (total, s, e + 1)
+    return [] if best is None else [*maximal(x, lo, best[1]), (best[1], best[2]), *maximal(x, best[2], hi)]
+
+
+def test_extreme_values_and_scores_by_brute_force(spark):
+    rows = data(120)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = tox.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert (model.weights < 0).any() or (model.weights > 0).any()
+    found = [(5, [0.5, 1.25, 2.0, 0.25]), (100, [0.5] * 6), (7, []), (0, [3.0, 1.0])]
+    lam, k = tox.extreme_values(spark.createDataFrame(found, "n long, found array<double>"))
+    s = sorted(x for _, f in found for x in f)
+    tail = [x for x in s if x > np.median(s)]
+    assert lam == 1 / np.mean([x - np.median(s) for x in tail]) and abs(k - (len(tail) + 1) / 112 * math.exp(lam * np.median(s))) < 1e-12
+
+    def word_score(w):
+        ws = [float(model.weights[b]) for b in tox.features(w)]
+        return max(ws, key=abs) - tox.DRIFT
+
+    got = {r.doc_id: r for r in tox.scored(docs, model).collect()}
+    for i, text, _ in rows[:40]:
+        x = [word_score(w) for w in text.split()]
+        spans = maximal(x, 0, len(x))
+        values = [sum(x[s:e]) for s, e in spans]
+        normal = [max(-12.0, model.lam * v - math.log(model.k * len(x) + 1e-12)) for v in values]
+        sure = [(s, e) for (s, e), v in zip(spans, values, strict=True) if v > (math.log(model.k * len(x) + 1e-12) - math.log(tox.SIGNIFICANT)) / model.lam]
+        assert sorted((s.start, s.end) for s in got[i].segments) == sorted(sure)
+        evidence = [1.0, max(normal, default=-12.0) / 4, math.log1p(sum(max(0, v) for v in normal)), math.log1p(sum(v > -math.log(tox.SIGNIFICANT) for v in normal)), math.log1p(max(values, default=0.0)), math.log1p(sum(values)) - 0.5 * math.log1p(len(x) / 100)]
+        z = sum(a * b for a, b in zip(model.coefficients, evidence, strict=True))
+        assert abs(got[i].score - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-9
+
+
+def test_equal_texts_with_different_labels(spark):
+    rows = data(200)
+    docs = spark.createDataFrame([(i + 1000 * c, t) for i, t, _ in rows for c in (0, 1)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i + 1000 * c, y * c) for i, _, y in rows for c in (0, 1)], "doc_id long, toxic int")
+    a, b = tox.fit(docs.repartition(5), labels), tox.fit(docs.repartition(2, "text"), labels.repartition(3))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.coefficients, b.coefficients)
 
 
 def data(n=600):
