@@ -8,7 +8,9 @@
    (as many rows as the tokenizer has ids, so it fits beside any task), which decodes it.
 
 Words meet in a shuffle once per pack and not once per occurrence, so a very common word is no hot key; they travel
-in compressed columns, and the texts themselves are never shuffled.
+in compressed columns, and the texts themselves are never shuffled. A row per word instead took more disk than there
+is (see the README). A tokenizer whose tokens can cross white space, or which decodes by rules of its own, has the
+library encode and decode whole texts.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rowproof.llm.common import documents, small_batches, table, written
-from rowproof.llm.words import chunks, encoder, folded, load
+from rowproof.llm.words import Encoder, chunks, encoder, folded, load
 
 #: Characters of text in a pack at most (one longer document is a pack of its own).
 PACK_CHARS = 32_000_000
@@ -197,21 +199,37 @@ def piece_list(path: str) -> list[str]:
     return out
 
 
+def _whole(batches: Iterator[pa.RecordBatch], path: str, finish, types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Whole texts by the library."""
+    tokenizer = load(path)
+    numbers = [str(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    for batch in batches:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = tokenizer.encode(text.as_py(), add_special_tokens=False).ids
+            rows.append((doc_id, len(ids), *finish(ids, numbers, tokenizer.decode(ids, skip_special_tokens=False))))
+        columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+
 def _joined(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[tuple[str, str]], finish) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     x = documents(docs, id_col, text_col)
     id_type = x.schema["doc_id"].dataType
     arrow_type = to_arrow_type(id_type)
+    schema = ", ".join(f"{name} {kind}" for name, kind in [("doc_id", id_type.simpleString()), ("n_tokens", "long"), *fields])
+    types = [arrow_type, pa.int64(), *({"string": pa.string(), "array<int>": pa.list_(pa.int32())}[kind] for _, kind in fields)]
+    names = ["doc_id", "n_tokens", *(name for name, _ in fields)]
+    known = Encoder(path)
+    if not known.parts or known.tokenizer.decoder is not None:
+        return x.mapInArrow(lambda it: _whole(it, path, finish, types, names), schema)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packs = written(x.mapInArrow(lambda it: _packs(it, arrow_type, buckets), f"pack long, bucket int, ids array<{id_type.simpleString()}>, lengths array<long>, places binary, words binary"), "bpe-packs")
     words = packs.where("bucket >= 0").select("pack", "bucket", "places", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = words.mapInArrow(lambda it: _encoded(it, path), "in_pack long, found binary")
     pieces = spark.sparkContext.broadcast(piece_list(path))  # a string per id of the tokenizer
     numbers = spark.sparkContext.broadcast([str(i) for i in range(len(pieces.value))])
-    schema = ", ".join(f"{name} {kind}" for name, kind in [("doc_id", id_type.simpleString()), ("n_tokens", "long"), *fields])
-    types = [arrow_type, pa.int64(), *({"string": pa.string(), "array<int>": pa.list_(pa.int32())}[kind] for _, kind in fields)]
-    names = ["doc_id", "n_tokens", *(name for name, _ in fields)]
 
     def together(own: pa.Table, own_packs: pa.Table) -> pa.Table:
         if not own_packs.num_rows:
@@ -219,7 +237,7 @@ def _joined(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list
         rows = []
         for doc_id, ids in _by_position(own, own_packs):
             at = ids.tolist()
-            rows.append((doc_id, len(at), *finish(at, numbers.value, pieces.value)))
+            rows.append((doc_id, len(at), *finish(at, numbers.value, _text(at, pieces.value))))
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     documents_ = packs.where("bucket < 0").select("pack", "ids", "lengths", "places")
@@ -234,16 +252,16 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """(doc_id, n_tokens, ids array<int>, decoded string), one row per input row.
 
     Null and empty texts have no ids and decode to an empty text; repeated rows and ids stay repeated; an empty
-    table gives no rows. Special tokens written in a text are encoded as the library does it.
+    table gives no rows; other columns are not looked at. Special tokens written in a text are encoded as the library does it.
     """
-    return _joined(docs, path, id_col, text_col, [("ids", "array<int>"), ("decoded", "string")], lambda ids, numbers, pieces: (ids, _text(ids, pieces)))
+    return _joined(docs, path, id_col, text_col, [("ids", "array<int>"), ("decoded", "string")], lambda ids, numbers, decoded: (ids, decoded))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode_decode(), with SHA-256 digests of the ids (decimal, joined by one space) and of the decoded text."""
 
-    def finish(ids: list[int], numbers: list[str], pieces: list[str]) -> tuple[str, str]:
-        return hashlib.sha256(_text(ids, numbers).encode()).hexdigest(), hashlib.sha256(_text(ids, pieces).encode()).hexdigest()
+    def finish(ids: list[int], numbers: list[str], decoded: str) -> tuple[str, str]:
+        return hashlib.sha256(_text(ids, numbers).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
     return _joined(docs, path, id_col, text_col, [("ids_sha256", "string"), ("decoded_sha256", "string")], finish)
 
@@ -251,9 +269,11 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, decoded) of rows with arrays of ids, by a join of the ids with the tokenizer's pieces.
 
-    Null and empty arrays decode to an empty text; ids that the tokenizer does not have are passed over; rows
-    with the same id and ids are one.
+    For tokenizers without a decoder of their own (others raise ValueError). Null and empty arrays decode to an empty
+    text; ids that the tokenizer does not have are passed over; rows with the same id and ids are one.
     """
+    if load(path).decoder is not None:
+        raise ValueError("this tokenizer decodes by rules of its own; use encode_decode()")
     pieces = encoded.sparkSession.createDataFrame(list(enumerate(piece_list(path))), "id int, piece string")
     x = encoded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids")).distinct()
     one = x.select("doc_id", "ids", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces), "id", "left")  # a row per id of the tokenizer
@@ -262,6 +282,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of ids, and digests of its ids and of the text decoded from them."""
     import public_tokenizers
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

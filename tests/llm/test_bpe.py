@@ -37,6 +37,19 @@ def test_equals_library(spark, monkeypatch, pack):
         assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids, skip_special_tokens=False))
 
 
+def test_tokenizer_of_another_kind(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, one = load(path), Encoder(path)
+    data = list(enumerate([None, "", "Two Words\n\n and  more\t", "It's É straße", "Two Words"]))
+    assert all(np.frombuffer(one.encode(t or ""), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids for _, t in data)
+    got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(spark.createDataFrame(data, "doc_id long, text string"), path).collect()}
+    for i, t in data:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (ids, library.decode(ids, skip_special_tokens=False))
+    with pytest.raises(ValueError):
+        bpe.decode(spark.createDataFrame([(1, [2])], "doc_id long, ids array<int>"), path)
+
+
 def test_sequences_round_trip():
     x = np.array([0, 1, 191, 192, 193, 192 + 16383, 192 + 16384, 192 + 63 * 16384 - 1, 192 + 63 * 16384, 4_000_000_000], np.int64)
     assert bpe._plain_sequence(bpe._squeezed_sequence(x)).tolist() == x.tolist()
