@@ -78,18 +78,29 @@ def _base(matches: Column, kind: str) -> Column:
 
 
 def _hot_runs(candidate: Column, c: Entropy) -> Column:
-    """array<struct<a, b>>: joined windows of a candidate whose entropy reaches the threshold."""
+    """array<struct<a, b>>: joined windows of a candidate whose entropy reaches the threshold.
+
+    Counts are packed into whole numbers, PER to each, so that a step changes two of them and copies no array.
+    """
     w = c.window
     weigh = F.array(*(F.lit(round(n * math.log2(n) * _SCALE) if n else 0) for n in range(w + 2)))  # n log2 n as whole numbers
     most = math.floor(w * (math.log2(w) - c.bits) * _SCALE)  # entropy >= bits where the sum of n log2 n is at most this
+    bits = (w + 1).bit_length()
+    per = 62 // bits
+    words = [f"n{k}" for k in range(len(c.alphabet) // per + 1)]
     chars = F.split(candidate, "")
     place = lambda i: F.instr(F.lit(c.alphabet), F.get(chars, i))
     f = lambda n: F.get(weigh, n)
     span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(c.alphabet) + 1).alias("n"), F.lit(0).cast("bigint").alias("s"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array().cast("array<struct<a:int,b:int>>").alias("out")
-    )
+    start = F.struct(*(F.lit(0).cast("bigint").alias(k) for k in words), F.lit(0).cast("bigint").alias("s"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
     length = F.length(candidate)
+    shift = lambda at: at % per * bits
+
+    def count(acc: Column, at: Column) -> Column:
+        word = acc[words[0]]
+        for k in range(1, len(words)):
+            word = F.when(F.floor(at / per) == k, acc[words[k]]).otherwise(word)
+        return F.call_function("shiftright", word, shift(at)).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
 
     def step(acc: Column, i: Column) -> Column:
         # acc.s is the sum for the window that ends before i
@@ -97,12 +108,12 @@ def _hot_runs(candidate: Column, c: Entropy) -> Column:
         joins = (acc.b >= 0) & (i - w <= acc.b)
         enters = F.when(i < length, place(i)).otherwise(0)
         leaves = F.when(i >= w, place(i - w)).otherwise(0)
-        more, less = F.get(acc.n, enters), F.get(acc.n, leaves)
+        more, less = count(acc, enters), count(acc, leaves)
         same = enters == leaves
         s = F.when(same, acc.s).otherwise(acc.s + F.when(enters > 0, f(more + 1) - f(more)).otherwise(F.lit(0)) + F.when(leaves > 0, f(less - 1) - f(less)).otherwise(F.lit(0)))
-        n = F.when(same, acc.n).otherwise(F.transform(acc.n, lambda x, j: x + F.when((j == enters) & (j > 0), 1).otherwise(0) - F.when((j == leaves) & (j > 0), 1).otherwise(0)))
+        change = lambda at, k: F.when((at > 0) & (F.floor(at / per) == k), F.call_function("shiftleft", F.lit(1).cast("bigint"), shift(at))).otherwise(F.lit(0).cast("bigint"))
         return F.struct(
-            n.alias("n"),
+            *((acc[name] + change(enters, k) - change(leaves, k)).cast("bigint").alias(name) for k, name in enumerate(words)),
             s.cast("bigint").alias("s"),
             F.when(hot & ~joins, i - w).otherwise(acc.a).cast("int").alias("a"),
             F.when(hot, i).otherwise(acc.b).cast("int").alias("b"),
