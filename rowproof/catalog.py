@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from rowproof.functions import field_check, money, surrogate_key, total
 from rowproof.operators import aggregates, arrays, facts, history, joins, ordering
 from rowproof.operators.contracts import Agg, compare, violations
-from rowproof.plans import findings, incremental, lineage
+from rowproof.plans import findings, incremental, lineage, project, replay
 from rowproof.streaming import drain, read_files, window_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +51,7 @@ def query(sql: str | None):
 from customer left join orders on o_custkey = c_custkey and o_totalprice > 400000 group by o_orderstatus having o_orderstatus is null""")
 def null_group_bucket(t):
     big = t.orders.where("o_totalprice > 400000")
-    return joins.null_group(t.customer, big, F.col("c_custkey") == F.col("o_custkey"), "o_orderstatus", "c_acctbal")
+    return joins.null_group(t.customer, big, F.col("c_custkey") == F.col("o_custkey"), "o_orderstatus", "c_acctbal", scale=2)
 
 
 @query("""with a as (select nullif(o_custkey % 7, 0) as a from orders), b as (select nullif(c_custkey % 11, 0) as b from customer)
@@ -76,7 +76,7 @@ def join_fanout_multiplicity(t):
 select * from (select o_custkey, sum(o_totalprice::decimal(18,2))::double as at_origin, sum(o_totalprice::decimal(18,2) * coalesce(m, 0))::double as after_join
 from orders left join m on l_orderkey = o_orderkey group by 1) where at_origin <> after_join""")
 def fanout_inflated_sum(t):
-    return joins.inflated_sum(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "o_custkey", "o_totalprice")
+    return joins.inflated_sum(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "o_custkey", "o_totalprice", scale=2)
 
 
 @query("""with l as (select nullif(c_nationkey % 9, 0) as k from customer), r as (select nullif(s_nationkey % 5, 0) as k from supplier)
@@ -264,9 +264,9 @@ def conditional_key_violations(t):
     return facts.key_violations(t.orders, ["o_custkey"], F.expr("o_orderpriority = '1-URGENT' and o_totalprice > 200000"))
 
 
-@query("""select md5(concat_ws('-', coalesce(o_custkey::varchar, '_null_'), coalesce(o_orderstatus, '_null_'))) as surrogate, o_custkey, o_orderstatus, count(*) as n from orders group by all having count(*) > 1""")
+@query("""select md5(concat_ws('-', coalesce(o_custkey::varchar, '_null_'), coalesce(o_orderstatus, '_null_'))) as surrogate, count(*) as n, count(distinct (o_custkey, o_orderstatus)) as n_inputs from orders group by 1 having count(*) > 1""")
 def surrogate_key_violations(t):
-    return facts.surrogate_violations(t.orders, ["o_custkey", "o_orderstatus"])
+    return facts.surrogate_violations(t.orders, ["o_custkey", "o_orderstatus"]).withColumn("n", F.col("n").cast("long"))
 
 
 @query("""select o_custkey, (count(distinct o_orderstatus) + max(case when o_orderstatus is null then 1 else 0 end))::bigint as n_values from orders group by 1 having n_values > 1""")
@@ -312,7 +312,7 @@ def length_violations(t):
 @query("""select claim, broken from (select 'order key' as claim, (select count(*) from (select 1 from orders group by o_orderkey having count(*) > 1)) as broken
 union all select 'line key', (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1))
 union all select 'order customer', (select count(*) from orders where o_custkey not in (select c_custkey from customer))
-union all select 'nation name by key', 0)""")
+union all select 'nation name by key', (select count(*) from (select 1 from nation group by n_nationkey having count(distinct n_name) > 1)))""")
 def fact_summary(t):
     return facts.fact_summary({
         "order key": facts.key_violations(t.orders, ["o_orderkey"]),
@@ -337,23 +337,23 @@ def implication_holds(t):
 
 @query("""select o_custkey, count(distinct o_orderstatus) as units, sum(o_totalprice::decimal(18,2))::double as mixed_total from orders group by 1 having count(distinct o_orderstatus) > 1""")
 def mixed_unit_groups(t):
-    return aggregates.mixed_units(t.orders, ["o_custkey"], "o_orderstatus", "o_totalprice")
+    return aggregates.mixed_units(t.orders, ["o_custkey"], "o_orderstatus", "o_totalprice", scale=2)
 
 
-@query("""select o_custkey, o_orderstatus, 1::bigint as units, 0::double as mixed_total from orders where false""")
+@query("""select o_custkey, o_orderstatus, count(distinct o_orderstatus) as units, sum(o_totalprice::decimal(18,2))::double as mixed_total from orders group by 1, 2 having count(distinct o_orderstatus) > 1""")
 def mixed_unit_discharged_by_key(t):
-    return aggregates.mixed_units(t.orders, ["o_custkey", "o_orderstatus"], "o_orderstatus", "o_totalprice")
+    return aggregates.mixed_units(t.orders, ["o_custkey", "o_orderstatus"], "o_orderstatus", "o_totalprice", scale=2)
 
 
-@query("""select o_custkey, 1::bigint as units, 0::double as mixed_total from orders where false""")
+@query("""select o_custkey, count(distinct o_orderstatus) as units, sum(o_totalprice::decimal(18,2))::double as mixed_total from orders where o_orderstatus = 'F' group by 1 having count(distinct o_orderstatus) > 1""")
 def mixed_unit_discharged_by_pin(t):
-    return aggregates.mixed_units(t.orders.where("o_orderstatus = 'F'"), ["o_custkey"], "o_orderstatus", "o_totalprice")
+    return aggregates.mixed_units(t.orders.where("o_orderstatus = 'F'"), ["o_custkey"], "o_orderstatus", "o_totalprice", scale=2)
 
 
 @query("""with o as (select o_orderkey, o_totalprice from orders join lineitem on l_orderkey = o_orderkey)
 select sum(m::decimal(18,2) * n)::double as as_summed, sum(m::decimal(18,2))::double as at_origin from (select max(o_totalprice) as m, count(*) as n from o group by o_orderkey)""")
 def cross_model_fanout(t):
-    return aggregates.grain_inflation(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")), "o_orderkey", "o_totalprice")
+    return aggregates.grain_inflation(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")), "o_orderkey", "o_totalprice", scale=2)
 
 
 _AGGREGATES = {
@@ -363,7 +363,15 @@ _AGGREGATES = {
     "percentile": ("quantile_cont(q::double, 0.9)", lambda: F.percentile(F.col("q").cast("double"), 0.9)), "count_if": ("count(*) filter (q > 25)", lambda: F.count_if(F.col("q") > 25)),
     "bool_and": ("bool_and(q > 0)::int", lambda: F.bool_and(F.col("q") > 0).cast("int")), "bool_or": ("bool_or(q > 49)::int", lambda: F.bool_or(F.col("q") > 49).cast("int")),
     "bit_and": ("bit_and(k)", lambda: F.bit_and("k")), "bit_or": ("bit_or(k)", lambda: F.bit_or("k")), "bit_xor": ("bit_xor(k)", lambda: F.bit_xor("k")), "min_by": ("min_by(k, q * 1000000000 + k)", lambda: F.min_by("k", F.col("q") * 1000000000 + F.col("k"))),
-    "max_by": ("max_by(k, q * 1000000000 + k)", lambda: F.max_by("k", F.col("q") * 1000000000 + F.col("k"))), "collect_list": ("len(list(q))", lambda: F.count("q")), "sum_distinct": ("sum(distinct q)", lambda: F.sum_distinct("q")),
+    "stddev": ("round(stddev(q::double), 4)", lambda: F.round(F.stddev(F.col("q").cast("double")), 4)), "stddev_pop": ("round(stddev_pop(q::double), 4)", lambda: F.round(F.stddev_pop(F.col("q").cast("double")), 4)),
+    "variance": ("round(var_samp(q::double), 4)", lambda: F.round(F.variance(F.col("q").cast("double")), 4)), "kurtosis": ("round(kurtosis_pop(q::double), 4)", lambda: F.round(F.kurtosis(F.col("q").cast("double")), 4)),
+    "skewness": ("round(skewness(q::double) * (count(q) - 2) / sqrt(count(q)::double * (count(q) - 1)), 4)", lambda: F.round(F.skewness(F.col("q").cast("double")), 4)),
+    "mode": ("(list_sort(histogram(q).map_entries().list_transform(lambda e: {n: -e.value::bigint, q: e.key})))[1].q", lambda: F.mode("q", True)),
+    "percentile_approx": ("quantile_disc(q, 0.9)", lambda: F.percentile_approx("q", 0.9, 1_000_000)), "percentile_cont": ("quantile_cont(q::double, 0.25)", lambda: F.expr("percentile_cont(0.25) within group (order by q)")), "percentile_disc": ("quantile_disc(q, 0.25)", lambda: F.expr("percentile_disc(0.25) within group (order by q)")),
+    # which row's value they return is not fixed, but one of the input's it is
+    **{name: (f"({name}(q) between min(q) and max(q))::int", lambda f=f: f("q").between(F.min("q"), F.max("q")).cast("int")) for name, f in (("any_value", F.any_value), ("first", F.first), ("last", F.last))},
+    "approx_count_distinct": ("count(distinct q)", lambda: F.approx_count_distinct("q", 0.01)), "listagg": ("length(string_agg(q::varchar, ','))", lambda: F.length(F.listagg(F.col("q").cast("string"), F.lit(",")))),
+    "max_by": ("max_by(k, q * 1000000000 + k)", lambda: F.max_by("k", F.col("q") * 1000000000 + F.col("k"))), "collect_list": ("len(list(q))", lambda: F.size(F.collect_list("q"))), "sum_distinct": ("sum(distinct q)", lambda: F.sum_distinct("q")),
 }
 _BASE = "(select l_quantity::bigint as q, l_partkey as k from lineitem)"
 _MORE = f"(select q, k from {_BASE}, range(1 + k % 3))"
@@ -379,8 +387,8 @@ def aggregate_duplication_effect(t):
 
 
 def _order_sums(t, factor: float = 1.0):
-    own = Agg("sum", "o_totalprice").of(t.orders).by("o_orderkey")
-    return own, Agg("sum", "line_total").of(t.lineitem.withColumn("line_total", F.col("l_extendedprice") * F.lit(factor))).by("l_orderkey")
+    own = Agg("sum", "o_totalprice", scale=2).of(t.orders).by("o_orderkey")
+    return own, Agg("sum", F.col("l_extendedprice") * factor, scale=2).of(t.lineitem).by("l_orderkey")
 
 
 _SUMS = """a as (select o_orderkey as k, sum(o_totalprice::decimal(18,2))::double as l from orders group by 1), b as (select l_orderkey as k, sum(l_extendedprice::decimal(18,2))::double as r from lineitem group by 1),
@@ -434,7 +442,7 @@ def set_op_keys(t):
 
 @query("""select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity::decimal(18,2))::double as q from lineitem group by rollup(l_returnflag, l_linestatus)""")
 def rollup_null_rows(t):
-    return t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), total("l_quantity").alias("q"))
+    return t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), total("l_quantity", scale=2).alias("q"))
 
 
 @query("""select c_mktsegment, count(*) as n, count(*) filter (c_acctbal < 0) as overdrawn, sum(c_acctbal::decimal(18,2)) filter (c_acctbal > 0)::double as credit from customer group by 1 having count(*) > 1""")
@@ -446,12 +454,12 @@ def filtered_aggregates(t):
 def _findings(t, line_keys: list[str], limit: float, world: str) -> DataFrame:
     """Findings of two checks: lines that break a key, by flag, and customers with an order above a limit."""
     broken = facts.key_violations(t.lineitem, line_keys).join(t.lineitem, line_keys)
-    broken = broken.select(F.lit("audit").alias("family"), F.lit("join_fan_out").alias("kind"), F.lit("lineitem").alias("model"), F.col("l_returnflag").alias("column_name"))
+    broken = broken.select(F.lit("audit").alias("family"), F.lit("join_fanout").alias("kind"), F.lit("lineitem").alias("model"), F.col("l_returnflag").alias("column_name"))
     large = t.orders.where(F.col("o_totalprice") > limit).select(F.lit("check").alias("family"), F.lit("contract_issue").alias("kind"), F.lit("orders").alias("model"), F.col("o_orderpriority").alias("column_name"))
     return broken.unionByName(large).distinct().withColumn("world", F.lit(world))
 
 
-_FIND = """select distinct 'audit' as family, 'join_fan_out' as kind, 'lineitem' as model, l_returnflag as column_name, '{w}' as world from lineitem join (select {k} from lineitem group by all having count(*) > 1) using ({k})
+_FIND = """select distinct 'audit' as family, 'join_fanout' as kind, 'lineitem' as model, l_returnflag as column_name, '{w}' as world from lineitem join (select {k} from lineitem group by all having count(*) > 1) using ({k})
 union all select distinct 'check', 'contract_issue', 'orders', o_orderpriority, '{w}' from orders where o_totalprice > {limit}"""
 _FULL = _FIND.format(w="full", k="l_orderkey, l_linenumber", limit=0)
 _STEADY = _FIND.format(w="steady", k="l_orderkey, l_partkey", limit=600000)
@@ -474,12 +482,12 @@ def gate(t):
     return findings.passes(_findings(t, ["l_orderkey", "l_linenumber"], 0, "full"))
 
 
-@query("""with recursive e as (select distinct 'user ' || user_id as t, 'type ' || event_type as f from events union select distinct 'type ' || event_type, 'day ' || dayofweek(ts) from events where event_id % 7 = 0),
+@query("""with recursive e as (select distinct 'user ' || user_id as t, 'type ' || event_type as f from events union select distinct 'type ' || event_type, 'day ' || dayofweek(ts) from events),
 c as (select t as node, f as ancestor from e union select c.node, e.f from c join e on c.ancestor = e.t)
 select ancestor, count(*) as nodes from c where ancestor not in (select t from e) group by 1""")
 def lineage_closure(t):
     e = t.events.select(F.concat(F.lit("user "), F.col("user_id")).alias("to_node"), F.concat(F.lit("type "), F.col("event_type")).alias("from_node"))
-    e = e.unionByName(t.events.where("event_id % 7 = 0").select(F.concat(F.lit("type "), F.col("event_type")).alias("to_node"), F.concat(F.lit("day "), F.dayofweek("ts") - 1).alias("from_node"))).distinct()
+    e = e.unionByName(t.events.select(F.concat(F.lit("type "), F.col("event_type")).alias("to_node"), F.concat(F.lit("day "), F.dayofweek("ts") - 1).alias("from_node"))).distinct()
     return lineage.base_columns(e).groupBy(F.col("base").alias("ancestor")).agg(F.count("*").alias("nodes"))
 
 
@@ -560,3 +568,143 @@ def top_k_per_group(t):
     counts = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     w = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
     return counts.withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
+
+
+# ---- further joins, frames, sets and loads ---------------------------------------------------------------------
+
+
+@query("""select o_orderstatus, count(*) as padded from (select c_custkey from customer join nation on n_nationkey = c_nationkey where c_acctbal > 5000) right join orders on o_custkey = c_custkey where c_custkey is null group by 1""")
+def right_join_padding(t):
+    left = t.customer.where("c_acctbal > 5000").join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    return joins.right_padding(left, t.orders, F.col("c_custkey") == F.col("o_custkey")).groupBy("o_orderstatus").agg(F.count("*").alias("padded"))
+
+
+@query("""select c_mktsegment, count(*) as pairs from orders join customer on o_custkey = c_custkey or o_orderkey = c_custkey group by 1""")
+def or_join_fanout(t):
+    x = joins.either(t.orders, t.customer, F.col("o_custkey") == F.col("c_custkey"), F.col("o_orderkey") == F.col("c_custkey"))
+    return x.groupBy("c_mktsegment").agg(F.count("*").alias("pairs"))
+
+
+@query("""select coalesce(m, 0) as matches, count(*) as left_rows from (select left(n_name, 1) as k from nation) left join (select left(c_mktsegment, 1) as k, count(*) as m from customer group by 1) using (k) group by 1""")
+def function_join_fanout(t):
+    return joins.fanout(t.nation, t.customer, F.substring("n_name", 1, 1), F.substring("c_mktsegment", 1, 1))
+
+
+@query("""select (select count(*) from nation) as left_rows, (select count(*) from supplier) as right_rows, (select count(*) from nation, supplier) as pairs""")
+def cross_join_size(t):
+    return joins.cross_size(t.nation, t.supplier)
+
+
+@query("""select o_custkey, arg_min_null(k, o_orderkey) as first, min_by(k, o_orderkey) as first_known from (select o_custkey, o_orderkey, case when o_orderkey % 3 <> 0 then o_orderkey end as k, case when o_orderkey % 3 <> 0 then 1 else 0 end as has from orders)
+group by 1 having min_by(has, o_orderkey) = 0""")
+def ignore_nulls_first(t):
+    x = ordering.first_known(t.orders, ["o_custkey"], ["o_orderkey"], F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")))
+    return x.where("first is null")
+
+
+@query("""select o_custkey, count(*) as n_rows from orders group by 1 having count(*) filter (o_totalprice > 150000) = 0""")
+def array_agg_ignore_nulls_empty(t):
+    return arrays.collected_empty(t.orders, ["o_custkey"], F.when(F.col("o_totalprice") > 150000, F.col("o_orderkey")))
+
+
+@query("""select l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::bigint as level, count(*) as n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())""")
+def grouping_sets_null_rows(t):
+    return aggregates.grouping_set_rows(t.lineitem, [["l_returnflag"], ["l_linestatus"], []], ["l_returnflag", "l_linestatus"])
+
+
+@query("""select l_returnflag, count(distinct l_partkey) as exact, true as close from lineitem group by 1""")
+def sketch_estimates(t):
+    return aggregates.sketch_error(t.lineitem, ["l_returnflag"], "l_partkey")
+
+
+@query("""select c_nationkey, count(distinct c_mktsegment) as units, count(distinct c_custkey) as determinants from customer group by 1 having count(distinct c_mktsegment) > 1""")
+def mixed_unit_by_coarse_key(t):
+    return aggregates.discharged_by_dependency(t.customer, ["c_nationkey"], "c_custkey", "c_mktsegment")
+
+
+@query("""select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 1 day preceding and current row) as n_recent from events""")
+def range_frame_counts(t):
+    return ordering.recent_counts(t.events, ["user_id"], "ts", 86_400).select("event_id", "user_id", "n_recent")
+
+
+@query("""select event_type, count(*) as n, count(k) as with_k, sum(k)::bigint as sum_k from (select event_type, regexp_extract(props, '"k": *([0-9]+)', 1) as t, case when regexp_extract(props, '"k": *([0-9]+)', 1) <> '' then regexp_extract(props, '"k": *([0-9]+)', 1)::bigint end as k from events) group by 1""")
+def json_field_counts(t):
+    k = F.from_json("props", "k long")["k"]
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.sum(k).alias("sum_k"))
+
+
+@query("""select 'hash of the row' as claim, 0::bigint as only_first, 0::bigint as only_second from orders having count(*) > 0 union all select 'random key', count(*), count(*) from orders""")
+def replay_differences(t):
+    stable = replay.differences(lambda: t.orders.select(F.sha2("o_orderpriority", 256).alias("k"), "o_orderkey"))
+    random = replay.differences(lambda: t.orders.select(F.expr("uuid()").alias("k"), "o_orderkey"))
+    return stable.withColumn("claim", F.lit("hash of the row")).unionByName(random.withColumn("claim", F.lit("random key")))
+
+
+@query("""with days as (select distinct ts::date as d from events where event_id % 11 = 0)
+select (select count(*) from events where event_id % 11 <> 0 and ts::date not in (select d from days)) + (select count(*) from events where event_id % 11 = 0) as insert_overwrite_rows,
+(select count(*) from events where event_id % 11 <> 0 and date_trunc('month', ts) not in (select date_trunc('month', ts) from events where event_id % 11 = 0)) + (select count(*) from events where event_id % 11 = 0) as microbatch_rows""")
+def incremental_partition_loads(t):
+    x = t.events.withColumn("day", F.to_date("ts")).withColumn("month", F.date_trunc("month", "ts"))
+    n = lambda s, part, name: incremental.load(x.where("event_id % 11 <> 0"), x.where("event_id % 11 = 0"), s, ["event_id"], [], part).agg(F.count("*").alias(name))
+    return n("insert_overwrite", "day", "insert_overwrite_rows").join(F.broadcast(n("microbatch", "month", "microbatch_rows")))
+
+
+@query("""select count(*) filter (k <> 3) as other, count(*) filter (k in (1, 2)) as listed, count(*) filter (k not in (1, 2)) as not_listed, count(*) filter (k between 1 and 3) as within, count(*) filter (p like '1-%') as alike, count(*) filter (p not like '1-%') as unlike,
+count(*) filter (k is null) as unknown, count(*) as n_rows from (select nullif(o_custkey % 5, 0) as k, nullif(o_orderpriority, '5-LOW') as p from orders)""")
+def null_intolerant_predicates(t):
+    x = t.orders.select(F.expr("nullif(o_custkey % 5, 0)").alias("k"), F.expr("nullif(o_orderpriority, '5-LOW')").alias("p"))
+    k, p = F.col("k"), F.col("p")
+    tests = {"other": k != 3, "listed": k.isin(1, 2), "not_listed": ~k.isin(1, 2), "within": k.between(1, 3), "alike": p.like("1-%"), "unlike": ~p.like("1-%"), "unknown": k.isNull()}
+    return x.agg(*(F.count_if(c).alias(n) for n, c in tests.items()), F.count("*").alias("n_rows"))
+
+
+@query(f"select doc_id, pos::int as pos, element from (select doc_id, unnest(case when len(w) = 0 then [null] else w end) as element, case when len(w) = 0 then null else generate_subscripts(w, 1) - 1 end as pos from (select doc_id, {_LONG_WORDS} as w from documents where source is not null))")
+def flatten_outer_rows(t):
+    return arrays.outer_elements(t.documents.where("source is not null"), ["doc_id"], _long_words())
+
+
+@query("""select kind, count(*) as n, sum(amount)::double as amount from (select unnest(['discount', 'tax']) as kind, unnest([(l_discount * 100)::bigint, (l_tax * 100)::bigint]) as amount from lineitem) group by 1""")
+def inline_structs(t):
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.round(F.col(c) * 100).cast("long").alias("amount")) for k, c in (("discount", "l_discount"), ("tax", "l_tax"))))
+    return t.lineitem.select(F.inline(pairs)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+
+_FACTS = [
+    ("orders", "unique", ["o_orderkey"], None, None, None, None, "constraint"), ("lineitem", "unique", ["l_orderkey", "l_linenumber"], None, None, None, None, "test"), ("orders", "unique", ["o_custkey"], None, None, None, "o_totalprice > 400000", "test"),
+    ("orders", "not_null", ["o_orderdate"], None, None, None, None, "test"), ("orders", "relationships", ["o_custkey"], None, "customer", "c_custkey", None, "test"), ("orders", "accepted_values", ["o_orderpriority"], ["1-URGENT", "2-HIGH"], None, None, None, "test"),
+    ("customer", "not_null", ["c_phone"], None, None, None, None, "test"), ("payments", "unique", ["id"], None, None, None, None, "incremental"),
+]
+_FACT_ROWS = """(select * from (values ('orders', 'o_orderkey', 'unique', 'constraint', 'checked', (select count(*) from (select 1 from orders group by o_orderkey having count(*) > 1))),
+('lineitem', 'l_orderkey,l_linenumber', 'unique', 'test', 'checked', (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1))),
+('orders', 'o_custkey', 'unique', 'test', 'checked', (select count(*) from (select 1 from orders where o_totalprice > 400000 group by o_custkey having count(*) > 1))),
+('orders', 'o_orderdate', 'not_null', 'test', 'checked', (select count(*) from orders where o_orderdate is null)), ('orders', 'o_custkey', 'relationships', 'test', 'checked', (select count(*) from orders where o_custkey not in (select c_custkey from customer))),
+('orders', 'o_orderpriority', 'accepted_values', 'test', 'checked', (select count(distinct o_orderpriority) from orders where o_orderpriority not in ('1-URGENT', '2-HIGH'))),
+('customer', 'c_phone', 'not_null', 'test', 'no column c_phone', null), ('payments', 'id', 'unique', 'incremental', 'no such relation', null)) as v(model, column_name, property, provenance, status, broken))"""
+
+
+def _declared(t):
+    return t.spark.createDataFrame(_FACTS, "model string, property string, columns array<string>, accepted array<string>, parent string, parent_column string, condition string, provenance string")
+
+
+def _relation(t):
+    return lambda name: getattr(t, name) if name in ("orders", "lineitem", "customer") else None
+
+
+@query(f"select 'check' as family, 'contract_issue' as kind, model, column_name, property, provenance, status, broken from {_FACT_ROWS}")
+def declared_facts_checked(t):
+    return project.check(_declared(t), _relation(t))
+
+
+@query(f"""select model, count(*) as declared, count(*) filter (status = 'checked') as checked, count(*) filter (status = 'checked') / count(*) as share, case when count(*) filter (status = 'checked') / count(*) < 0.5 then 'resolution_below_floor' end as kind
+from {_FACT_ROWS} group by 1""")
+def fact_coverage(t):
+    return project.analyze(_declared(t), _relation(t), floor=0.5)[1]
+
+
+@query("""with a as (select l_orderkey as k, sum(l_extendedprice * (1 - l_discount)) as l from lineitem where l_returnflag in ('A', 'N') group by 1), b as (select l_orderkey as k, sum(l_extendedprice) as r from lineitem where l_quantity between 1 and 50 group by 1)
+select coalesce(a.k, b.k) as l_orderkey, round(coalesce(l, 0), 3) as left_value, round(coalesce(r, 0), 3) as right_value from a full join b on a.k = b.k where l is null or r is null or not l <= r - 1000""")
+def conservation_of_expressions(t):
+    left = Agg("sum", F.col("l_extendedprice") * (1 - F.col("l_discount"))).of(t.lineitem).where(F.col("l_returnflag").isin("A", "N")).by("l_orderkey")
+    right = Agg("sum", "l_extendedprice").of(t.lineitem).where(F.col("l_quantity").between(1, 50)).by("l_orderkey")
+    x = violations(left, right, "<=", within=-1000.0)
+    return x.select("l_orderkey", F.round("left_value", 3).alias("left_value"), F.round("right_value", 3).alias("right_value"))

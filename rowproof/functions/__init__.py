@@ -6,20 +6,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def money(c: Column | str) -> Column:
     """Two decimals, so that sums do not depend on the order of the rows."""
-    return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")
+    return column(c).cast("decimal(18,2)")
+
+
+def scaled(c: Column | str, scale: int | None = None) -> Column:
+    """A measure with so many decimals, for exact sums; as it is where none are named."""
+    return column(c) if scale is None else column(c).cast(f"decimal(28,{scale})")
+
 
+def total(c: Column | str, scale: int | None = None) -> Column:
+    """A sum as a double: of the numbers as they are, or exact in so many decimals."""
+    return F.sum(scaled(c, scale)).cast("double")
 
-def total(c: Column | str) -> Column:
-    """Exact sum of two-decimal numbers, as a double."""
-    return F.sum(money(c)).cast("double")
 
+def surrogate_key(*columns: str | Column, separator: str = "-", escaped: bool = False) -> Column:
+    """MD5 of the columns as text, NULL as _null_.
 
-def surrogate_key(*columns: str | Column, separator: str = "-") -> Column:
-    """MD5 of the columns as text; NULL has a text of its own, so the key determines the inputs up to the separator."""
-    text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("_null_")) for c in columns]
-    return F.md5(F.concat_ws(separator, *text))
+    As it is usually written, inputs that hold the separator (or the text _null_) can share a key; `escaped` marks
+    them with backslashes, so that the hashed text determines the inputs.
+    """
+    text = [column(c).cast("string") for c in columns]
+    if escaped:
+        back = F.lit("\\")
+        text = [F.coalesce(F.replace(F.replace(t, back, F.lit("\\\\")), F.lit(separator), F.lit("\\" + separator)), F.lit("\\N")) for t in text]
+    return F.md5(F.concat_ws(separator, *(F.coalesce(t, F.lit("_null_")) for t in text)))
 
 
 def none_of(*columns: str) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowproof.functions import total
+from rowproof.functions import scaled, total
 
 
 @dataclass(frozen=True)
@@ -45,14 +45,37 @@ def duplication_effect(df: DataFrame, aggregates: dict[str, Column], repeat: Col
     return long(base, "base").join(long(more, "duplicated"), "aggregate")
 
 
-def mixed_units(df: DataFrame, keys: list[str], unit: str, measure: str) -> DataFrame:
+def mixed_units(df: DataFrame, keys: list[str], unit: str, measure: str, scale: int | None = None) -> DataFrame:
     """Groups whose sum adds amounts of more than one unit; a key, pin or dependency on the unit leaves none."""
-    x = df.groupBy(*keys).agg(F.count_distinct(unit).alias("units"), total(measure).alias("mixed_total"))
+    x = df.groupBy(*keys).agg(F.count_distinct(unit).alias("units"), total(measure, scale).alias("mixed_total"))
     return x.where("units > 1")
 
 
-def grain_inflation(df: DataFrame, origin_key: str, measure: str) -> DataFrame:
+def grain_inflation(df: DataFrame, origin_key: str, measure: str, scale: int | None = None) -> DataFrame:
     """(as_summed, at_origin): a measure summed over a relation that repeats its origin's rows, and once per origin."""
     once = df.groupBy(origin_key).agg(F.max(measure).alias("m"), F.count("*").alias("n"))
-    both = F.sum(F.col("m").cast("decimal(18,2)") * F.col("n")).cast("double")
-    return once.agg(both.alias("as_summed"), total("m").alias("at_origin"))
+    both = F.sum(scaled("m", scale) * F.col("n")).cast("double")
+    return once.agg(both.alias("as_summed"), total("m", scale).alias("at_origin"))
+
+
+def discharged_by_dependency(df: DataFrame, keys: list[str], determinant: str, unit: str) -> DataFrame:
+    """(keys, units, determinants): groups that mix units though each value of the determinant has one.
+
+    Where grouping by the determinant is free of them and this is not, the group key is too coarse: the dependency
+    determinant -> unit holds and the key does not fix the determinant. Groups whose own rows break the dependency
+    are left out.
+    """
+    x = df.groupBy(*keys, determinant).agg(F.min(unit).alias("low"), F.max(unit).alias("high"), F.collect_set(unit).alias("held"))
+    x = x.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_set("held")))).cast("long").alias("units"), F.count("*").alias("determinants"), F.bool_or(F.col("low") != F.col("high")).alias("broken"))
+    return x.where("units > 1 and not coalesce(broken, false)").drop("broken")
+
+
+def grouping_set_rows(df: DataFrame, sets: list[list[str]], keys: list[str]) -> DataFrame:
+    """(keys, level, n): rows of grouping sets; `level` (grouping_id) tells a total's NULL from a NULL in the data."""
+    return df.groupingSets(sets, *keys).agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"))
+
+
+def sketch_error(df: DataFrame, keys: list[str], value: str, within: float = 0.05) -> DataFrame:
+    """(keys, exact, close): distinct values counted, and whether a mergeable sketch's estimate is within a share of it."""
+    x = df.groupBy(*keys).agg(F.count_distinct(value).alias("exact"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col(value), F.lit(14))).alias("estimate"))
+    return x.select(*keys, "exact", (F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * within).alias("close"))

@@ -1,10 +1,13 @@
 """Contracts over aggregates: a declared relation between two grouped values, evaluated group by group.
 
-    Agg("sum", "amount").of(payments).by("order_id") == Agg("sum", "total").of(orders).by("order_id")
+    paid = Agg("sum", "amount").of(payments).by("order_id")
+    due = Agg("sum", F.col("price") * F.col("quantity")).of(lines).where(F.col("status").isin("open", "sent")).by("order_id")
+    violations(paid, due, "<=", within=0.01)
 
 A comparison is a DataFrame of the groups with both values and whether the relation holds. A group that one side
 lacks is a mismatch; NULL values count as 0; `within` is an absolute, `relative` a relative tolerance (a share of
-the right side's magnitude, group by group).
+the right side's magnitude, group by group). What is aggregated, and the rows, are any Spark expressions; numbers are
+summed as they are, or exactly in a number of decimals where `scale` names one.
 """
 
 from __future__ import annotations
@@ -14,15 +17,19 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.functions import column, scaled
+from rowproof.operators import facts
 
-@dataclass(frozen=True)
+
+@dataclass(frozen=True, eq=False)
 class Agg:
     """A grouped aggregate of a frame, perhaps joined with another first."""
 
     function: str
-    column: str
+    column: str | Column
     frame: DataFrame | None = None
     keys: tuple[str, ...] = ()
+    scale: int | None = None
 
     def of(self, frame: DataFrame) -> Agg:
         return replace(self, frame=frame)
@@ -30,16 +37,34 @@ class Agg:
     def by(self, *keys: str) -> Agg:
         return replace(self, keys=keys)
 
+    def where(self, condition: Column | str) -> Agg:
+        return replace(self, frame=self.frame.where(condition))
+
     def joined_on(self, other: DataFrame, key: str) -> Agg:
         return replace(self, frame=self.frame.join(other, key))
 
     def value(self) -> DataFrame:
-        c = F.col(self.column)
-        exact = c.cast("decimal(18,2)") if dict(self.frame.dtypes)[self.column] in ("double", "float") else c
+        c = column(self.column)
+        exact = scaled(c, self.scale)
         value = {"sum": F.sum(exact), "avg": F.avg(exact), "min": F.min(c), "max": F.max(c), "count": F.count(c), "count_distinct": F.count_distinct(c)}[self.function]
         return self.frame.groupBy(*self.keys).agg(value.cast("double").alias("value"))
 
 
+def grain(frame: DataFrame, *keys: str) -> DataFrame:
+    """Key values that break the claim of one row per keys (NULL is a value here)."""
+    return frame.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def refers(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """Child rows that refer to no parent row."""
+    return facts.orphans(child, parent, key, parent_key)
+
+
+def rows_that_break(frame: DataFrame, claim: Column) -> DataFrame:
+    """Rows for which a claim about their columns is false; where it is NULL, nothing is claimed."""
+    return frame.where(~F.coalesce(claim, F.lit(True)))
+
+
 def compare(left: Agg, right: Agg, relation: str = "=", within: float = 0.0, relative: float = 0.0) -> DataFrame:
     """(keys, left_value, right_value, holds) for every group of either side."""
     names = left.keys

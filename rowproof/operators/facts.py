@@ -40,9 +40,13 @@ def rejected_values(df: DataFrame, column: str, accepted: list) -> DataFrame:
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(accepted)).groupBy(column).agg(F.count("*").alias("n"))
 
 
-def surrogate_violations(df: DataFrame, inputs: list[str]) -> DataFrame:
-    """Surrogate keys (a hash of the inputs) on more than one row: then the inputs are no key either."""
-    return df.groupBy(surrogate_key(*inputs).alias("surrogate"), *inputs).agg(F.count("*").alias("n")).where("n > 1")
+def surrogate_violations(df: DataFrame, inputs: list[str], escaped: bool = False) -> DataFrame:
+    """(surrogate, n, n_inputs): surrogate keys on more than one row.
+
+    With n_inputs = 1 the inputs are no key either; more mean that different inputs share a surrogate.
+    """
+    each = df.groupBy(*inputs).agg(F.count("*").alias("c")).withColumn("surrogate", surrogate_key(*inputs, escaped=escaped))
+    return each.groupBy("surrogate").agg(F.sum("c").alias("n"), F.count("*").alias("n_inputs")).where("n > 1")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowproof.functions import total
+from rowproof.functions import column, scaled, total
 
 
-def null_group(left: DataFrame, right: DataFrame, on: Column, key: str, measure: str) -> DataFrame:
-    """The group that outer-join padding makes: preserved rows without a partner, all under NULL."""
-    joined = left.join(right, on, "left")
-    return joined.groupBy(key).agg(F.count("*").alias("n_rows"), total(measure).alias("total")).where(F.col(key).isNull())
+def null_group(left: DataFrame, right: DataFrame, on: Column, key: str, measure: str, scale: int | None = None) -> DataFrame:
+    """(key, n_rows, total): the group that outer-join padding makes of preserved rows without a partner, all under NULL.
+
+    `key` is a column of the right side; rows with a partner whose key is NULL are not padding.
+    """
+    lost = left.join(right, on, "left_anti").agg(F.count("*").alias("n_rows"), total(measure, scale).alias("total")).where("n_rows > 0")
+    return lost.select(F.lit(None).cast(right.schema[key].dataType).alias(key), "n_rows", "total")
+
+
+def right_padding(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """Rows that a RIGHT join pads: those without a partner in all that was joined before."""
+    return right.join(left, on, "left_anti")
+
+
+def either(left: DataFrame, right: DataFrame, first: Column, second: Column) -> DataFrame:
+    """left JOIN right ON first OR second, as two joins on keys; a pair that satisfies both is there once."""
+    return left.join(right, first).unionByName(left.join(right, second).where(~F.coalesce(first, F.lit(False))))
+
+
+def cross_size(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_rows, right_rows, pairs): what a cross join would return, without building it."""
+    a, b = left.agg(F.count("*").alias("left_rows")), right.agg(F.count("*").alias("right_rows"))
+    return a.join(F.broadcast(b)).withColumn("pairs", F.col("left_rows") * F.col("right_rows"))  # one row each
 
 
 def sentinel_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, sentinel) -> DataFrame:
@@ -29,20 +48,20 @@ def lost_to_where(left: DataFrame, right: DataFrame, on: Column, predicate: Colu
     return left.join(right.where(predicate), on, "left_anti")
 
 
-def fanout(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(matches, left_rows): how many rows of the left side meet how many partners."""
-    b = right.groupBy(F.col(right_key).alias("k")).agg(F.count("*").alias("m"))
-    a = left.select(F.col(left_key).alias("k")).join(b, "k", "left")
+def fanout(left: DataFrame, right: DataFrame, left_key: str | Column, right_key: str | Column) -> DataFrame:
+    """(matches, left_rows): how many rows of the left side meet how many partners; keys may be functions of columns."""
+    b = right.groupBy(column(right_key).alias("k")).agg(F.count("*").alias("m"))
+    a = left.select(column(left_key).alias("k")).join(b, "k", "left")
     return a.groupBy(F.coalesce("m", F.lit(0)).alias("matches")).agg(F.count("*").alias("left_rows"))
 
 
-def inflated_sum(left: DataFrame, right: DataFrame, left_key: str, right_key: str, group: str, measure: str) -> DataFrame:
+def inflated_sum(left: DataFrame, right: DataFrame, left_key: str, right_key: str, group: str, measure: str, scale: int | None = None) -> DataFrame:
     """(group, at_origin, after_join): a sum of the left side's measure before and after a join that repeats rows."""
     b = right.groupBy(F.col(right_key).alias("k")).agg(F.count("*").alias("m"))
     joined = left.join(b, left[left_key] == b["k"], "left")
     times = F.coalesce("m", F.lit(0))
-    after = F.sum(F.col(measure).cast("decimal(18,2)") * times).cast("double")
-    return joined.groupBy(group).agg(total(measure).alias("at_origin"), after.alias("after_join")).where("at_origin <> after_join")
+    after = F.sum(scaled(measure, scale) * times).cast("double")
+    return joined.groupBy(group).agg(total(measure, scale).alias("at_origin"), after.alias("after_join")).where("at_origin <> after_join")
 
 
 def key_loss(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -37,8 +37,24 @@ def top_n_ties(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 
 
 def cutoff_ties(df: DataFrame, order: str, n: int) -> DataFrame:
-    """(cutoff, tied, taken): rows that share the order value at which LIMIT n cuts, and how many of them it takes."""
-    values = df.groupBy(F.col(order).alias("cutoff")).agg(F.count("*").alias("tied"))
-    w = Window.orderBy("cutoff")  # a row per distinct value
-    values = values.withColumn("before", F.sum("tied").over(w) - F.col("tied"))
-    return values.where((F.col("before") < n) & (F.col("before") + F.col("tied") > n)).select("cutoff", "tied", (F.lit(n) - F.col("before")).alias("taken"))
+    """(cutoff, tied, taken): rows that share the order value at which LIMIT n cuts, and how many of them it takes.
+
+    Only the first n values are ordered (each task keeps n); the rest is two counts.
+    """
+    x = df.select(F.col(order).alias("v"))
+    cut = x.orderBy("v").offset(n - 1).limit(1).select(F.col("v").alias("cutoff"))
+    earlier = F.coalesce(F.col("v") < F.col("cutoff"), F.col("v").isNull() & F.col("cutoff").isNotNull())  # NULLs are first
+    counts = x.join(F.broadcast(cut)).groupBy("cutoff").agg(F.count_if(F.col("v").eqNullSafe(F.col("cutoff"))).alias("tied"), F.count_if(earlier).alias("before"))  # one row
+    return counts.where(F.col("before") + F.col("tied") > n).select("cutoff", "tied", (F.lit(n) - F.col("before")).alias("taken"))
+
+
+def first_known(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """(keys, first, first_known): a group's first value in a total order, and its first that is not NULL (IGNORE NULLS)."""
+    at = F.struct(*order)
+    return df.groupBy(*keys).agg(F.min_by(value, at).alias("first"), F.min_by(value, F.when(value.isNotNull(), at)).alias("first_known"))
+
+
+def recent_counts(df: DataFrame, partition: list[str], at: str, seconds: int) -> DataFrame:
+    """Add n_recent: rows of the partition within so many seconds up to each row's time, peers included (a RANGE frame)."""
+    w = Window.partitionBy(*partition).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    return df.withColumn("n_recent", F.count("*").over(w))

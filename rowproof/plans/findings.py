@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 #: Kinds whose default level is error; all others warn.
 ERRORS = (
     "null_group_after_outer_join", "coalesce_on_join_key", "where_on_outer_joined_nullable", "inner_flatten_row_drop", "non_unique_window_order_keys", "null_group_on_nullable_key", "join_on_nullable_key",
-    "not_in_nullable_subquery", "snapshot_without_temporal_filter", "contract_issue", "domain_type_contradiction", "aggregation_not_well_typed", "join_key_type_mismatch",
+    "not_in_nullable_subquery", "snapshot_temporal_filter_missing", "contract_issue", "domain_type_contradiction", "aggregation_not_well_typed", "join_key_type_mismatch",
+)
+#: Kinds whose default level is warn.
+WARNINGS = (
+    "unordered_ranking_window", "unordered_aggregate", "non_unique_aggregate_order_keys", "limit_without_deterministic_order", "non_deterministic_function", "join_fanout", "cross_model_fanout", "resolution_below_floor",
 )
 IDENTITY = ("family", "kind", "model", "column_name")
 
@@ -45,3 +49,19 @@ def passes(found: DataFrame, fail_on: str = "error") -> DataFrame:
     level = F.lit(True) if fail_on == "warn" else severity("kind") == "error"
     x = found.agg(F.count("*").alias("findings"), F.count_if(level).alias("failing"))
     return x.withColumn("passed", F.col("failing") == 0)
+
+
+def coverage(checked: DataFrame, floor: float = 0.0) -> DataFrame:
+    """(model, declared, checked, share, kind): how many of a model's declared facts could be checked.
+
+    checked(model, status): a row per declared fact; status is "checked" or why not. Models whose share is below the
+    floor have the kind resolution_below_floor, others none.
+    """
+    x = checked.groupBy("model").agg(F.count("*").alias("declared"), F.count_if(F.col("status") == "checked").alias("checked"))
+    x = x.withColumn("share", F.col("checked") / F.col("declared"))
+    return x.withColumn("kind", F.when(F.col("share") < floor, "resolution_below_floor"))
+
+
+def write(found: DataFrame, path: str, kind: str = "json") -> None:
+    """Write findings with their level, as files of a kind that Spark writes."""
+    found.withColumn("severity", severity("kind")).write.mode("overwrite").format(kind).save(path)

@@ -11,6 +11,17 @@ from rowproof.operators.facts import first_per_key
 DEDUPLICATES = {"append": False, "merge": True, "delete+insert": True, "insert_overwrite": False, "microbatch": False}
 
 
+def effective(declared: Column, default: str | None) -> Column:
+    """The strategy in force: the declared one, else the platform's default; NULL where it is not one of the known."""
+    name = F.lower(F.trim(F.coalesce(declared, F.lit(default))))
+    return F.when(name.isin(*DEDUPLICATES), name)
+
+
+def deduplicates(strategy: Column) -> Column:
+    """Does a load of this strategy leave one row per key? Not if it is unknown."""
+    return F.coalesce(strategy.isin(*(s for s, one in DEDUPLICATES.items() if one)), F.lit(False))
+
+
 def load(target: DataFrame, batch: DataFrame, strategy: str, keys: list[str], order: list[Column], partition: str | None = None) -> DataFrame:
     """The target after a batch: append adds; merge and delete+insert replace rows of the batch's keys (of several
     batch rows of a key the first in `order` for merge, all for delete+insert); insert_overwrite and microbatch

@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.sources.shared import shared_folder
+
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the session names; in a folder of our own where there is none."""
+    """Checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowproof-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def closure(edges: DataFrame, to_col: str = "to_node", from_col: str = "from_node") -> DataFrame:
-    """(node, ancestor): everything each node derives from, by doubling paths until nothing is added."""
-    paths = _kept(edges.select(F.col(to_col).alias("node"), F.col(from_col).alias("ancestor")).distinct())
-    n = paths.count()
-    while True:
-        step = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", F.col("b.ancestor").alias("ancestor"))
-        paths = _kept(paths.unionByName(step).distinct())
-        more = paths.count()
-        if more == n:
-            return paths
-        n = more
+    """(node, ancestor): everything each node derives from. Each round joins only the paths that the last one found."""
+    new = paths = _kept(edges.select(F.col(to_col).alias("node"), F.col(from_col).alias("ancestor")).distinct())
+    while not new.isEmpty():
+        after = new.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", F.col("b.ancestor").alias("ancestor"))
+        before = paths.alias("a").join(new.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", F.col("b.ancestor").alias("ancestor"))
+        new = _kept(after.unionByName(before).distinct().join(paths, ["node", "ancestor"], "left_anti"))
+        paths = _kept(paths.unionByName(new))
+    return paths
 
 
 def base_columns(edges: DataFrame, to_col: str = "to_node", from_col: str = "from_node") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowproof.plans.incremental import deduplicates, effective
+
 _KINDS = ("model", "source", "seed", "snapshot")
 _MATERIALIZED = ("view", "table", "incremental", "materialized_view", "ephemeral", "snapshot")
 
@@ -57,7 +59,9 @@ def read_columns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tests(spark: SparkSession, path: str) -> DataFrame:
-    """tests(uid, target, name, column_name, columns, condition, enabled): declared generic tests.
+    """tests(uid, target, name, column_name, columns, accepted, parent, parent_column, condition, enabled): declared
+    generic tests, with the arguments of accepted_values and relationships (the parent is the target's other
+    dependency).
 
     The target is the attached node, else the first of the sorted data-flow dependencies.
     """
@@ -65,10 +69,47 @@ def read_tests(spark: SparkSession, path: str) -> DataFrame:
     flow = F.filter(F.coalesce(F.try_variant_get("entry", "$.depends_on.nodes", "array<string>"), F.array().cast("array<string>")), lambda n: ~n.startswith("macro."))
     return x.select(
         "uid", F.coalesce(_text("$.attached_node"), F.get(F.array_sort(flow), 0)).alias("target"), _text("$.test_metadata.name").alias("name"), F.lower(F.coalesce(_text("$.column_name"), _text("$.test_metadata.kwargs.column_name"))).alias("column_name"),
-        F.try_variant_get("entry", "$.test_metadata.kwargs.combination_of_columns", "array<string>").alias("columns"), _text("$.config.where").alias("condition"), F.coalesce(F.try_variant_get("entry", "$.config.enabled", "boolean"), F.lit(True)).alias("enabled"),
+        F.try_variant_get("entry", "$.test_metadata.kwargs.combination_of_columns", "array<string>").alias("columns"), F.try_variant_get("entry", "$.test_metadata.kwargs.values", "array<string>").alias("accepted"),
+        F.when(_text("$.test_metadata.name") == "relationships", F.get(F.filter(flow, lambda n: n != F.coalesce(_text("$.attached_node"), F.get(F.array_sort(flow), 0))), 0)).alias("parent"), F.lower(_text("$.test_metadata.kwargs.field")).alias("parent_column"), _text("$.config.where").alias("condition"), F.coalesce(F.try_variant_get("entry", "$.config.enabled", "boolean"), F.lit(True)).alias("enabled"),
     )
 
 
+def read_constraints(spark: SparkSession, path: str) -> DataFrame:
+    """constraints(uid, type, columns): native constraints of models and of their columns, types in lower case."""
+    _entries(spark, path, "nodes").createOrReplaceTempView("__project_entries")
+    model = spark.sql(
+        "select uid, lower(try_variant_get(c.value, '$.type', 'string')) as type, transform(try_variant_get(c.value, '$.columns', 'array<string>'), x -> lower(x)) as columns "
+        "from __project_entries, lateral variant_explode_outer(try_variant_get(entry, '$.constraints', 'variant')) as c where c.value is not null"
+    )
+    own = spark.sql(
+        "select uid, lower(try_variant_get(k.value, '$.type', 'string')) as type, array(lower(c.key)) as columns from __project_entries, lateral variant_explode_outer(try_variant_get(entry, '$.columns', 'variant')) as c, "
+        "lateral variant_explode_outer(try_variant_get(c.value, '$.constraints', 'variant')) as k where c.key is not null and k.value is not null"
+    )
+    return model.unionByName(own).where("type is not null and columns is not null")
+
+
+def read_facts(spark: SparkSession, path: str, default_strategy: str | None = None) -> DataFrame:
+    """facts(model, property, columns, accepted, parent, parent_column, condition, provenance): all declared facts.
+
+    From enabled generic tests, native constraints (a primary key is unique and not null), and unique keys of
+    incremental models whose effective strategy leaves one row per key. model and parent are names of relations.
+    """
+    nodes = read_nodes(spark, path)
+    names = nodes.select("uid", F.col("name").alias("model"))
+    tests = read_tests(spark, path).where("enabled")
+    kind = F.when(F.col("name").isin("unique", "not_null", "accepted_values", "relationships"), F.col("name")).when(F.col("name").endswith("unique_combination_of_columns"), "unique")
+    columns = F.when(F.col("columns").isNotNull(), F.transform("columns", F.lower)).otherwise(F.array("column_name"))
+    parents = names.select(F.col("uid").alias("parent"), F.col("model").alias("parent_name"))
+    a = tests.select(F.col("target").alias("uid"), kind.alias("property"), columns.alias("columns"), "accepted", "parent", "parent_column", "condition", F.lit("test").alias("provenance"))
+    a = a.where("property is not null").join(parents, "parent", "left").withColumn("parent", F.col("parent_name")).drop("parent_name")
+    native = read_constraints(spark, path).withColumn("property", F.explode(F.when(F.col("type") == "primary_key", F.array(F.lit("unique"), F.lit("not_null"))).when(F.col("type") == "unique", F.array(F.lit("unique"))).when(F.col("type") == "not_null", F.array(F.lit("not_null")))))
+    native = native.select("uid", "property", "columns", F.lit("constraint").alias("provenance"))
+    loaded = nodes.where((F.col("materialized") == "incremental") & (F.size("unique_key") > 0) & deduplicates(effective(F.col("strategy"), default_strategy)))
+    loaded = loaded.select("uid", F.lit("unique").alias("property"), F.transform("unique_key", F.lower).alias("columns"), F.lit("incremental").alias("provenance"))
+    out = a.unionByName(native, allowMissingColumns=True).unionByName(loaded, allowMissingColumns=True)
+    return out.join(names, "uid").select("model", "property", "columns", "accepted", "parent", "parent_column", "condition", "provenance")
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """edges(to_node, from_node)."""
     return read_nodes(spark, path).select(F.col("uid").alias("to_node"), F.explode("depends_on").alias("from_node"))

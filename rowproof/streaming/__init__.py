@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowproof.sources.shared import shared_folder
+
 
 def read_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stream over a Parquet table of a folder: a single file or a folder of files."""
@@ -32,8 +33,7 @@ def first_rows(events: DataFrame, at: str, keys: list[str], late: str = "2 days"
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what there is now, into a table in the shared folder, and read that table."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rowproof-")
-    path = f"{base.rstrip('/')}/rowproof/stream-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/rowproof/stream-{uuid.uuid4().hex[:12]}"
 
     def keep(batch: DataFrame, number: int) -> None:
         # a complete result replaces the one before; a repeated batch replaces itself

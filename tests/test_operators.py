@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from rowproof import sources
 from rowproof.operators import aggregates, arrays, facts, joins, ordering
-from rowproof.operators.contracts import Agg, compare, violations
-from rowproof.plans import findings, incremental, lineage
+from rowproof.operators.contracts import Agg, compare, grain, refers, rows_that_break, violations
+from rowproof.plans import findings, incremental, lineage, project, replay
 from rowproof.streaming import drain, first_rows, read_files
 
 
@@ -64,7 +64,8 @@ def test_registry_agrees_with_data(spark):
     make = {
         "sum": F.sum("q"), "avg": F.avg("q"), "min": F.min("q"), "max": F.max("q"), "count": F.count("q"), "count_if": F.count_if("b"), "bool_and": F.bool_and("b").cast("int"), "bool_or": F.bool_or("b").cast("int"),
         "bit_and": F.bit_and("k"), "bit_or": F.bit_or("k"), "bit_xor": F.bit_xor("k"), "stddev_pop": F.stddev_pop("q"), "var_pop": F.var_pop("q"), "median": F.median("q"), "min_by": F.min_by("k", "q"), "max_by": F.max_by("k", "q"),
-        "approx_count_distinct": F.approx_count_distinct("q"), "kurtosis": F.kurtosis("q"), "skewness": F.skewness("q"), "collect_list": F.size(F.collect_list("q")),
+        "mode": F.mode("q", True), "stddev": F.stddev("q"), "variance": F.variance("q"), "percentile": F.percentile("q", 0.9), "percentile_approx": F.percentile_approx("q", 0.5), "percentile_cont": F.expr("percentile_cont(0.5) within group (order by q)"),
+        "percentile_disc": F.expr("percentile_disc(0.5) within group (order by q)"), "any_value": F.any_value(F.lit(7)), "first": F.first("q"), "last": F.last("q"), "listagg": F.length(F.listagg(F.col("q").cast("string"), F.lit(","))), "approx_count_distinct": F.approx_count_distinct("q"), "kurtosis": F.kurtosis("q"), "skewness": F.skewness("q"), "collect_list": F.size(F.collect_list("q")),
     }
     for r in aggregates.duplication_effect(df, make, F.when(F.col("q") == 5, 4).otherwise(1)).collect():
         assert (abs(r.base - r.duplicated) > 1e-9) == aggregates.duplicate_sensitive(r.aggregate), r
@@ -87,12 +88,99 @@ def test_contracts(spark):
     assert violations(Agg("sum", "amount").of(nulls).by("k"), Agg("sum", "amount").of(nulls).by("k")).count() == 0
 
 
+def test_contracts_of_expressions_and_fractions(spark):
+    rows = spark.createDataFrame([("a", 0.004, 1)] * 100 + [("b", 1.0, 3), ("b", 2.0, None)], "k string, price double, n int")
+    right = spark.createDataFrame([("a", 0.4), ("b", 3.0)], "k string, due double")
+    left = Agg("sum", F.col("price") * F.col("n")).of(rows).by("k")
+    assert violations(left, Agg("sum", "due").of(right).by("k"), within=1e-9).count() == 0
+    assert [(r.k, r.left_value) for r in violations(Agg("sum", "price", scale=2).of(rows).by("k"), Agg("sum", "due").of(right).by("k"), within=1e-9).collect()] == [("a", 0.0)]
+    exact = spark.sql("select 'a' as k, 0.0001 as price union all select 'a', 0.0002")
+    assert Agg("sum", "price").of(exact).by("k").value().first()[1] == 0.0003
+    some = Agg("avg", "price").of(rows).where(F.col("price").between(0.5, 5) & ~F.col("n").isNull())
+    assert some.value().first()[0] == 1.0
+    assert {r.k for r in grain(rows, "k").collect()} == {"a", "b"} and refers(rows, "k", right.where("k = 'a'"), "k").count() == 2
+    assert rows_that_break(rows, F.col("n") * 2 < 6).count() == 1
+
+
+def test_surrogates(spark):
+    df = spark.createDataFrame([("a-b", "c"), ("a", "b-c"), (None, "x"), ("_null_", "x"), ("q", "r"), ("q", "r"), ("a\\", "-b"), ("a", "\\-b")], "x string, y string")
+    got = sorted((r.n, r.n_inputs) for r in facts.surrogate_violations(df, ["x", "y"]).collect())
+    assert got == [(2, 1), (2, 2), (2, 2)]
+    assert [(r.n, r.n_inputs) for r in facts.surrogate_violations(df, ["x", "y"], escaped=True).collect()] == [(2, 1)]
+
+
+def test_joins_by_two_keys_and_padding(spark):
+    a = spark.createDataFrame([(1, 2), (2, 2), (3, None), (None, 9)], "x int, y int")
+    b = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    got = sorted(str(tuple(r)) for r in joins.either(a, b, F.col("x") == F.col("k"), F.col("y") == F.col("k")).collect())
+    a.createOrReplaceTempView("ta")
+    b.createOrReplaceTempView("tb")
+    assert got == sorted(str(tuple(r)) for r in spark.sql("select * from ta join tb on x = k or y = k").collect())
+    assert {r.k for r in joins.right_padding(a.where("x = 1"), b, F.col("x") == F.col("k")).collect()} == {2, None}
+    known = spark.createDataFrame([(1, None), (2, "v")], "k int, v string")
+    lost = joins.null_group(a, known, F.col("x") == F.col("k"), "v", "x").collect()
+    assert [tuple(r) for r in lost] == [(None, 2, 3.0)]  # the partner's own NULL is no padding
+
+
+def test_effective_strategy_and_replay(spark):
+    df = spark.createDataFrame([("Merge ",), ("custom_macro",), (None,), ("append",)], "s string")
+    got = [tuple(r) for r in df.select("s", incremental.effective(F.col("s"), "delete+insert").alias("e")).withColumn("one", incremental.deduplicates(F.col("e"))).collect()]
+    assert got == [("Merge ", "merge", True), ("custom_macro", None, False), (None, "delete+insert", True), ("append", "append", False)]
+    assert tuple(replay.differences(lambda: df).first()) == (0, 0)
+    assert tuple(replay.differences(lambda: df.withColumn("u", F.expr("uuid()"))).first()) == (4, 4)
+    assert tuple(replay.differences(lambda: df.limit(0)).first()) == (0, 0)
+
+
+def test_project_to_findings(spark, tmp_path):
+    project_ = {
+        "nodes": {
+            "model.p.orders": {"name": "orders", "resource_type": "model", "config": {"materialized": "incremental", "unique_key": ["ID"], "incremental_strategy": "merge"}, "columns": {"id": {"constraints": [{"type": "not_null"}]}}, "constraints": [{"type": "primary_key", "columns": ["id", "Line"]}]},
+            "model.p.log": {"name": "log", "resource_type": "model", "config": {"materialized": "incremental", "unique_key": "id", "incremental_strategy": "append"}},
+            "model.p.customers": {"name": "customers", "resource_type": "model", "config": {}},
+            "test.p.r": {"resource_type": "test", "attached_node": "model.p.orders", "column_name": "customer", "config": {}, "depends_on": {"nodes": ["model.p.customers", "model.p.orders"]}, "test_metadata": {"name": "relationships", "kwargs": {"to": "ref('customers')", "field": "ID"}}},
+            "test.p.a": {"resource_type": "test", "attached_node": "model.p.orders", "column_name": "status", "config": {"where": "id > 1"}, "test_metadata": {"name": "accepted_values", "kwargs": {"values": ["open", "sent"]}}},
+            "test.p.n": {"resource_type": "test", "attached_node": "model.p.customers", "column_name": "email", "config": {}, "test_metadata": {"name": "not_null", "kwargs": {}}},
+            "test.p.off": {"resource_type": "test", "attached_node": "model.p.customers", "column_name": "id", "config": {"enabled": False}, "test_metadata": {"name": "unique", "kwargs": {}}},
+        },
+        "sources": {},
+    }
+    path = str(tmp_path / "project.json")
+    with open(path, "w") as f:
+        json.dump(project_, f)
+    tables = {
+        "orders": spark.createDataFrame([(1, 1, 7, "odd"), (2, 1, 8, "lost"), (2, 1, 9, "open"), (None, 2, 7, "sent")], "id int, line int, customer int, status string"),
+        "customers": spark.createDataFrame([(7,), (8,)], "id int"),
+    }
+    declared = sources.read_facts(spark, path)
+    assert {(r.model, r.property, tuple(r.columns), r.provenance) for r in declared.collect()} == {
+        ("orders", "not_null", ("id",), "constraint"), ("orders", "unique", ("id", "line"), "constraint"), ("orders", "not_null", ("id", "line"), "constraint"), ("orders", "unique", ("id",), "incremental"),
+        ("orders", "relationships", ("customer",), "test"), ("orders", "accepted_values", ("status",), "test"), ("customers", "not_null", ("email",), "test"),
+    }
+    found, coverage = project.analyze(declared, tables.get, floor=0.5)
+    assert {(r.property, r.column_name, r.broken) for r in found.collect()} == {("not_null", "id", 1), ("unique", "id,line", 1), ("not_null", "id,line", 1), ("unique", "id", 1), ("relationships", "customer", 1), ("accepted_values", "status", 1)}
+    assert {(r.model, r.declared, r.checked, r.kind) for r in coverage.collect()} == {("orders", 6, 6, None), ("customers", 1, 0, "resolution_below_floor")}
+    findings.write(found, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).where("severity = 'error'").count() == 6
+    assert project.check(declared.limit(0), tables.get).count() == 0
+
+
+def test_seed_rows(spark, tmp_path):
+    (tmp_path / "seed.csv").write_text("id,name\n1,a\n2,\n")
+    assert [tuple(r) for r in sources.read_rows(spark, str(tmp_path / "seed.csv"), "id int, name string").collect()] == [(1, "a"), (2, None)]
+
+
+def test_cutoff_ties_with_nulls(spark):
+    df = spark.createDataFrame([(None,), (None,), (1,), (2,)], "v int")
+    assert [tuple(r) for r in ordering.cutoff_ties(df, "v", 1).collect()] == [(None, 2, 1)]
+    assert ordering.cutoff_ties(df, "v", 2).count() == 0 and ordering.cutoff_ties(df, "v", 9).count() == 0
+
+
 def test_findings(spark):
     schema = "family string, kind string, model string, column_name string, world string"
-    f = spark.createDataFrame([("a", "join_on_nullable_key", "m", None, w) for w in ("full", "steady")] + [("a", "join_fan_out", "m", None, "full")], schema)
-    assert [(r.kind, r.worlds) for r in findings.only_in_some_worlds(f).collect()] == [("join_fan_out", ["full"])]
+    f = spark.createDataFrame([("a", "join_on_nullable_key", "m", None, w) for w in ("full", "steady")] + [("a", "join_fanout", "m", None, "full")], schema)
+    assert [(r.kind, r.worlds) for r in findings.only_in_some_worlds(f).collect()] == [("join_fanout", ["full"])]
     assert findings.introduced(f, f).count() == 0
-    assert {r.kind for r in findings.introduced(f, f.where("world = 'steady'")).collect()} == {"join_fan_out"}
+    assert {r.kind for r in findings.introduced(f, f.where("world = 'steady'")).collect()} == {"join_fanout"}
     assert tuple(findings.passes(f).first()) == (3, 2, False)
     assert findings.suppressed(f, spark.createDataFrame([("m", None)], "model string, kind string")).count() == 0
 
