@@ -16,7 +16,11 @@ from rowproof.llm.common import n_words, table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7."""
+    """Documents whose toxicity score is below 0.7.
+
+    Null and empty texts have no evidence and stay; equal texts share their fate; repeated rows and ids stay as they
+    are; a null id is never learned from. An empty table stays empty.
+    """
     return tox.clean(docs, tox.fit(docs, table(spark, sf_dir, "labels")), 0.7)
 
 
@@ -24,7 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the smallest id,
     one without an id only if none has one.
 
-    Different texts that share an id are documents of their own. Rows without words stay, once for each id.
+    Different texts that share an id are documents of their own; of equal ones (ties) the first read stays. Rows
+    without words are like nothing: they stay, once for each id, and all of those without an id. An empty table stays
+    empty.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
     found = minhash.near_duplicates(rows, k=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
@@ -36,7 +42,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; every secret span is replaced by a mark, and n_chars follows."""
+    """All documents; every secret span is replaced by a mark, and n_chars follows.
+
+    Null and empty texts are as they were (n_chars of a null text is null); spans that overlap are one mark; repeated
+    rows stay repeated. An empty table stays empty.
+    """
     found = secret_scan.scan(docs, into="__secret_spans")
     found = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("__secret_spans")))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -44,14 +54,22 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: complete epochs, and once more where the fractional selection
-    takes at least half of the document's words (whole texts only)."""
+    takes at least half of the document's words (whole texts only).
+
+    Texts without words are taken 0 times and go; a null source is a source of its own; ties in the sampling key go by
+    id and size, and repeated rows are drawn one by one. An empty table stays empty.
+    """
     more = F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
     times = mixing.mix(docs, carry=True).select("row", (F.col("epochs") + more).cast("int").alias("__times")).where("__times > 0")
     return times.select("row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's number of ids and digests of its ids and of the decoded text."""
+    """Each document's number of ids and digests of its ids and of the decoded text.
+
+    Null and empty texts have 0 ids and the digests of nothing; a row for every row, repeated ones too. An empty table
+    gives no rows.
+    """
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
