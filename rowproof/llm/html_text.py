@@ -18,13 +18,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.llm.common import small_batches, table, written
 
-#: A subtree is part of the template if it is on so many pages of the host, and on this share of them.
-LEAST_PAGES, SHARE = 4, 0.2
+#: A subtree is part of the template if it is on so many different pages of the host, and on this share of them; on MANY
+#: pages it is whatever their share, as a large host has templates for its sections.
+LEAST_PAGES, SHARE, MANY = 4, 0.2, 20
 #: Inside articles it has to be in this share of the host's different articles.
 ARTICLE_SHARE = 0.5
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -233,12 +234,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     named = read_.where("host <> ''")
 
     # in how many different pages or articles of its host each subtree is: counted before the shuffle, so a hot host is no hot group
-    def recurring(hashes: str, content: str, some: float) -> DataFrame:
+    def recurring(hashes: str, content: str, enough: Column) -> DataFrame:
         seen = named.select("host", F.explode(hashes).alias("h"), content).groupBy("host", "h").agg(F.count_distinct(content).alias("n"))
         totals = (named.where(F.size(hashes) > 0) if content == "article" else named).groupBy("host").agg(F.count_distinct(content).alias("all"))
-        return seen.where(F.col("n") >= least).join(totals, "host").where(F.col("n") >= some * F.col("all")).select("host", "h")
+        return seen.where(F.col("n") >= least).join(totals, "host").where(enough).select("host", "h")
 
-    gone = written(recurring("outer", "page", share).unionByName(recurring("inner", "article", article_share)), "page-template")
+    gone = written(recurring("outer", "page", (F.col("n") >= MANY) | (F.col("n") >= share * F.col("all"))).unionByName(recurring("inner", "article", F.col("n") >= article_share * F.col("all"))), "page-template")
     asked = named.select("key", "host", F.explode(F.concat("outer", "inner")).alias("h")).join(gone, ["host", "h"]).select("key", "h")
     # where a host has pages enough, its counts tell what to do with blocks beside an article
     known = named.groupBy("host").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least).select("host")
@@ -251,4 +252,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page and its number of code points."""
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

@@ -74,3 +74,12 @@ def test_marks_are_whole_names():
         assert text(f"{start}<p>a long story</p><div class='comments-area'><p>nice</p></div>") == "a long story"
     assert text("<div class='sidebar'><p>a much longer menu</p></div><article><p>a</p></article>") == "a"
     assert text("<article><p>x</p></article><article><p>y</p></article><div><p>the long story</p></div>") == "x\n\ny\n\nthe long story"
+
+
+def test_template_of_a_section_of_a_large_host(spark):
+    """25 of 300 pages share a block that no tag or class marks: recurrence alone removes it; a block on 3 pages stays."""
+    page = lambda i: f"<html><body><div><span>Section links</span><p>Go to part seven</p></div><p>Text number {i} is all its own.</p></body></html>" if i < 25 else f"<html><body><p>Text number {i} is all its own.</p>{'<p>Seen thrice.</p>' if i < 28 else ''}</body></html>"
+    df = spark.createDataFrame([(i, "https://large.example/p", page(i), "clash") for i in range(300)], "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert all(got[i] == f"Text number {i} is all its own." for i in range(300) if not 25 <= i < 28)
+    assert all(got[i] == f"Text number {i} is all its own.\n\nSeen thrice." for i in range(25, 28))
