@@ -227,4 +227,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates by two-word shingles at a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)

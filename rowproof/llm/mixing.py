@@ -39,7 +39,8 @@ def uniform(doc_id: Column, seed: int) -> Column:
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """Add each source's target to (source, source_size): weights repeat over the sources by code point (null
     last); `share` of all sizes is dealt by weight; none gets above `most` times its size, and what it can't
-    take is dealt to the others by weight. One row per source, so ordering them is cheap.
+    take is dealt to the others by weight. One row per source: the windows over all of them run in one task, which
+    is meant for thousands of sources, not millions.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
@@ -98,6 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources by weights 5, 2, 1 takes."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
 
 

@@ -167,6 +167,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and a digest of the base kinds, and all spans."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), into="spans_")
     base = F.filter("spans_", lambda s: s["rank"] < 3)
     count = lambda k: F.size(F.filter("spans_", lambda s: s["rank"] == k)).cast("long")

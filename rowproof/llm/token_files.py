@@ -220,6 +220,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document as read back from the files that were written."""
     import public_tokenizers
 
     read = write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).documents()
