@@ -393,7 +393,7 @@ def repeats(docs: DataFrame, finish, fields: str, types: list[tuple[str, pa.Data
     x = x.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), F.xxhash64("text").alias("tie"), "text", F.col("doc_id").isNull().alias("no_id"))
 
     digests = x.where(F.octet_length("text") >= LENGTH).select("doc_id", "tie", F.md5(F.col("text").cast("binary")).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = written(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeat-digests")
     copies = written(digests.join(firsts, "digest").where("doc_id <> first").select("doc_id", "tie").distinct(), "repeat-copies")
     own = x.where(F.octet_length("text") >= LENGTH).join(copies, ["doc_id", "tie"], "left_anti").select("doc_id", "tie", "text")
 
