@@ -370,17 +370,22 @@ _AGGREGATES = {
     "percentile_approx": ("quantile_disc(q, 0.9)", lambda: F.percentile_approx("q", 0.9, 1_000_000)), "percentile_cont": ("quantile_cont(q::double, 0.25)", lambda: F.expr("percentile_cont(0.25) within group (order by q)")), "percentile_disc": ("quantile_disc(q, 0.25)", lambda: F.expr("percentile_disc(0.25) within group (order by q)")),
     # which row's value they return is not fixed, but one of the input's it is
     **{name: (f"({name}(q) between min(q) and max(q))::int", lambda f=f: f("q").between(F.min("q"), F.max("q")).cast("int")) for name, f in (("any_value", F.any_value), ("first", F.first), ("last", F.last))},
-    "approx_count_distinct": ("count(distinct q)", lambda: F.approx_count_distinct("q", 0.01)), "listagg": ("length(string_agg(q::varchar, ','))", lambda: F.length(F.listagg(F.col("q").cast("string"), F.lit(",")))),
-    "max_by": ("max_by(k, q * 1000000000 + k)", lambda: F.max_by("k", F.col("q") * 1000000000 + F.col("k"))), "collect_list": ("len(list(q))", lambda: F.size(F.collect_list("q"))), "sum_distinct": ("sum(distinct q)", lambda: F.sum_distinct("q")),
+    "approx_count_distinct": ("count(distinct q)", lambda: F.approx_count_distinct("q", 0.01)),
+    "max_by": ("max_by(k, q * 1000000000 + k)", lambda: F.max_by("k", F.col("q") * 1000000000 + F.col("k"))), "sum_distinct": ("sum(distinct q)", lambda: F.sum_distinct("q")),
+}
+#: Aggregates that keep every value: made by blocks of rows, their sizes put together.
+_HELD = {
+    "collect_list": ("len(list(q))", lambda: F.size(F.collect_list("q")), F.sum),
+    "listagg": ("length(string_agg(q::varchar, ','))", lambda: F.length(F.listagg(F.col("q").cast("string"), F.lit(","))), lambda n: F.sum(n) + F.count(n) - 1),
 }
 _BASE = "(select l_quantity::bigint as q, l_partkey as k from lineitem)"
 _MORE = f"(select q, k from {_BASE}, range(1 + k % 3))"
 
 
-@query(" union all ".join(f"select '{n}' as aggregate, (select ({s})::double from {_BASE}) as base, (select ({s})::double from {_MORE}) as duplicated" for n, (s, _) in _AGGREGATES.items()))
+@query(" union all ".join(f"select '{n}' as aggregate, (select ({s})::double from {_BASE}) as base, (select ({s})::double from {_MORE}) as duplicated" for n, (s, *_) in (_AGGREGATES | _HELD).items()))
 def aggregate_duplication_effect(t):
     base = t.lineitem.select(F.col("l_quantity").cast("long").alias("q"), F.col("l_partkey").alias("k"))
-    return aggregates.duplication_effect(base, {n: f() for n, (_, f) in _AGGREGATES.items()}, 1 + F.col("k") % 3)
+    return aggregates.duplication_effect(base, {n: f() for n, (_, f) in _AGGREGATES.items()}, 1 + F.col("k") % 3, {n: (f(), whole) for n, (_, f, whole) in _HELD.items()})
 
 
 # ---- contracts -------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,15 +34,32 @@ def duplicate_sensitive(name: str, distinct: bool = False) -> bool:
     return not distinct and REGISTRY.get(name, Behaviour(None, True)).sees_duplicates
 
 
-def duplication_effect(df: DataFrame, aggregates: dict[str, Column], repeat: Column) -> DataFrame:
+#: Rows in a block at most, before rows are repeated.
+BLOCK = 10_000
+
+
+def _values(df: DataFrame, aggregates: dict[str, Column], held: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """One row: each aggregate over all rows; those in `held` by blocks of rows, and then over the blocks."""
+    out = df.agg(*(c.cast("double").alias(name) for name, c in aggregates.items()))
+    if held:
+        pieces = df.groupBy(F.col("__block")).agg(*(piece.alias(name) for name, (piece, _) in held.items()))
+        out = out.join(F.broadcast(pieces.agg(*(whole(F.col(name)).cast("double").alias(name) for name, (_, whole) in held.items()))))  # one row
+    return out
+
+
+def duplication_effect(df: DataFrame, aggregates: dict[str, Column], repeat: Column, held: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None) -> DataFrame:
     """(aggregate, base, duplicated): each aggregate over the rows and over the rows with some repeated.
 
-    `repeat` says how often each row occurs; it must differ between rows, as even repetition hides averages.
+    `repeat` says how often each row occurs; it must differ between rows, as even repetition hides averages. An
+    aggregate that keeps every value (a list, a string) would put the table into one task; what is measured of it
+    goes into `held`: a column over a block of rows, and a function that puts the blocks' values together.
     """
-    cast = {name: c.cast("double") for name, c in aggregates.items()}
-    base = df.agg(*(c.alias(name) for name, c in cast.items()))
-    more = df.withColumn("__times", F.explode(F.sequence(F.lit(1), repeat.cast("int")))).agg(*(c.alias(name) for name, c in cast.items()))
-    long = lambda x, value: x.select(F.inline(F.array(*(F.struct(F.lit(n).alias("aggregate"), F.col(n).alias(value)) for n in cast))))
+    held = held or {}
+    df = df.withColumn("__block", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
+    base = _values(df, aggregates, held)
+    more = _values(df.withColumn("__times", F.explode(F.sequence(F.lit(1), repeat.cast("int")))), aggregates, held)
+    names = [*aggregates, *held]
+    long = lambda x, value: x.select(F.inline(F.array(*(F.struct(F.lit(n).alias("aggregate"), F.col(n).alias(value)) for n in names))))
     return long(base, "base").join(long(more, "duplicated"), "aggregate")
 
 

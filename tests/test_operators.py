@@ -72,6 +72,21 @@ def test_registry_agrees_with_data(spark):
     assert aggregates.duplicate_sensitive("unheard_of") and not aggregates.duplicate_sensitive("sum", distinct=True)
 
 
+def test_aggregates_that_keep_every_value_go_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "BLOCK", 3)
+    strings, sizes = F.length(F.listagg("v", F.lit(","))), F.size(F.collect_list("v"))
+    held = {"listagg": (strings, lambda n: F.sum(n) + F.count(n) - 1), "collect_list": (sizes, F.sum)}
+    values = ["a", "bc", None, "def", "", None, None, None, None, "g"] * 4
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v string, i int").repartition(3)
+    repeat = 1 + F.col("i") % 3
+    got = {r.aggregate: (r.base, r.duplicated) for r in aggregates.duplication_effect(df, {"count": F.count("*")}, repeat, held).collect()}
+    more = [v for i, v in enumerate(values) for _ in range(1 + i % 3)]
+    known = [[v for v in x if v is not None] for x in (values, more)]
+    assert got["count"] == (len(values), len(more))
+    assert got["collect_list"] == tuple(len(x) for x in known)
+    assert got["listagg"] == tuple(len(",".join(x)) for x in known)
+
+
 def test_contracts(spark):
     own = spark.createDataFrame([("a", 600.0), ("a", 400.0), ("b", 10.0)], "k string, amount double")
     other = spark.createDataFrame([("a", 1020.0), ("b", 12.0)], "k string, amount double")
