@@ -548,7 +548,9 @@ def cube_null_rows(t):
 @query("""select o_orderpriority, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as statuses, quantile_disc(o_totalprice, 0.5) as median_price from orders group by 1""")
 def ordered_aggregates(t):
     statuses = F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses")
-    return t.orders.groupBy("o_orderpriority").agg(statuses, F.expr("percentile_disc(0.5) within group (order by o_totalprice)").alias("median_price"))
+    x = t.orders.groupBy("o_orderpriority").agg(statuses)
+    median = ordering.exact_percentiles(t.orders, ["o_orderpriority"], "o_totalprice", 0.5).select(F.col("o_orderpriority").alias("k"), F.col("percentile").alias("median_price"))
+    return x.join(median, F.col("o_orderpriority").eqNullSafe(F.col("k")), "left").drop("k")
 
 
 @query("""select doc_id, pos::int as pos, word from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos from (select doc_id, string_split(text, ' ') as w from documents)) where length(word) > 14""")

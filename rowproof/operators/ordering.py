@@ -58,3 +58,20 @@ def recent_counts(df: DataFrame, partition: list[str], at: str, seconds: int) ->
     """Add n_recent: rows of the partition within so many seconds up to each row's time, peers included (a RANGE frame)."""
     w = Window.partitionBy(*partition).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumn("n_recent", F.count("*").over(w))
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
+    """(keys, percentile): each group's smallest value that at least a share p of its known values does not exceed.
+
+    A sketch (of bounded size, off by a ten-thousandth of the ranks at most) finds an interval around it, so only a
+    group's values within a thousandth of that rank are ordered; all others are counted. Groups without a known value
+    are left out.
+    """
+    x = df.select(*keys, F.col(value).alias("__v")).where("__v is not null")
+    near = F.percentile_approx("__v", [max(p - 0.001, 0.0), min(p + 0.001, 1.0)], 10_000)
+    ends = x.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(near.alias("__near"), F.count("*").alias("__n"))
+    x = x.join(ends, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).where(F.col("__v") <= F.col("__near")[1])
+    counted = x.groupBy(*keys, "__n", F.when(F.col("__v") >= F.col("__near")[0], F.col("__v")).alias("__at")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys).orderBy(F.col("__at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = counted.withColumn("__c", F.sum("__c").over(w)).where(F.col("__at").isNotNull() & (F.col("__c") >= F.ceil(F.lit(p) * F.col("__n"))))
+    return reached.groupBy(*keys).agg(F.min("__at").alias("percentile"))

@@ -87,6 +87,16 @@ def test_aggregates_that_keep_every_value_go_by_blocks(spark, monkeypatch):
     assert got["listagg"] == tuple(len(",".join(x)) for x in known)
 
 
+def test_exact_percentiles(spark):
+    rows = [("a", float(i * 7 % 5000)) for i in range(5000)] + [("b", 1.0)] * 9 + [("b", 2.0), ("b", None), (None, 4.0), (None, 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    df.createOrReplaceTempView("percentiles")
+    for p in (0.0, 0.001, 0.3, 0.5, 0.95, 1.0):
+        want = spark.sql(f"select k, percentile_disc({p}D) within group (order by v) as x from percentiles group by k").collect()
+        got = {r.k: r.percentile for r in ordering.exact_percentiles(df, ["k"], "v", p).collect()}
+        assert got == {r.k: r.x for r in want if r.x is not None}, p
+
+
 def test_contracts(spark):
     own = spark.createDataFrame([("a", 600.0), ("a", 400.0), ("b", 10.0)], "k string, amount double")
     other = spark.createDataFrame([("a", 1020.0), ("b", 12.0)], "k string, amount double")
