@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowproof.llm import bpe, cover_tree, html_text, minhash, mixing, multi_index, run_length, secret_scan, token_files, toxicity
+from rowproof.llm import bpe, cover_tree, html_text, line_runs, minhash, mixing, multi_index, periodic, run_length, secret_scan, spelling, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_multi_index": multi_index.op9_multi_index,
     "op10_bpe_words": bpe.op10_bpe_words,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_line_runs": line_runs.op13_line_runs,
 }
 #: The others are not for SQL: their tests compare them with brute force, round trips or held-out labels.
-SQL = {"op3_mix_sources": mixing.OP3_SQL}
+SQL = {"op3_mix_sources": mixing.OP3_SQL, "op13_line_runs": line_runs.OP13_SQL}
