@@ -1,8 +1,8 @@
 """Main text of web pages by removal of site templates.
 
-A task reads each page once and returns its text blocks, each with the hashes of the element subtrees around it,
-and the page's subtree hashes. Spark counts on how many pages of a host each subtree occurs; blocks in a subtree
-that recurs on many pages of the host are deleted. Elements that are never article text by their kind (menus,
+A task reads each page once and returns its text blocks, each with the element around it, and of each element the one
+around it and a hash of its subtree: a row grows with the page, however deep elements nest. Spark counts on how many
+pages of a host each subtree occurs; blocks in a subtree that recurs on many pages of the host are deleted. Elements that are never article text by their kind (menus,
 footers, forms, adverts, reader comments and so on) go as well, which also serves hosts with few pages.
 
 Copies of a page count once. Inside an article or main element a subtree has to be in more of the host's different
@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -53,18 +54,20 @@ def _hash(*parts: str) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "parts", "block_from", "bad", "in_article", "silent", "mark")
+    __slots__ = ("tag", "attrs", "parts", "node", "bad", "in_article", "silent", "mark")
 
-    def __init__(self, tag, attrs, bad, in_article, silent, block_from, mark=-1):
-        self.tag, self.attrs, self.bad, self.in_article, self.silent, self.block_from = tag, attrs, bad, in_article, silent, block_from
+    def __init__(self, tag, attrs, bad, in_article, silent, node, mark=-1):
+        self.tag, self.attrs, self.bad, self.in_article, self.silent, self.node = tag, attrs, bad, in_article, silent, node
         self.mark = mark
         self.parts: list[str] = []
 
 
 class PageReader(HTMLParser):
-    """Blocks of a page: [text, dropped by kind, in an article, hashes of the subtrees around it].
+    """Blocks of a page: [text, dropped by kind, in an article, innermost node around it or -1, innermost marked element].
 
-    Hashes of subtrees inside an article are complemented, so that they are counted apart.
+    Nodes are the elements that may be template: `around` has the node around each (-1: none), `hashes` the hash of its
+    subtree (None where it is empty). Hashes inside an article are complemented, so that they are counted apart, and
+    have only nodes of the same article around them. Each tag costs the same however many elements are open.
     """
 
     def __init__(self):
@@ -74,7 +77,10 @@ class PageReader(HTMLParser):
         self.free_article = False
         self.held: list[str] = []
         self.marked: list[int] = []  # of each marked element: the marked element around it, or -1
-        self.stack = [_Element("", "", False, False, False, 0)]
+        self.around: list[int] = []
+        self.hashes: list[int | None] = []
+        self.stack = [_Element("", "", False, False, False, -1)]
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of a tag
 
     def end_block(self) -> None:
         if self.held:
@@ -82,7 +88,7 @@ class PageReader(HTMLParser):
             self.held = []
             top = self.stack[-1]
             if text:
-                self.blocks.append([text, top.bad, top.in_article, [], top.mark])
+                self.blocks.append([text, top.bad, top.in_article, top.node, top.mark])
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in VOID:
@@ -98,7 +104,7 @@ class PageReader(HTMLParser):
         if tag not in INLINE:
             self.end_block()
         top = self.stack[-1]
-        marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+        marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")) if attrs else ""
         tokens = [{w for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", t).lower()) if w} for t in marks.split()]
         hidden = any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "")) or (k == "aria-hidden" and v == "true") for k, v in attrs)
         article = tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs)
@@ -110,21 +116,28 @@ class PageReader(HTMLParser):
         if article and not bad and not top.in_article:
             self.articles += 1
             self.free_article = self.free_article or mark < 0
-        self.stack.append(_Element(tag, marks, bad, top.in_article or (article and not bad), top.silent or tag in SILENT, len(self.blocks), mark))
+        inside = top.in_article or (article and not bad)
+        node = top.node if inside == top.in_article else -1
+        if tag not in INLINE and tag not in ("html", "body"):
+            self.around.append(node)
+            self.hashes.append(None)
+            node = len(self.hashes) - 1
+        self.open[tag].append(len(self.stack))
+        self.stack.append(_Element(tag, marks, bad, inside, top.silent or tag in SILENT, node, mark))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag in ("svg", "path", "iframe", "script"):
             self.handle_endtag(tag)
 
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+
     def close_open(self, kinds: set[str], barrier: set[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in kinds:
-                self.close_to(i)
-                return
-            if tag in barrier:
-                return
+        i = self.last(kinds)
+        if i and i > self.last(barrier - kinds):
+            self.close_to(i)
 
     def close_to(self, i: int) -> None:
         while len(self.stack) > i:
@@ -132,21 +145,16 @@ class PageReader(HTMLParser):
             if top.tag not in INLINE:
                 self.end_block()
             self.stack.pop()
+            self.open[top.tag].pop()
             h = _hash(top.tag, top.attrs, *top.parts)
             self.stack[-1].parts.append(str(h))
             if top.tag not in INLINE and top.parts and top.tag not in ("html", "body"):
-                h = ~h if top.in_article else h
-                for block in self.blocks[top.block_from :]:
-                    if block[2] == top.in_article and not block[1]:
-                        block[3].append(h)
+                self.hashes[top.node] = ~h if top.in_article else h
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self.close_to(i)
-                return
-            if self.stack[i].tag in ("article", "main", "body") and tag in INLINE | {"p", "li"}:
-                return
+        i = self.last((tag,))
+        if i and not (tag in INLINE | {"p", "li"} and self.last(("article", "main", "body")) > i):
+            self.close_to(i)
 
     def handle_data(self, data: str) -> None:
         top = self.stack[-1]
@@ -175,23 +183,48 @@ class PageReader(HTMLParser):
             block[1] = block[1] or (block[4] >= 0 and goes[block[4]])
 
 
-def _read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], set[int]]:
-    """(blocks not dropped by kind: (text, in an article, main text as far as the page alone tells, hashes around it), all these hashes)."""
+def _read(html: str) -> tuple[list[tuple[str, bool, bool, int]], list[int], list[int | None]]:
+    """(blocks not dropped by kind: (text, in an article, main text as far as the page alone tells, node around it), the
+    node around each node, hashes of the nodes that hold such a block: None for the others)."""
     reader = PageReader()
     reader.feed(html)
     reader.finish()
-    kept = [(text, in_article, hashes) for text, bad, in_article, hashes, _ in reader.blocks if not bad]
+    kept = [(text, in_article, node) for text, bad, in_article, node, _ in reader.blocks if not bad]
     inside = sum(len(text) for text, in_article, _ in kept if in_article)
     # several articles with less text than stands beside them are teasers
     articles = reader.articles if inside else 0
     only = articles == 1 or (articles > 1 and 2 * inside >= sum(len(text) for text, _, _ in kept))
-    return [(text, in_article, in_article or not only, hashes) for text, in_article, hashes in kept], {h for _, _, hashes in kept for h in hashes}
+    holds = [False] * len(reader.around)
+    for _, _, node in kept:
+        while node >= 0 and not holds[node]:
+            holds[node] = True
+            node = reader.around[node]
+    hashes = [h if held else None for h, held in zip(reader.hashes, holds, strict=True)]
+    return [(text, in_article, in_article or not only, node) for text, in_article, node in kept], reader.around, hashes
 
 
 def read_page(html: str) -> tuple[list[list], set[int]]:
     """(blocks that may be main text: [text, hashes around it], all these hashes)."""
-    blocks, hashes = _read(html)
-    return [[text, around] for text, _, alone, around in blocks if alone], hashes
+    blocks, around, hashes = _read(html)
+
+    def up(node: int) -> list[int]:
+        out = []
+        while node >= 0:
+            out += [hashes[node]] if hashes[node] is not None else []
+            node = around[node]
+        return out
+
+    return [[text, up(node)] for text, _, alone, node in blocks if alone], {h for h in hashes if h is not None}
+
+
+def left(texts: list[str], alone: list[bool], nodes: list[int], around: list[int], hashes: list[int | None], gone: set[int | None] | None) -> str:
+    """The page's text without the blocks in deleted subtrees; as the page alone tells where nothing is known (None)."""
+    if gone is None:
+        return "\n\n".join(t for t, a in zip(texts, alone, strict=True) if a)
+    dead: list[bool] = []
+    for node, h in zip(around, hashes, strict=True):  # what is around a node comes before it
+        dead.append((h is not None and h in gone) or (node >= 0 and dead[node]))
+    return "\n\n".join(t for t, node in zip(texts, nodes, strict=True) if node < 0 or not dead[node])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
@@ -212,24 +245,26 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
         n = TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys, texts, alone, around, outer, inner, page, article = [], [], [], [], [], [], [], []
+            rows = []
             for html in batch.column(3):
-                blocks, own = _read(html.as_py())
-                keys.append(n)
+                blocks, around, hashes = _read(html.as_py())
+                own = {h for h in hashes if h is not None}
+                # a block's element is inside an article where the block is, and so are the nodes around it
+                inside, todo = set(), [b[3] for b in blocks if b[1]]
+                seen: set[int] = set()
+                for node in todo:
+                    while node >= 0 and node not in seen:
+                        seen.add(node)
+                        inside |= {hashes[node]} - {None}
+                        node = around[node]
+                rows.append((n, [b[0] for b in blocks], [b[2] for b in blocks], [b[3] for b in blocks], around, hashes, sorted(own - inside), sorted(inside), _hash(*(b[0] for b in blocks)), _hash(*(b[0] for b in blocks if b[1]))))
                 n += 1
-                texts.append([b[0] for b in blocks])
-                alone.append([b[2] for b in blocks])
-                around.append([b[3] for b in blocks])
-                inside = {h for b in blocks if b[1] for h in b[3]}
-                outer.append(sorted(own - inside))
-                inner.append(sorted(inside))
-                page.append(_hash(*(b[0] for b in blocks)))
-                article.append(_hash(*(b[0] for b in blocks if b[1])))
-            longs = pa.list_(pa.int64())
-            columns = [pa.array(keys, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(alone, pa.list_(pa.bool_())), pa.array(around, pa.list_(longs)), pa.array(outer, longs), pa.array(inner, longs), pa.array(page, pa.int64()), pa.array(article, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["page_id", "url", "host", "key", "texts", "alone", "around", "outer", "inner", "page", "article"])
-
-    schema = f"page_id {id_type}, url string, host string, key long, texts array<string>, alone array<boolean>, around array<array<long>>, outer array<long>, inner array<long>, page long, article long"
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+            types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), ints, ints, longs, longs, longs, pa.int64(), pa.int64()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["page_id", "url", "host", "key", "texts", "alone", "nodes", "around", "hashes", "outer", "inner", "page", "article"])
+
+    schema = f"page_id {id_type}, url string, host string, key long, texts array<string>, alone array<boolean>, nodes array<int>, around array<int>, hashes array<long>, outer array<long>, inner array<long>, page long, article long"
     read_ = written(x.mapInArrow(read, schema), "page-blocks")
     named = read_.where("host <> ''")
 
@@ -246,9 +281,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     beside = named.where(F.exists("alone", lambda b: ~b)).select("key", "host").join(known, "host").select("key", F.lit(None).cast("long").alias("h"))
     # written, so that Spark knows its size: pages need no shuffle where few of them have anything to lose
     gone = written(asked.unionByName(beside).groupBy("key").agg(F.collect_set("h").alias("gone")), "page-gone")
-    out = read_.select("page_id", "url", "key", "texts", "alone", "around").join(gone, "key", "left")
-    left = F.filter(F.arrays_zip("texts", "alone", "around"), lambda b: F.when(F.col("gone").isNull(), b.alone).otherwise(~F.arrays_overlap(b.around, F.col("gone"))))
-    return out.select("page_id", "url", F.array_join(F.transform(left, lambda b: b.texts), "\n\n").alias("text"))
+    out = read_.select("page_id", "url", "key", "texts", "alone", "nodes", "around", "hashes").join(gone, "key", "left")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for *page, lost, known in zip(*(batch.column(k).to_pylist() for k in range(2, 9)), strict=True):
+                texts.append(left(*page, set(lost) if known else None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    out = out.select("page_id", "url", "texts", "alone", "nodes", "around", "hashes", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"), F.col("gone").isNotNull().alias("known"))
+    return out.mapInArrow(put, f"page_id {id_type}, url string, text string")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
