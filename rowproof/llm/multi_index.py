@@ -7,13 +7,15 @@ it has passed; their entries, and no others, are scored by the exact measure.
 
 Cells that follow each other make blocks of about BLOCK vectors, and a cell with more is cut into several, so that one
 with a third of all vectors is many tasks. A query is sent to the blocks that hold a cell it passes, with its stopping
-sum. A task takes a block's entries and then streams the queries past them.
+sum. A task takes a block's entries and then streams the queries past them. While blocks hold many cells, nearly all
+blocks have one that a query passes, in whatever order cells are put; where cells fill blocks, a query's share of them.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,23 +107,33 @@ class MultiIndex:
         small_batches(self.spark)
         x = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
         x = x.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-        lengths = x.groupBy(F.size("v").alias("dims")).count().orderBy("dims").collect()  # few: a model gives one length
-        self.parts = [_Part(x.where(F.size("v") == r["dims"]), r["dims"], r["count"], centroids) for r in lengths]
+        lengths = x.select(F.size("v").alias("dims")).distinct().orderBy("dims").collect()  # few: a model gives one length
+        self.parts = [_Part(x.where(F.size("v") == r["dims"]), r["dims"], centroids) for r in lengths]
 
     def search(self, queries: Column, k: int = 20, share: float = SHARE, least: int = LEAST) -> DataFrame:
         """(query_id, rank, vec_id, score): for entries where `queries` holds, the k with the largest inner product.
 
         Rows with the query's own id are no candidates; ties go to the smaller id; a query with fewer candidates
-        gets all of them. Rows that are null, zero or not finite, or have no id, take no part. An id is listed once:
+        gets all of them. Cells count their different ids; where different vectors of few ids still fill the cells that
+        a query passes and fewer than k ids come back, it passes all cells. Rows that are null, zero or not finite, or have no id, take no part. An id is listed once:
         of repeated rows, or different vectors of one id (as query or as candidate), the largest product counts.
         Scores are computed in double precision on the original vectors. An empty table gives no rows.
         """
-        best = None
-        for part in self.parts:
-            found = part.scored(queries, k, int(max(least, share * part.n)) + k + 1)
-            best = found if best is None else best.unionByName(found)
-        if best is None:
+        if not self.parts:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        best = self._best(queries, k, lambda part: int(max(least, share * part.n)) + k + 1)
+        best = written(best, "multi-found")
+        enough = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+        short = reduce(DataFrame.unionAll, (part.entries.where(queries).select("vec_id") for part in self.parts)).distinct().join(enough, "vec_id", "left_anti")
+        short = written(short, "multi-short")
+        if short.isEmpty():
+            return best
+        more = self._best(queries, k, lambda part: part.n, short)
+        return best.join(short.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").select(*more.columns).unionByName(more)
+
+    def _best(self, queries: Column, k: int, enough, only: DataFrame | None = None) -> DataFrame:
+        """The k best of what the queries (of the ids in `only`) meet in cells with enough(part) ids."""
+        best = reduce(DataFrame.unionByName, (part.scored(queries, k, enough(part), only) for part in self.parts))
         best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -130,8 +142,8 @@ class MultiIndex:
 class _Part:
     """The index of the vectors of one length."""
 
-    def __init__(self, x: DataFrame, dims: int, n: int, centroids: int):
-        self.spark, self.n = x.sparkSession, n
+    def __init__(self, x: DataFrame, dims: int, centroids: int):
+        self.spark = x.sparkSession
         cut = self.cut = max(1, dims // 2)
         some = sample(x, "vec_id", "v", SAMPLE)
         books = self.books = codebook(some[:, :cut], centroids), codebook(some[:, cut:], centroids) if dims > cut else np.zeros((1, 0))
@@ -143,10 +155,12 @@ class _Part:
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array((i * len(books[1]) + j).astype(np.int32))], ["vec_id", "v", "cell"])
 
         self.entries = written(x.mapInArrow(enter, "vec_id long, v array<double>, cell int"), "multi-index")
-        got = self.entries.groupBy("cell").count().toArrow()  # a row per pair of centroids at most
-        counts = np.zeros(len(books[0]) * len(books[1]), np.int64)
-        counts[got.column("cell").to_numpy()] = got.column("count").to_numpy()
-        self.counts = counts.reshape(len(books[0]), -1)
+        got = self.entries.groupBy("cell").agg(F.count("*").alias("rows"), F.count_distinct("vec_id").alias("ids")).toArrow()  # a row per pair of centroids at most
+        counts, ids = np.zeros((2, len(books[0]) * len(books[1])), np.int64)
+        counts[got.column("cell").to_numpy()] = got.column("rows").to_numpy()
+        ids[got.column("cell").to_numpy()] = got.column("ids").to_numpy()
+        self.counts = ids.reshape(len(books[0]), -1)
+        self.n = int(ids.sum())
         # cells in order make blocks; a cell larger than a block is one of its own, in several pieces
         before = (np.cumsum(counts) - counts) // BLOCK
         large = counts > BLOCK
@@ -154,11 +168,12 @@ class _Part:
         self.pieces = np.ones(int(self.block[-1]) + 1, np.int64)
         self.pieces[self.block[large]] = -(-counts[large] // BLOCK)
 
-    def scored(self, queries: Column, k: int, enough: int) -> DataFrame:
-        """(query_id, vec_id, score): from each block that a query is sent to, its k best at least."""
+    def scored(self, queries: Column, k: int, enough: int, only: DataFrame | None = None) -> DataFrame:
+        """(query_id, vec_id, score): from each block that a query is sent to, its k best; queries with ids in `only`."""
         books, cut, counts, block, pieces = self.books, self.cut, self.counts, self.block, self.pieces
         width = counts.shape[1]
         asked = self.entries.where(queries).select("vec_id", "v")
+        asked = asked if only is None else asked.join(only, "vec_id")
         shares = max(1, -(-asked.count() // QUERIES))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +228,6 @@ class _Block:
         self.v, self.ids, self.books = matrix(t.column("v"))[order], ids[order], books
         cells, self.cell = np.unique(cell[order], return_inverse=True)
         self.i, self.j = cells // width, cells % width
-        self.copies = int(np.unique(ids, return_counts=True)[1].max())  # rows of one id at most
 
     def best(self, asked: pa.RecordBatch, cut: int, k: int) -> pa.RecordBatch:
         q_rows = matrix(asked.column("v"))
@@ -222,14 +236,19 @@ class _Block:
         for query_id, q, a, b, stop in zip(asked.column("vec_id").to_pylist(), q_rows, first, second, asked.column("stop").to_pylist(), strict=True):
             within = a[self.i] + b[self.j] >= stop
             place = np.flatnonzero(within[self.cell] & (self.ids != query_id))
+            if not len(place):
+                continue
             scores = self.v[place] @ q
-            if len(place) > k * self.copies:  # ties at the cut, and rounding of the product, are settled exactly
-                least = np.partition(scores, len(place) - k * self.copies)[len(place) - k * self.copies]
+            starts = np.flatnonzero(np.concatenate(([True], self.ids[place[1:]] != self.ids[place[:-1]])))
+            if len(starts) > k:  # ties at the cut, and rounding of the product, are settled exactly
+                least = np.partition(np.maximum.reduceat(scores, starts), len(starts) - k)[len(starts) - k]
                 place = place[scores >= least - 1e-9 * max(1.0, abs(least))]
-            exact = (self.v[place] * q).sum(axis=1)
-            keep = np.lexsort((self.ids[place], -exact))[: k * self.copies]
-            found.append((np.full(len(keep), query_id), self.ids[place][keep], exact[keep]))
-        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                starts = np.flatnonzero(np.concatenate(([True], self.ids[place[1:]] != self.ids[place[:-1]])))
+            exact = np.maximum.reduceat((self.v[place] * q).sum(axis=1), starts)
+            ids = self.ids[place[starts]]
+            keep = np.lexsort((ids, -exact))[:k]
+            found.append((np.full(len(keep), query_id), ids[keep], exact[keep]))
+        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
 
 

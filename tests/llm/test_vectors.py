@@ -120,6 +120,29 @@ def test_repeated_rows_and_lengths(spark):
     assert got == [(20, 1, 1, 0.5), (20, 2, 2, 0.25), (20, 3, 3, 0.0), (40, 1, 41, 1.0), (60, 1, 61, 8.0)]
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.05])
+def test_rows_of_one_id_hide_no_candidates(spark, monkeypatch, spread):
+    """5,000 rows of one id, equal or different, and 60 other ids: each query gets 20 different ids, the nearest ones."""
+    monkeypatch.setattr(multi_index, "LEAST", 200)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(61, 8))
+    base[20] = 3 * base[60]
+    data = [(i, base[i].tolist()) for i in range(60)] + [(1000, (base[20] + spread * rng.normal(size=8)).tolist()) for _ in range(5000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in multi_index.MultiIndex(df, centroids=64).search(F.col("vec_id") % 20 == 0, share=0.02).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {0, 20, 40, 1000}
+    for q, found in got.items():
+        best = {}
+        for i, v in data:
+            if i != q:
+                best[i] = max(best.get(i, -1e9), max(float(np.dot(v, w)) for j, w in data[: 60 if q < 60 else 61] if j == q) if q < 60 else -1e9)
+        assert len(found) == 20 == len({i for i, _ in found})
+        if q == 20:  # its neighbours are the copies: the rest is still searched
+            assert found[0][0] == 1000 and [i for i, _ in found] == sorted(best, key=lambda i: (-best[i], i))[:20]
+
+
 @pytest.mark.parametrize("block", [4096, 150])
 def test_recall_and_share_scored(spark, monkeypatch, block):
     monkeypatch.setattr(multi_index, "BLOCK", block)
