@@ -80,5 +80,18 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def own_name(name: str, columns: list[str]) -> str:
+    """The name, or where a column has it (in either case) the name with underscores before it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Column names that may hold dots or backquotes, for F.col and select."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -32,6 +32,8 @@ PERMUTATIONS = BANDS * ROWS
 #: Signatures may understate the similarity by this much (4.7 standard deviations at 0.8).
 MARGIN = 0.15
 BLOCK = 1000
+#: Shingles of a block about (8 bytes each), so that long texts make smaller blocks.
+BLOCK_SHINGLES = 250_000
 REMEMBERED = 200_000
 
 _random = np.random.Generator(np.random.PCG64(20))
@@ -186,11 +188,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     x = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = written(x.mapInArrow(lambda it: _profiles(it, k), "doc_id long, digest binary, n long, bands array<long>"), "minhash-profiles")
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = written(profiles.where(real).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "minhash-classes")
+    classes = written(profiles.where(real).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "minhash-classes")
 
-    dealt = classes.select("node", F.explode("bands").alias("value"))
-    hubs = dealt.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1")
-    members = written(dealt.join(hubs, "value").select("value", "hub", "held", "node"), "minhash-buckets")
+    dealt = classes.select("node", "n", F.explode("bands").alias("value"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    hubs = dealt.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("held"), blocks.alias("blocks")).where("held > 1")
+    members = written(dealt.join(hubs, "value").select("value", "hub", "blocks", "node"), "minhash-buckets")
 
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
     sets = x.join(candidates, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "node long, n long, signature binary, bands binary, shingles binary")
@@ -213,11 +216,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     comps = components(links)
 
     # buckets whose members lie in several components: every pair between components, by blocks
-    placed = members.join(comps, "node", "left").select("value", "held", "node", F.coalesce("component", "node").alias("comp"))
+    placed = members.join(comps, "node", "left").select("value", "blocks", "node", F.coalesce("component", "node").alias("comp"))
     split = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
-    blocks = F.ceil(F.col("held") / BLOCK)
-    open_ = placed.join(split, "value").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "held")
+    open_ = placed.join(split, "value").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
     cross = open_.join(sets, "node").groupBy("value", "i", "j").applyInArrow(_across(percent), "a long, b long")
     comps = components(links.unionByName(written(cross, "minhash-cross")))
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling (DataFrame functions only).
 
-Each document gets an exponential key -ln(u) / w, u a fixed hash of its id and w its quality weight, so that
+Each document gets an exponential key -ln(u) / w, u a fixed hash of its id and text and w its quality weight, so that
 taking documents in key order is weighted sampling without replacement. Within a source, sizes are summed in
 key order up to the source's budget. Complete epochs come first; the rest is a fractional selection whose last
 document may be taken in part.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rowproof.llm.common import n_words, table, written
+from rowproof.llm.common import n_words, quoted, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,9 +30,9 @@ def quality(size: Column, n_chars: Column) -> Column:
     return F.when(mean.between(3.0, 12.0), F.lit(1.0)).otherwise(F.lit(0.5)) * F.when(size >= 20, F.lit(1.0)).otherwise(F.lit(0.5))
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A fixed number in (0, 1) for each id, the same in every run."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A fixed number in (0, 1) for each id and text, the same in every run; rows that share an id differ by their texts."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))), 1, 12), 16, 10).cast("double")
     return (h + 1) / F.lit(float(2**48 + 1))
 
 
@@ -67,10 +67,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     text, doc_id = F.col(text_col), F.col(id_col)
     carried = ["row"] if carry else []
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
-    sized = docs.select(*row, doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
+    row = [F.struct(*quoted(docs.columns)).alias("row")] if carry else []
+    sized = docs.select(*row, doc_id.alias("doc_id"), uniform(doc_id, text, seed).alias("u"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
     w = quality(F.col("size"), F.col("n_chars")) if weight is None else weight
-    key = -F.log(uniform(F.col("doc_id"), seed)) / w
+    key = -F.log("u") / w
     sized = written(sized.select(*carried, "doc_id", "source", "size", key.alias("key"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name")), "mix-sized")
 
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -106,7 +106,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS n_chars,
-         (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 1) / (281474976710656::DOUBLE + 1) AS u
+         (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 1) / (281474976710656::DOUBLE + 1) AS u
   FROM documents),
 keyed AS (
   SELECT doc_id, source, size,

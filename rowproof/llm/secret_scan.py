@@ -3,7 +3,7 @@
 Base kinds are found by pattern. Beside them, candidate strings are searched by Shannon entropy: for each
 character class a window slides over the candidate, the counts of the characters in it are kept up to date as
 one enters and one leaves, and windows whose entropy reaches the class's threshold are joined to spans.
-Candidates on the allow-list are passed over.
+Candidates on the allow-list are passed over, and windows that hold a mark of an example.
 
 Spark's pattern functions give matched strings and not their places. As split() and regexp_extract_all() see the
 same matches, places follow from the lengths of the pieces between and the matches. Those lengths are summed in
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.llm.common import table
+from rowproof.llm.common import own_name, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -43,8 +43,10 @@ CLASSES = (
     Entropy("entropy64", r"[A-Za-z0-9+/_=-]{24,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0),
     Entropy("entropy16", r"[0-9A-Fa-f]{24,}", "0123456789abcdefABCDEF", 24, 3.2),
 )
-#: Candidates that are no secrets: no digit, no letter, one character over and over, marked as an example.
-ALLOW = (r"^[^0-9]+$", r"^[^A-Za-z]+$", r"^(.)\1+$", r"(?i)example|sample|placeholder|xxxx")
+#: Candidates that are no secrets: no digit, no letter, one character over and over.
+ALLOW = (r"^[^0-9]+$", r"^[^A-Za-z]+$", r"^(.)\1+$")
+#: Marks of examples (in either case). They end a candidate, so that a window with one is passed over, but not its neighbours.
+MARKS = ("example", "sample", "placeholder", "xxxx")
 _SCALE = 1 << 40
 
 
@@ -137,7 +139,15 @@ def _any(tests) -> Column:
     return out
 
 
-def scan(docs: DataFrame, text_col: str = "text", into: str = "spans", classes: tuple[Entropy, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def _masked(text: Column, marks: tuple[str, ...]) -> Column:
+    """The text with each mark replaced by as many spaces, which belong to no candidate."""
+    out = text
+    for mark in marks:
+        out = F.regexp_replace(out, f"(?i){mark}", " " * len(mark))
+    return F.when(text.rlike(f"(?i){'|'.join(marks)}"), out).otherwise(text) if marks else text
+
+
+def scan(docs: DataFrame, text_col: str = "text", into: str = "spans", classes: tuple[Entropy, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, marks: tuple[str, ...] = MARKS) -> DataFrame:
     """Add a column `into`: array<struct<start, rank, end>> sorted by start, kind (rank in KINDS) and end.
 
     Places are code points, end exclusive; spans of different kinds may overlap. Null and empty texts have none.
@@ -147,8 +157,10 @@ def scan(docs: DataFrame, text_col: str = "text", into: str = "spans", classes:
     empty = F.array().cast(SPAN)
     assign = F.filter(_matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m.text, ASSIGN, 2)) >= 8)
     parts = [_base(assign, "assign"), _base(_matches(text, ACCESS), "access"), _base(_matches(text, HEX), "hex")]
-    parts += [_entropy(text, c, allow) for c in classes]
-    return docs.withColumn(into, F.array_sort(F.concat(*(F.coalesce(p, empty) for p in parts))))
+    masked = own_name("masked", [*docs.columns, into])
+    docs = docs.withColumn(masked, _masked(text, marks))
+    parts += [_entropy(F.col(masked), c, allow) for c in classes]
+    return docs.withColumn(into, F.array_sort(F.concat(*(F.coalesce(p, empty) for p in parts)))).drop(masked)
 
 
 def written_out(spans: Column) -> Column:

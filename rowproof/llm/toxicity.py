@@ -291,4 +291,5 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
             good = [model.score(*scored_segments(t.as_py() or "", scores)) < threshold for t in batch.column(place)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # a name may hold a dot
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

@@ -57,6 +57,7 @@ def rows():
 @pytest.mark.parametrize("block", [1000, 4])
 def test_equals_brute_force(spark, monkeypatch, k, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 60 * block)
     data = rows()
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in data], "doc_id long, text string, node string, n int").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, k=k).collect()}
