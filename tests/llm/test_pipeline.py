@@ -72,6 +72,16 @@ def test_near_dedup_takes_rows_not_ids(spark):
     assert got == sorted([(1, a), (1, b), (None, c), (8, d), (3, ""), (4, None), (None, ""), (None, "")], key=str)
 
 
+def test_columns_with_clashing_and_dotted_names(spark):
+    names = ["row", "_row", "spans", "masked", "a.b", "times", "number", "component_id", "key"]
+    x = docs(spark).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for stage in (cp.near_dedup, cp.secrets, cp.mix, cp.toxicity):
+        y = stage(spark, x, D)
+        assert y.columns == x.columns
+        assert {tuple(r[5:]) for r in y.collect()} == {tuple(range(len(names)))}
+    assert {r.doc_id for r in cp.tokens(spark, x, D).collect()} == {r.doc_id for r in x.select("doc_id").collect()}
+
+
 def test_toxicity_only_filters(spark):
     x = spark.read.parquet(f"{D}/documents.parquet").withColumn("extra", F.lit("x"))
     got = cp.toxicity(spark, x, D)
