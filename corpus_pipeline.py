@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rowproof.llm import bpe, minhash, mixing, secret_scan
 from rowproof.llm import toxicity as tox
-from rowproof.llm.common import n_words, table, written
+from rowproof.llm.common import n_words, own_name, quoted, table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words are like nothing: they stay, once for each id, and all of those without an id. An empty table stays
     empty.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = minhash.near_duplicates(rows, k=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
-    kept = written(found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first")).select("first.__row"), "pipeline-kept")
-    rows = rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    row = own_name("row", docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows, k=5, percent=80, id_col=row).select(F.col("doc_id").alias("number"), "component_id")
+    named = rows.select(F.col(row).alias("number"), "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number"))
+    kept = written(found.join(named, "number").groupBy("component_id").agg(first.alias("first")).select(F.col("first.number").alias(row)), "pipeline-kept")
+    rows = rows.join(kept, row, "left_semi").select(*quoted(docs.columns))
     wordless = (n_words(F.col("text")) == 0) & F.col("doc_id").isNotNull()
     return rows.where(~wordless).unionByName(rows.where(wordless).dropDuplicates(["doc_id"]))
 
@@ -47,9 +49,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are as they were (n_chars of a null text is null); spans that overlap are one mark; repeated
     rows stay repeated. An empty table stays empty.
     """
-    found = secret_scan.scan(docs, into="__secret_spans")
-    found = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("__secret_spans")))
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    spans = own_name("spans", docs.columns)
+    found = secret_scan.scan(docs, into=spans)
+    found = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col(spans)))
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*quoted(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +63,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id and size, and repeated rows are drawn one by one. An empty table stays empty.
     """
     more = F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
-    times = mixing.mix(docs, carry=True).select("row", (F.col("epochs") + more).cast("int").alias("__times")).where("__times > 0")
-    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
+    times = mixing.mix(docs, carry=True).select("row", (F.col("epochs") + more).cast("int").alias("times")).where("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
