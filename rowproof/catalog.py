@@ -6,9 +6,7 @@ expressions (never by changing data).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,34 +14,9 @@ from rowproof.functions import field_check, money, surrogate_key, total
 from rowproof.operators import aggregates, arrays, facts, history, joins, ordering
 from rowproof.operators.contracts import Agg, compare, violations
 from rowproof.plans import findings, incremental, lineage, project, replay
+from rowproof.registry import QUERIES, SQL, query
 from rowproof.streaming import drain, read_files, window_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-class Tables:
-    """The given tables by name, read when used."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None):
-    """Register a query over Tables under its function's name, with its SQL."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- joins and NULLs -------------------------------------------------------------------------------------------
 
 
@@ -473,7 +446,7 @@ _STEADY = _FIND.format(w="steady", k="l_orderkey, l_partkey", limit=600000)
 @query(f"with f as ({_FULL} union all {_STEADY}) select family, kind, model, column_name, case when kind = 'contract_issue' then 'error' else 'warn' end as severity, count(distinct world) as n_worlds from f group by all having count(distinct world) < 2")
 def cross_world_strict_subset(t):
     f = _findings(t, ["l_orderkey", "l_linenumber"], 0, "full").unionByName(_findings(t, ["l_orderkey", "l_partkey"], 600000, "steady"))
-    out = findings.only_in_some_worlds(f).withColumn("severity", findings.severity("kind"))
+    out = findings.only_in_some_worlds(f, ["full", "steady"]).withColumn("severity", findings.severity("kind"))
     return out.select("family", "kind", "model", "column_name", "severity", F.size("worlds").cast("long").alias("n_worlds"))
 
 
@@ -665,9 +638,9 @@ def null_intolerant_predicates(t):
     return x.agg(*(F.count_if(c).alias(n) for n, c in tests.items()), F.count("*").alias("n_rows"))
 
 
-@query(f"select doc_id, pos::int as pos, element from (select doc_id, unnest(case when len(w) = 0 then [null] else w end) as element, case when len(w) = 0 then null else generate_subscripts(w, 1) - 1 end as pos from (select doc_id, {_LONG_WORDS} as w from documents where source is not null))")
+@query(f"select doc_id, pos::int as pos, element from (select doc_id, unnest(case when coalesce(len(w), 0) = 0 then [null] else w end) as element, case when coalesce(len(w), 0) = 0 then null else generate_subscripts(w, 1) - 1 end as pos from (select doc_id, {_LONG_WORDS} as w from documents))")
 def flatten_outer_rows(t):
-    return arrays.outer_elements(t.documents.where("source is not null"), ["doc_id"], _long_words())
+    return arrays.outer_elements(t.documents, ["doc_id"], _long_words())
 
 
 @query("""select kind, count(*) as n, sum(amount)::double as amount from (select unnest(['discount', 'tax']) as kind, unnest([(l_discount * 100)::bigint, (l_tax * 100)::bigint]) as amount from lineitem) group by 1""")
@@ -715,3 +688,4 @@ def conservation_of_expressions(t):
     right = Agg("sum", "l_extendedprice").of(t.lineitem).where(F.col("l_quantity").between(1, 50)).by("l_orderkey")
     x = violations(left, right, "<=", within=-1000.0)
     return x.select("l_orderkey", F.round("left_value", 3).alias("left_value"), F.round("right_value", 3).alias("right_value"))
+from rowproof import catalog_projects  # noqa: E402, F401  registers its queries

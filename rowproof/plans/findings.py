@@ -31,11 +31,18 @@ def introduced(now: DataFrame, before: DataFrame, identity: tuple[str, ...] = ID
     return now.join(marked, on, "left_anti")
 
 
-def only_in_some_worlds(found: DataFrame, identity: tuple[str, ...] = IDENTITY, world: str = "world") -> DataFrame:
-    """(identity, worlds): findings that hold in a strict subset of the worlds seen."""
-    n = found.agg(F.count_distinct(world).alias("__all"))
-    held = found.groupBy(*identity).agg(F.array_sort(F.collect_set(world)).alias("worlds"))
-    return held.join(F.broadcast(n)).where(F.size("worlds") < F.col("__all")).drop("__all")  # one row
+def only_in_some_worlds(found: DataFrame, worlds: list[str] | DataFrame, identity: tuple[str, ...] = IDENTITY, world: str = "world") -> DataFrame:
+    """(identity, worlds): findings that hold in a strict subset of the analysed worlds.
+
+    `worlds` names all that were analysed (a list, or a frame with a row for each), so a world without any finding
+    counts; findings of worlds that are not among them are left out.
+    """
+    spark = found.sparkSession
+    named = spark.createDataFrame([(w,) for w in worlds], "w string") if isinstance(worlds, list) else worlds.select(F.col(worlds.columns[0]).alias("w"))
+    named = named.distinct()
+    n = named.agg(F.count("*").alias("n_analysed"))
+    held = found.join(named, F.col(world) == F.col("w"), "left_semi").groupBy(*identity).agg(F.array_sort(F.collect_set(world)).alias("worlds"))
+    return held.join(F.broadcast(n)).where(F.size("worlds") < F.col("n_analysed")).drop("n_analysed")  # one row
 
 
 def suppressed(found: DataFrame, directives: DataFrame, identity: tuple[str, ...] = ("model", "kind")) -> DataFrame:
