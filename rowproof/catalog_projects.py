@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
-from rowproof.plans import findings
+from rowproof.plans import conditions, dependencies, findings, fingerprints
+from rowproof.plans.fact_state import KeyState
 from rowproof.plans.join_chain import JoinChain, Step
 from rowproof.plans.worlds import enumerate_worlds, facts_by_world
 from rowproof.registry import query
+from rowproof.sources.shared import shared_folder
 
 # ---- join chains -----------------------------------------------------------------------------------------------
 
@@ -84,3 +89,83 @@ def facts_broken_in_some_worlds(t):
     worlds, x = _by_world(t)
     some = findings.only_in_some_worlds(x.where("broken > 0"), worlds, identity=("fact",))
     return some.select("fact", F.array_join("worlds", ";").alias("worlds"))
+
+
+# ---- facts found and kept --------------------------------------------------------------------------------------
+
+
+def _sets(columns: list[str], most: int) -> list[tuple[str, ...]]:
+    return [s for k in range(1, most + 1) for s in combinations(sorted(columns), k)]
+
+
+def _sizes_sql(table: str, columns: list[str], most: int) -> str:
+    """CTEs: sz(s, n), the different values of every set of columns; inside(s, part), the proper subsets of each set."""
+    name = ",".join
+    sizes = " union all ".join(f"select '{name(s)}' as s, count(*) as n from (select distinct {name(s)} from {table})" for s in _sets(columns, most))
+    inside = ", ".join(f"('{name(s)}', '{name(p)}')" for s in _sets(columns, most) for k in range(len(s)) for p in combinations(s, k))
+    return f"sz as materialized (select '' as s, 1 as n union all {sizes}), inside as (select * from (values {inside}) as v(s, part)), total as (select count(*) as n from {table})"
+
+
+def _dependencies_sql(table: str, columns: list[str], most: int) -> str:
+    name = ",".join
+    tests = ", ".join(f"('{name(s)}', '{a}', '{name(sorted({*s, a}))}')" for s in [(), *_sets(columns, most - 1)] for a in sorted(columns) if a not in s)
+    return f"""with {_sizes_sql(table, columns, most)}, tests as (select v.z, v.a, l.n as n, l.n = r.n as holds from (values {tests}) as v(z, a, za) join sz l on l.s = v.z join sz r on r.s = v.za)
+select z as determinant, a as dependent from tests where holds and n < (select n from total) and not exists (select 1 from inside join tests t on t.z = inside.part and t.a = tests.a and t.holds where inside.s = tests.z)
+union all select s, null from sz where s <> '' and n = (select n from total) and not exists (select 1 from inside join sz p on p.s = inside.part where inside.s = sz.s and p.n = sz.n)"""
+
+
+_ORDERS = ["o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]
+_LINES = ["l_discount", "l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_tax"]
+
+
+@query(_dependencies_sql("orders", _ORDERS, 3))
+def dependencies_of_orders(t):
+    return dependencies.Found(t.orders, _ORDERS, 3).frame()
+
+
+@query(_dependencies_sql("(select *, l_orderkey % 1000 // 10 as l_batch, l_orderkey % 1000 as l_part_of from lineitem)", [*_LINES, "l_batch", "l_part_of"], 3))
+def dependencies_of_lines(t):
+    derived = t.lineitem.withColumn("l_part_of", F.col("l_orderkey") % 1000).withColumn("l_batch", F.expr("l_orderkey % 1000 div 10"))
+    return dependencies.Found(derived, [*_LINES, "l_batch", "l_part_of"], 3).frame()
+
+
+_WHERE = ["o_orderpriority", "o_orderstatus", "o_month"]
+_KEY_ROWS = "(select o_custkey, o_orderpriority, nullif(o_orderstatus, 'O') as o_orderstatus, strftime(o_orderdate, '%Y-%m') as o_month from orders)"
+
+
+@query(f"""with r as (select * from {_KEY_ROWS}), c as (select {', '.join(_WHERE)}, grouping({_WHERE[0]}) as g0, grouping({_WHERE[1]}) as g1, grouping({_WHERE[2]}) as g2, count(*) as n_rows from r group by cube ({', '.join(_WHERE)})),
+k as (select {', '.join(_WHERE)}, g0, g1, g2, count(*) as repeated from (select {', '.join(_WHERE)}, grouping({_WHERE[0]}) as g0, grouping({_WHERE[1]}) as g1, grouping({_WHERE[2]}) as g2, count(*) as n from r group by grouping sets ({', '.join('(o_custkey' + ''.join(', ' + c for c in s) + ')' for k in range(4) for s in combinations(_WHERE, k))})) where n > 1 group by all),
+x as (select c.*, k.repeated is null as holds from c left join k on {' and '.join(f'c.{a} is not distinct from k.{a}' for a in [*_WHERE, 'g0', 'g1', 'g2'])})
+select concat_ws(' and ', case when g0 = 0 then coalesce('o_orderpriority=' || o_orderpriority, 'o_orderpriority is null') end, case when g1 = 0 then coalesce('o_orderstatus=' || o_orderstatus, 'o_orderstatus is null') end, case when g2 = 0 then coalesce('o_month=' || o_month, 'o_month is null') end) as condition, n_rows from x
+where holds and not exists (select 1 from x p where p.holds and p.g0 + p.g1 + p.g2 = x.g0 + x.g1 + x.g2 + 1 and p.g0 >= x.g0 and p.g1 >= x.g1 and p.g2 >= x.g2
+and (p.g0 = 1 or p.o_orderpriority is not distinct from x.o_orderpriority) and (p.g1 = 1 or p.o_orderstatus is not distinct from x.o_orderstatus) and (p.g2 = 1 or p.o_month is not distinct from x.o_month))""")
+def conditional_keys_found(t):
+    rows = t.orders.select("o_custkey", "o_orderpriority", F.expr("nullif(o_orderstatus, 'O')").alias("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM").alias("o_month"))
+    return conditions.holding(rows, ["o_custkey"], _WHERE)
+
+
+_NEW = "o_orderdate >= timestamp '2000-06-01'"
+
+
+@query(f"""with o as (select *, nullif(o_custkey, 7) as k from orders) select k as o_custkey, count(*) as n, count(*) filter ({_NEW}) > 0 as by_new from o where k is not null group by 1 having count(*) > 1""")
+def key_state_of_two_loads(t):
+    """Repeated keys of two loads from their stored states, and which of them the second load broke."""
+    o = t.orders.withColumn("o_custkey", F.expr("nullif(o_custkey, 7)"))
+    state = KeyState(t.spark, f"{shared_folder(t.spark)}/rowproof/key-state-{uuid.uuid4().hex[:12]}", ["o_custkey"], ["o_orderpriority", "o_custkey"])
+    old, new = o.where(f"not {_NEW}"), o.where(_NEW)
+    state.absorb(old, "old")
+    broken = state.broken_by(new).select("o_custkey", F.lit(True).alias("by_new"))
+    state.absorb(new, "new")
+    return state.broken().join(broken, "o_custkey", "left").select("o_custkey", "n", F.coalesce("by_new", F.lit(False)).alias("by_new"))
+
+
+@query("""select 'only_first' as kind, null as column_name, count(*) filter (o_orderkey % 1009 = 5) as n from orders union all select 'only_second', null, count(*) filter (o_orderkey % 2003 = 8 and o_orderkey % 1009 <> 5) from orders
+union all select 'changed', 'o_totalprice', count(*) filter (o_orderkey % 997 = 3 and o_orderkey % 1009 <> 5) from orders union all select 'changed', 'o_orderstatus', count(*) filter (o_orderkey % 4001 = 4 and o_orderstatus <> 'P' and o_orderkey % 1009 <> 5) from orders
+union all select 'changed', c, 0 from (select unnest(['o_custkey', 'o_orderdate', 'o_orderpriority']) as c)""")
+def build_differences(t):
+    """A second build without some rows, with new keys and with changes in two columns, compared by fingerprints."""
+    folder = f"{shared_folder(t.spark)}/rowproof/builds-{uuid.uuid4().hex[:12]}"
+    kept = t.orders.where("o_orderkey % 1009 <> 5")
+    changed = kept.withColumn("o_totalprice", F.expr("case when o_orderkey % 997 = 3 then o_totalprice + 1 else o_totalprice end")).withColumn("o_orderstatus", F.expr("case when o_orderkey % 4001 = 4 then 'P' else o_orderstatus end"))
+    added = kept.where("o_orderkey % 2003 = 8").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    return fingerprints.differences(fingerprints.store(t.orders, f"{folder}/first", ["o_orderkey"]), fingerprints.store(changed.unionByName(added), f"{folder}/second", ["o_orderkey"]))
