@@ -341,8 +341,6 @@ _AGGREGATES = {
     "skewness": ("round(skewness(q::double) * (count(q) - 2) / sqrt(count(q)::double * (count(q) - 1)), 4)", lambda: F.round(F.skewness(F.col("q").cast("double")), 4)),
     "mode": ("(list_sort(histogram(q).map_entries().list_transform(lambda e: {n: -e.value::bigint, q: e.key})))[1].q", lambda: F.mode("q", True)),
     "percentile_approx": ("quantile_disc(q, 0.9)", lambda: F.percentile_approx("q", 0.9, 1_000_000)), "percentile_cont": ("quantile_cont(q::double, 0.25)", lambda: F.expr("percentile_cont(0.25) within group (order by q)")), "percentile_disc": ("quantile_disc(q, 0.25)", lambda: F.expr("percentile_disc(0.25) within group (order by q)")),
-    # which row's value they return is not fixed, but one of the input's it is
-    **{name: (f"({name}(q) between min(q) and max(q))::int", lambda f=f: f("q").between(F.min("q"), F.max("q")).cast("int")) for name, f in (("any_value", F.any_value), ("first", F.first), ("last", F.last))},
     "approx_count_distinct": ("count(distinct q)", lambda: F.approx_count_distinct("q", 0.01)),
     "max_by": ("max_by(k, q * 1000000000 + k)", lambda: F.max_by("k", F.col("q") * 1000000000 + F.col("k"))), "sum_distinct": ("sum(distinct q)", lambda: F.sum_distinct("q")),
 }
@@ -388,6 +386,11 @@ def conservation_relative(t):
     return violations(*_order_sums(t), relative=0.5)
 
 
+@query(f"with {_SUMS}, c as (select l_orderkey as o_orderkey, sum(l_quantity::decimal(18,2))::double as q from lineitem group by 1) select o_orderkey, left_value, right_value from x left join c using (o_orderkey) where one_side or abs(left_value - right_value) > 1500 * coalesce(q, 0)")
+def conservation_relative_to(t):
+    return violations(*_order_sums(t), relative=1500.0, relative_to=Agg("sum", "l_quantity", scale=2).of(t.lineitem).by("l_orderkey"))
+
+
 @query(f"with {_SUMS} select o_orderkey, left_value, right_value from x where one_side or not left_value <= right_value")
 def conservation_at_most(t):
     return violations(*_order_sums(t), relation="<=")
@@ -561,8 +564,8 @@ def right_join_padding(t):
 
 @query("""select c_mktsegment, count(*) as pairs from orders join customer on o_custkey = c_custkey or o_orderkey = c_custkey group by 1""")
 def or_join_fanout(t):
-    x = joins.either(t.orders, t.customer, F.col("o_custkey") == F.col("c_custkey"), F.col("o_orderkey") == F.col("c_custkey"))
-    return x.groupBy("c_mktsegment").agg(F.count("*").alias("pairs"))
+    x = joins.either(t.orders, t.customer, ("o_custkey", "c_custkey"), ("o_orderkey", "c_custkey"))
+    return x.groupBy("right.c_mktsegment").agg(F.count("*").alias("pairs"))
 
 
 @query("""select coalesce(m, 0) as matches, count(*) as left_rows from (select left(n_name, 1) as k from nation) left join (select left(c_mktsegment, 1) as k, count(*) as m from customer group by 1) using (k) group by 1""")
@@ -688,4 +691,4 @@ def conservation_of_expressions(t):
     right = Agg("sum", "l_extendedprice").of(t.lineitem).where(F.col("l_quantity").between(1, 50)).by("l_orderkey")
     x = violations(left, right, "<=", within=-1000.0)
     return x.select("l_orderkey", F.round("left_value", 3).alias("left_value"), F.round("right_value", 3).alias("right_value"))
-from rowproof import catalog_projects  # noqa: E402, F401  registers its queries
+from rowproof import catalog_measures, catalog_projects  # noqa: E402, F401  register their queries

@@ -83,9 +83,12 @@ def discharged_by_dependency(df: DataFrame, keys: list[str], determinant: str, u
     determinant -> unit holds and the key does not fix the determinant. Groups whose own rows break the dependency
     are left out.
     """
-    x = df.groupBy(*keys, determinant).agg(F.min(unit).alias("low"), F.max(unit).alias("high"), F.collect_set(unit).alias("held"))
-    x = x.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_set("held")))).cast("long").alias("units"), F.count("*").alias("determinants"), F.bool_or(F.col("low") != F.col("high")).alias("broken"))
-    return x.where("units > 1 and not coalesce(broken, false)").drop("broken")
+    x = df.groupBy(*keys, determinant).agg(F.min(unit).alias("low"), F.max(unit).alias("high"))
+    x = x.groupBy(*keys).agg(F.count("*").alias("determinants"), F.bool_or(F.col("low") != F.col("high")).alias("broken")).where("not coalesce(broken, false)")
+    # distinct units are counted as rows: no group's set of units is held by a task
+    n = df.groupBy(*keys).agg(F.count_distinct(unit).alias("units")).where("units > 1")
+    on = [n[k].eqNullSafe(x[k]) for k in keys]
+    return n.join(x, on).select(*(n[k] for k in keys), "units", "determinants")
 
 
 def grouping_set_rows(df: DataFrame, sets: list[list[str]], keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@
 
 A comparison is a DataFrame of the groups with both values and whether the relation holds. A group that one side
 lacks is a mismatch; NULL values count as 0; `within` is an absolute, `relative` a relative tolerance (a share of
-the right side's magnitude, group by group). What is aggregated, and the rows, are any Spark expressions; numbers are
+the right side's magnitude, group by group, or of that of another aggregate by the same keys, `relative_to`). What is aggregated, and the rows, are any Spark expressions; numbers are
 summed as they are, or exactly in a number of decimals where `scale` names one.
 """
 
@@ -65,8 +65,9 @@ def rows_that_break(frame: DataFrame, claim: Column) -> DataFrame:
     return frame.where(~F.coalesce(claim, F.lit(True)))
 
 
-def compare(left: Agg, right: Agg, relation: str = "=", within: float = 0.0, relative: float = 0.0) -> DataFrame:
-    """(keys, left_value, right_value, holds) for every group of either side."""
+def compare(left: Agg, right: Agg, relation: str = "=", within: float = 0.0, relative: float = 0.0, relative_to: Agg | None = None) -> DataFrame:
+    """(keys, left_value, right_value, holds) for every group of either side. A group that `relative_to` lacks has no
+    relative tolerance."""
     names = left.keys
     a = left.value().select(*(F.col(k).alias(n) for k, n in zip(left.keys, names, strict=True)), F.coalesce("value", F.lit(0.0)).alias("left_value"))
     b = right.value().select(*(F.col(k).alias(n) for k, n in zip(right.keys, names, strict=True)), F.coalesce("value", F.lit(0.0)).alias("right_value"))
@@ -77,11 +78,17 @@ def compare(left: Agg, right: Agg, relation: str = "=", within: float = 0.0, rel
     else:
         joined = a.join(F.broadcast(b)).withColumn("__both", F.lit(True))  # one row each
     l, r = F.col("left_value"), F.col("right_value")
-    slack = F.lit(within) + F.lit(relative) * F.abs(r)
+    scale = F.abs(r)
+    if relative_to is not None:
+        base = relative_to.value().select(*(F.col(k).alias(f"base_{i}") for i, k in enumerate(relative_to.keys)), F.col("value").alias("base_value"))
+        joined = joined.join(base, [joined[n].eqNullSafe(base[f"base_{i}"]) for i, n in enumerate(names)], "left") if names else joined.join(F.broadcast(base))  # one row
+        joined = joined.drop(*(f"base_{i}" for i in range(len(names))))
+        scale = F.coalesce(F.abs("base_value"), F.lit(0.0))
+    slack = F.lit(within) + F.lit(relative) * scale
     holds: Column = {"=": F.abs(l - r) <= slack, "<>": F.abs(l - r) > slack, "<=": l <= r + slack, "<": l < r + slack, ">=": l >= r - slack, ">": l > r - slack}[relation]
-    return joined.withColumn("holds", F.col("__both") & F.coalesce(holds, F.lit(False))).drop("__both")
+    return joined.withColumn("holds", F.col("__both") & F.coalesce(holds, F.lit(False))).drop("__both", "base_value")
 
 
-def violations(left: Agg, right: Agg, relation: str = "=", within: float = 0.0, relative: float = 0.0) -> DataFrame:
+def violations(left: Agg, right: Agg, relation: str = "=", within: float = 0.0, relative: float = 0.0, relative_to: Agg | None = None) -> DataFrame:
     """The groups in which the relation does not hold."""
-    return compare(left, right, relation, within, relative).where("not holds").drop("holds")
+    return compare(left, right, relation, within, relative, relative_to).where("not holds").drop("holds")

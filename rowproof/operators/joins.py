@@ -22,9 +22,16 @@ def right_padding(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     return right.join(left, on, "left_anti")
 
 
-def either(left: DataFrame, right: DataFrame, first: Column, second: Column) -> DataFrame:
-    """left JOIN right ON first OR second, as two joins on keys; a pair that satisfies both is there once."""
-    return left.join(right, first).unionByName(left.join(right, second).where(~F.coalesce(first, F.lit(False))))
+def either(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+    """left JOIN right ON left.a = right.b OR left.c = right.d, as one join on keys: (left, right) with each row whole.
+
+    Both sides go once to each of the two keys; a pair that both keys bring together is there once. The sides are
+    structs, so they may share column names.
+    """
+    side = lambda df, name, keys: df.select(F.struct(*df.columns).alias(name), F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(k).cast("string").alias("k")) for i, k in enumerate(keys)))).alias("on")).where("on.k is not null")
+    x = side(left, "left", (first[0], second[0])).join(side(right, "right", (first[1], second[1])), "on")
+    both = F.coalesce(F.col("left")[first[0]] == F.col("right")[first[1]], F.lit(False))
+    return x.where((F.col("on.which") == 0) | ~both).select("left", "right")
 
 
 def cross_size(left: DataFrame, right: DataFrame) -> DataFrame:

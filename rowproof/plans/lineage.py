@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowproof.sources.shared import shared_folder
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -18,12 +18,12 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, to_col: str = "to_node", from_col: str = "from_node") -> DataFrame:
     """(node, ancestor): everything each node derives from. Each round joins only the paths that the last one found."""
-    new = paths = _kept(edges.select(F.col(to_col).alias("node"), F.col(from_col).alias("ancestor")).distinct())
+    new = paths = kept(edges.select(F.col(to_col).alias("node"), F.col(from_col).alias("ancestor")).distinct())
     while not new.isEmpty():
         after = new.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", F.col("b.ancestor").alias("ancestor"))
         before = paths.alias("a").join(new.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", F.col("b.ancestor").alias("ancestor"))
-        new = _kept(after.unionByName(before).distinct().join(paths, ["node", "ancestor"], "left_anti"))
-        paths = _kept(paths.unionByName(new))
+        new = kept(after.unionByName(before).distinct().join(paths, ["node", "ancestor"], "left_anti"))
+        paths = kept(paths.unionByName(new))
     return paths
 
 
@@ -39,12 +39,15 @@ def cycles(edges: DataFrame, to_col: str = "to_node", from_col: str = "from_node
 
 
 def levels(edges: DataFrame, to_col: str = "to_node", from_col: str = "from_node") -> DataFrame:
-    """(node, level): 0 for sources, else one more than the highest level below; the graph must have no cycle."""
+    """(node, level): 0 for sources, else one more than the highest level below. On a cycle it ends with an error: a
+    level cannot exceed the number of nodes; cycles() names the nodes."""
     e = edges.select(F.col(to_col).alias("t"), F.col(from_col).alias("f")).distinct()
-    at = _kept(e.select(F.col("f").alias("node")).unionByName(e.select(F.col("t").alias("node"))).distinct().withColumn("level", F.lit(0)))
-    while True:
+    at = kept(e.select(F.col("f").alias("node")).unionByName(e.select(F.col("t").alias("node"))).distinct().withColumn("level", F.lit(0)))
+    n = at.count()
+    for _ in range(n + 1):
         up = e.join(at, F.col("f") == F.col("node")).groupBy(F.col("t").alias("node")).agg((F.max("level") + 1).alias("up"))
-        new = _kept(at.join(up, "node", "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
+        new = kept(at.join(up, "node", "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
         if new.join(at.withColumnRenamed("level", "was"), "node").where("level <> was").isEmpty():
             return new
         at = new
+    raise ValueError("the graph has a cycle: cycles() names its nodes")

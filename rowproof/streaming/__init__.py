@@ -41,5 +41,8 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    if not made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(made):
+        return spark.createDataFrame([], stream.schema)  # no batch: nothing has come
     out = spark.read.schema(stream.schema).parquet(f"{path}/table")
     return out.select(*stream.columns)
