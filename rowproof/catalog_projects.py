@@ -13,6 +13,8 @@ from rowproof.plans.join_chain import JoinChain, Step
 from rowproof.plans.worlds import enumerate_worlds, facts_by_world
 from rowproof.registry import query
 from rowproof.sources.shared import shared_folder
+from rowproof.streaming import drain, read_files
+from rowproof.streaming.facts import repeated_keys
 
 # ---- join chains -----------------------------------------------------------------------------------------------
 
@@ -169,3 +171,13 @@ def build_differences(t):
     changed = kept.withColumn("o_totalprice", F.expr("case when o_orderkey % 997 = 3 then o_totalprice + 1 else o_totalprice end")).withColumn("o_orderstatus", F.expr("case when o_orderkey % 4001 = 4 then 'P' else o_orderstatus end"))
     added = kept.where("o_orderkey % 2003 = 8").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
     return fingerprints.differences(fingerprints.store(t.orders, f"{folder}/first", ["o_orderkey"]), fingerprints.store(changed.unionByName(added), f"{folder}/second", ["o_orderkey"]))
+
+
+# ---- facts over streams ----------------------------------------------------------------------------------------
+
+
+@query("""select user_id, event_type, count(*) as n from events where event_type <> 'view' group by all having count(*) > 1""")
+def stream_repeated_keys(t):
+    """Repeated keys of the events as a stream with state of its own: the last number sent for each."""
+    events = read_files(t.spark, t.sf_dir, "events.parquet").where("event_type <> 'view'")
+    return drain(repeated_keys(events, ["user_id", "event_type"]), "update").groupBy("user_id", "event_type").agg(F.max("n").alias("n"))
