@@ -691,4 +691,4 @@ def conservation_of_expressions(t):
     right = Agg("sum", "l_extendedprice").of(t.lineitem).where(F.col("l_quantity").between(1, 50)).by("l_orderkey")
     x = violations(left, right, "<=", within=-1000.0)
     return x.select("l_orderkey", F.round("left_value", 3).alias("left_value"), F.round("right_value", 3).alias("right_value"))
-from rowproof import catalog_measures, catalog_projects  # noqa: E402, F401  register their queries
+from rowproof import catalog_checks, catalog_measures, catalog_projects  # noqa: E402, F401  register their queries

@@ -57,6 +57,16 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return ranked.where("__rank = 1").drop("__rank")
 
 
+def hidden_group_keys(df: DataFrame, keys: dict[str, Column], shown: list[str]) -> DataFrame:
+    """(shown, n_groups): rows of a grouped result that look alike, as it shows only some of its group keys.
+
+    keys names what is grouped by; the result of GROUP BY has all of them as a key, and shown alone only if this is
+    empty. NULL is a group of its own. Nothing shown: all groups look alike.
+    """
+    groups = df.select(*(c.alias(name) for name, c in keys.items())).distinct()
+    return groups.groupBy(*shown).agg(F.count("*").alias("n_groups")).where("n_groups > 1")
+
+
 def counterexamples(df: DataFrame, strong: Column, weak: Column) -> DataFrame:
     """Rows that satisfy the stronger filter and not the weaker one: none if strong implies weak on this data."""
     return df.where(strong).where(~F.coalesce(weak, F.lit(False)))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rowproof.operators.inequality import below
+
 
 def arbitrary_labels(df: DataFrame, partition: list[str]) -> DataFrame:
     """(size, partitions): partitions whose rows an unordered ranking numbers at will, by their size."""
@@ -48,6 +50,22 @@ def cutoff_ties(df: DataFrame, order: str, n: int) -> DataFrame:
     return counts.where(F.col("before") + F.col("tied") > n).select("cutoff", "tied", (F.lit(n) - F.col("before")).alias("taken"))
 
 
+def page_ties(df: DataFrame, order: str, size: int) -> DataFrame:
+    """(value, tied, first_page, last_page): order values whose rows lie on more than one page of LIMIT size OFFSET
+    page * size, so that a row may come on two of these pages or on none. Pages are numbered from 0.
+
+    Rows are counted by value and the counts added up by ranges, so all pages of a table are had without ordering its rows.
+    NULLs come first, as Spark orders them. Values are numbers, dates or times.
+    """
+    nulls = df.agg(F.count_if(F.col(order).isNull()).alias("nulls"))
+    known = below(df, order, df, order).select("value", F.col("n_left").alias("tied"), F.col("n_below").alias("before"))
+    x = known.join(F.broadcast(nulls)).withColumn("before", F.col("before") + F.col("nulls")).drop("nulls")  # one row
+    x = x.unionByName(nulls.select(F.lit(None).cast(known.schema["value"].dataType).alias("value"), F.col("nulls").alias("tied"), F.lit(0).cast("long").alias("before")).where("tied > 0"))
+    page = lambda at: F.floor(at / size).cast("long")
+    x = x.select("value", "tied", page(F.col("before")).alias("first_page"), page(F.col("before") + F.col("tied") - 1).alias("last_page"))
+    return x.where("last_page > first_page")
+
+
 def first_known(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """(keys, first, first_known): a group's first value in a total order, and its first that is not NULL (IGNORE NULLS)."""
     at = F.struct(*order)

@@ -69,6 +69,17 @@ def coverage(checked: DataFrame, floor: float = 0.0) -> DataFrame:
     return x.withColumn("kind", F.when(F.col("share") < floor, "resolution_below_floor"))
 
 
+def grounding(checked: DataFrame) -> DataFrame:
+    """(property, declared, grounded): how many facts of each property could be checked, over all models."""
+    return checked.groupBy("property").agg(F.count("*").alias("declared"), F.count_if(F.col("status") == "checked").alias("grounded"))
+
+
+def least_covered(checked: DataFrame, n: int = 5) -> DataFrame:
+    """coverage() of the n models with the lowest share of checked facts; of equal shares those with more unchecked
+    facts first, then by name."""
+    return coverage(checked).drop("kind").orderBy("share", (F.col("checked") - F.col("declared")), "model").limit(n)
+
+
 def write(found: DataFrame, path: str, kind: str = "json") -> None:
     """Write findings with their level, as files of a kind that Spark writes."""
     found.withColumn("severity", severity("kind")).write.mode("overwrite").format(kind).save(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,21 @@ def closure(edges: DataFrame, to_col: str = "to_node", from_col: str = "from_nod
 
 
 def base_columns(edges: DataFrame, to_col: str = "to_node", from_col: str = "from_node") -> DataFrame:
-    """(node, base): the sources without an edge of their own that each node's values come from."""
-    derived = edges.select(F.col(to_col).alias("ancestor")).distinct()
-    return closure(edges, to_col, from_col).join(derived, "ancestor", "left_anti").select("node", F.col("ancestor").alias("base"))
+    """(node, base): the sources without an edge of their own that each node's values come from.
+
+    Only bases are carried upwards, not all pairs of nodes; each round's pairs are kept once and never rewritten. Nodes
+    that derive from cycles alone have no base.
+    """
+    e = kept(edges.select(F.col(to_col).alias("node"), F.col(from_col).alias("below")).distinct())
+    new = kept(e.join(e.select(F.col("node").alias("below")), "below", "left_anti").select("node", F.col("below").alias("base")))
+    rounds = [new]
+    while not new.isEmpty():
+        up = e.alias("e").join(new.alias("n"), F.col("e.below") == F.col("n.node")).select("e.node", "n.base").distinct()
+        for found in rounds:
+            up = up.join(found, ["node", "base"], "left_anti")
+        new = kept(up)
+        rounds.append(new)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def cycles(edges: DataFrame, to_col: str = "to_node", from_col: str = "from_node") -> DataFrame:

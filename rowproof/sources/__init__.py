@@ -50,10 +50,11 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_columns(spark: SparkSession, path: str) -> DataFrame:
-    """columns(uid, name, data_type, description): documented columns, names in lower case."""
+    """columns(uid, name, data_type, description): documented columns (of a project's file) or found ones (of its
+    catalog's file), names in lower case."""
     _entries(spark, path, "nodes", "sources").createOrReplaceTempView("__project_entries")
     return spark.sql(
-        "select uid, lower(c.key) as name, try_variant_get(c.value, '$.data_type', 'string') as data_type, try_variant_get(c.value, '$.description', 'string') as description "
+        "select uid, lower(c.key) as name, coalesce(try_variant_get(c.value, '$.data_type', 'string'), try_variant_get(c.value, '$.type', 'string')) as data_type, try_variant_get(c.value, '$.description', 'string') as description "
         "from __project_entries, lateral variant_explode_outer(try_variant_get(entry, '$.columns', 'variant')) as c where c.key is not null"
     )
 
