@@ -5,9 +5,10 @@ Unit vectors at cosine c are sqrt(2 - 2c) apart, so the threshold is a distance.
 * Upper level: every class goes to the nearest of some centres (fitted on a bounded sample). A cell with many classes
   is cut into rings by distance from its centre, so that one with a third of all rows is many blocks; a ring that is
   still too large, as its distances are equal, is cut by hash. A block holds about SPREAD times the square root of the
-  number of classes (BLOCK at least), so there are that few blocks, and copies of a row grow with the root as well.
-* Each block gets a cover tree, made once: nested levels with halving radii, each node with its measured covering
-  radius.
+  number of classes (BLOCK at least), so there are that few blocks, and copies of a row grow with the root as well. No
+  block has more than twice BLOCK_BYTES of vectors: larger tables get more blocks instead.
+* Each block gets a cover tree, made once: nested levels with halving radii, from 1 down to the first below the
+  threshold's distance, each node with its measured covering radius.
 * Blocks are numbered. A class meets its own block, and each earlier-numbered block's classes visit it: those whose
   distance to the block's centre is within its ring, widened by the threshold, and no others. The block is held, its
   visitors stream past it block by block, for GROUP blocks a task; each time both trees are descended, node pairs are
@@ -35,7 +36,8 @@ from rowproof.llm.vectors import matrix, sample, unit, usable
 SAMPLE, BLOCK, SPREAD = 16_384, 4096, 40
 #: Blocks whose classes visit a block in one task.
 GROUP = 8
-RADII = (1.0, 0.5, 0.25)
+#: Vectors of a block, in bytes as doubles; bytes of the distances that a task holds at a time.
+BLOCK_BYTES, HELD_BYTES = 64 << 20, 64 << 20
 #: Slack for rounding in pruning, which is done in single precision; cosines of pairs that are left are exact.
 SLACK = 1e-4
 
@@ -44,14 +46,24 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
-def nearest_centres(x: np.ndarray) -> np.ndarray:
-    """A row per level of RADII: for each row of x the row of its nearest centre on that level.
+def radii(distance: float) -> list[float]:
+    """1, 1/2, 1/4 and so on, down to the first below the distance, which is more than 0; three at least."""
+    return [0.5**i for i in range(max(3, math.floor(-math.log2(distance)) + 2))]
+
+
+def block_size(n: int, dims: int) -> int:
+    """Classes of a block, of n in all."""
+    return max(1, min(max(BLOCK, int(SPREAD * math.sqrt(n))), BLOCK_BYTES // (8 * max(dims, 1))))
+
+
+def nearest_centres(x: np.ndarray, levels_at: list[float]) -> np.ndarray:
+    """A row per radius: for each row of x the row of its nearest centre on that level.
 
     Centres are nested: those of a level are more than its radius apart, and no row is farther than the radius
     from its centre. A centre's distances are computed once, for many centres at a time.
     """
     near, far, levels = np.zeros(len(x), np.int64), np.full(len(x), np.inf), []
-    for r in RADII:
+    for r in levels_at:
         for i in range(0, len(x), 256):
             open_ = i + np.flatnonzero(far[i : i + 256] > r)
             if not len(open_):
@@ -62,11 +74,13 @@ def nearest_centres(x: np.ndarray) -> np.ndarray:
                 if free[k]:
                     new.append(open_[k])
                     free &= apart[k]
-            d = _distances(x, x[new])
-            at = d.argmin(axis=1)
-            d = d[np.arange(len(x)), at]
-            closer = d < far
-            near[closer], far[closer] = np.array(new)[at[closer]], d[closer]
+            step = max(1, HELD_BYTES // (8 * len(new)))
+            for j in range(0, len(x), step):
+                d = _distances(x[j : j + step], x[new])
+                at = d.argmin(axis=1)
+                d = d[np.arange(len(d)), at]
+                closer = np.flatnonzero(d < far[j : j + step])
+                near[j + closer], far[j + closer] = np.array(new)[at[closer]], d[closer]
         levels.append(near.copy())
     return np.stack(levels)
 
@@ -79,10 +93,10 @@ class CoverTree:
     greatest distance to a row below.
     """
 
-    def __init__(self, x: np.ndarray, near: np.ndarray | None = None, at: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, near: np.ndarray, at: np.ndarray | None = None):
         self.x, self.coarse = x, x.astype(np.float32)
         self.centre, home = [], []
-        for c in nearest_centres(x) if near is None else near:
+        for c in near:
             ids, first, own = np.unique(c, return_index=True, return_inverse=True)
             if at is not None:  # some rows of a block: where a centre is not among them, the first row stands for it
                 place = np.minimum(np.searchsorted(at, ids), len(at) - 1)
@@ -91,9 +105,9 @@ class CoverTree:
             home.append(own)
         self.members, self.starts, self.radius = [], [], []
         below = home[-1]  # of each row: its node on the level at hand
-        for level in range(len(RADII) - 1, -1, -1):
+        for level in range(len(near) - 1, -1, -1):
             held = home[-1]
-            if level < len(RADII) - 1:
+            if level < len(near) - 1:
                 held = home[level][self.centre[level + 1]]
                 below = held[below]
             order = np.argsort(held, kind="stable")
@@ -110,7 +124,8 @@ class CoverTree:
 def near_leaves(a: CoverTree, b: CoverTree, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row lists of a and b whose leaf nodes may hold a pair within the distance."""
     pairs = [(np.arange(len(a.centre[0])), np.arange(len(b.centre[0])))]
-    for level in range(len(RADII)):
+    last = len(a.centre) - 1
+    for level in range(last + 1):
         below = []
         for left, right in pairs:
             for i in range(0, len(left), 512):
@@ -123,7 +138,7 @@ def near_leaves(a: CoverTree, b: CoverTree, distance: float) -> Iterator[tuple[n
                 for p in np.flatnonzero(hit.any(axis=1)).tolist():
                     near = right[hit[p]]
                     own = a.held(level, int(part[p]))
-                    if level == len(RADII) - 1:
+                    if level == last:
                         for q in near.tolist():
                             yield own, b.held(level, q)
                     else:
@@ -143,9 +158,9 @@ def _labels(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
         la, lb = na, nb
 
 
-def _planted(t: pa.Table) -> pa.Table:
+def _planted(t: pa.Table, levels_at: list[float]) -> pa.Table:
     """A block's rows with their number in it and their nearest centres: what its cover tree is made of."""
-    near = nearest_centres(unit(matrix(t.column("v")))).astype(np.int32)
+    near = nearest_centres(unit(matrix(t.column("v"))), levels_at).astype(np.int32)
     lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, len(near), dtype=np.int32), pa.array(near.T.ravel()))
     return t.append_column("at", pa.array(np.arange(t.num_rows, dtype=np.int32))).append_column("near", lists)
 
@@ -167,7 +182,7 @@ class _Side:
 def _pair(a: _Side, b: _Side, cosine: float) -> np.ndarray:
     """Add to both sides' numbers of links (once where they are the same); returns spanning links (two rows of ids)."""
     edges: list[np.ndarray] = []
-    for own, other in near_leaves(a.tree, b.tree, math.sqrt(2.0 - 2.0 * cosine)):
+    for own, other in near_leaves(a.tree, b.tree, math.sqrt(max(0.0, 2.0 - 2.0 * cosine))):
         for i in range(0, len(own), 1024):
             rows = own[i : i + 1024]
             link = a.tree.x[rows] @ b.tree.x[other].T >= cosine
@@ -242,7 +257,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     sizes = [r.dims for r in classes.select(F.size("v").alias("dims")).distinct().collect()]  # few: a model gives one length
     links, edges = None, None
     for dims in sizes:
-        found = _found(classes.where(F.size("v") == dims), cosine)
+        found = _found(classes.where(F.size("v") == dims), cosine, dims)
         links = found if links is None else links.unionByName(found)
     if links is None:
         return x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -256,12 +271,13 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _found(classes: DataFrame, cosine: float) -> DataFrame:
+def _found(classes: DataFrame, cosine: float, dims: int) -> DataFrame:
     """(rep, h, links, low) from all blocks; vectors of one length."""
     spark, n = classes.sparkSession, classes.count()
-    size = max(BLOCK, int(SPREAD * math.sqrt(n)))
+    size = block_size(n, dims)
     top = codebook(unit(sample(classes, "rep", "v", SAMPLE)), -(-n // size))
-    reach = math.sqrt(2.0 - 2.0 * cosine) + SLACK
+    reach = math.sqrt(max(0.0, 2.0 - 2.0 * cosine)) + SLACK
+    levels_at = radii(reach)
     kind = classes.schema["v"].dataType.simpleString()
 
     def far(x: np.ndarray) -> np.ndarray:
@@ -285,7 +301,7 @@ def _found(classes: DataFrame, cosine: float) -> DataFrame:
     sizes = numbers.select("cell", "ring", "pieces").distinct()
     ringed = ringed.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("piece", F.pmod(F.col("h"), F.col("pieces")))  # a row per block at most
     planted = ringed.join(F.broadcast(numbers.drop("pieces")), ["cell", "ring", "piece"]).select("rep", "h", "n", "v", "block")
-    planted = written(planted.groupBy("block").applyInArrow(_planted, f"rep long, h long, n long, v {kind}, block long, at int, near array<int>"), "vector-trees")
+    planted = written(planted.groupBy("block").applyInArrow(lambda t: _planted(t, levels_at), f"rep long, h long, n long, v {kind}, block long, at int, near array<int>"), "vector-trees")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -49,6 +49,35 @@ def test_cover_tree_equals_brute_force(spark, monkeypatch, block):
     assert got == brute(data)
 
 
+@pytest.mark.parametrize("cosine", [0.7, 0.99, 0.9999])
+def test_cover_tree_at_other_thresholds_and_in_small_pieces(spark, monkeypatch, cosine):
+    monkeypatch.setattr(cover_tree, "BLOCK_BYTES", 8 * 12 * 40)
+    monkeypatch.setattr(cover_tree, "HELD_BYTES", 2048)
+    data = rows(220)
+    rng = np.random.default_rng(7)
+    close = np.array(data[5][1]) + 0.01 * rng.normal(size=(30, 12))
+    data += [(1000 + i, [float(x) for x in np.float32(v)]) for i, v in enumerate(close)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>"), cosine).collect())
+    assert got == brute(data, cosine)
+
+
+def test_radii_and_blocks_are_bounded():
+    for distance in (1.9, 0.6, 0.32, 0.15, 0.01, 1e-4):
+        r = cover_tree.radii(distance)
+        assert r[-1] < distance and (len(r) == 3 or r[-2] >= distance) and all(a == 2 * b for a, b in zip(r, r[1:], strict=False))
+    assert cover_tree.block_size(100, 64) == cover_tree.BLOCK and cover_tree.block_size(51_282, 64) == 9058
+    for n, dims in ((10**9, 64), (10**12, 4096), (5, 10**8)):
+        assert 1 <= cover_tree.block_size(n, dims) <= max(1, cover_tree.BLOCK_BYTES // (8 * dims))
+    x = np.random.default_rng(1).normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = cover_tree.nearest_centres(x, [1.0, 0.5, 0.25, 0.125])
+    for r, c in zip([1.0, 0.5, 0.25, 0.125], near, strict=True):
+        assert np.linalg.norm(x - x[c], axis=1).max() <= r + 1e-9
+        centres = x[np.unique(c)]
+        apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) + 9 * np.eye(len(centres))
+        assert apart.min() > r - 1e-9
+
+
 def test_cover_tree_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert cover_tree.near_vectors(spark.createDataFrame([], schema)).count() == 0
