@@ -11,15 +11,30 @@ _KINDS = ("model", "source", "seed", "snapshot")
 _MATERIALIZED = ("view", "table", "incremental", "materialized_view", "ephemeral", "snapshot")
 
 
+#: Sections of a project's file that are read, each a map from an identifier to an entry.
+_SECTIONS = ("nodes", "sources")
+
+
 def _entries(spark: SparkSession, path: str, *sections: str) -> DataFrame:
-    """(section, uid, entry variant): the objects of top-level sections; missing sections have none."""
-    text = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("j"))
-    out = None
-    for name in sections:
-        text.createOrReplaceTempView("__project_json")
-        one = spark.sql(f"select '{name}' as section, e.key as uid, e.value as entry from __project_json, lateral variant_explode_outer(try_variant_get(j, '$.{name}', 'variant')) as e where e.key is not null")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(section, uid, entry variant): the objects of top-level sections; missing sections, and those that are no
+    objects, have none. A file that is no JSON object, or breaks off before either section has ended, is an error.
+
+    The reader takes the file apart entry by entry, so that Spark's bound on one variant (128 MB) holds for an entry
+    and not for the file; a file is read by one task and its entries are dealt out afterwards.
+    """
+    schema = ", ".join([*(f"{name} map<string, variant>" for name in _SECTIONS), "__unread string"])
+    read = spark.read.json(path, schema, multiLine=True, columnNameOfCorruptRecord="__unread")
+    unread = F.col("__unread").isNotNull() & F.coalesce(*_SECTIONS).isNull()
+    sound = F.when(unread, F.raise_error(F.concat(F.lit("no project metadata: "), F.substring("__unread", 1, 80))))
+    found = [F.transform(F.map_entries(F.coalesce(sound.cast("map<string, variant>"), name)), lambda e, name=name: F.struct(F.lit(name).alias("section"), e.key.alias("uid"), e.value.alias("entry"))) for name in sections]
+    empty = F.array().cast("array<struct<section: string, uid: string, entry: variant>>")
+    return read.select(F.explode(F.concat(*(F.coalesce(x, empty) for x in found))).alias("e")).select("e.*").repartition("uid")
+
+
+def _exploded(df: DataFrame, path: str, name: str, within: str = "entry") -> DataFrame:
+    """A row for each child (name.key of objects, name.value) of the variant at a path of each row's variant."""
+    children = df.sparkSession.tvf.variant_explode_outer(F.try_variant_get(F.col(within).outer(), path, "variant"))
+    return df.lateralJoin(children.select(F.struct("key", "value").alias(name)))
 
 
 def _text(path: str):
@@ -37,7 +52,7 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     Unknown kinds and materialisations are "other"; status says whether there is compiled SQL ("not_compiled" and
     "absent" are gaps, not empty models); nodes written in Python count as compiled.
     """
-    x = _entries(spark, path, "nodes", "sources")
+    x = _entries(spark, path, *_SECTIONS)
     sql = _text("$.compiled_code")
     status = F.when(_text("$.language") == "python", "compiled").when(sql.isNotNull() & (F.trim(sql) != ""), "compiled").when(F.try_variant_get("entry", "$.compiled", "boolean"), "absent").otherwise("not_compiled")
     keys = F.coalesce(F.try_variant_get("entry", "$.config.unique_key", "array<string>"), F.when(_text("$.config.unique_key").isNotNull(), F.array(_text("$.config.unique_key"))), F.array().cast("array<string>"))
@@ -52,11 +67,9 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 def read_columns(spark: SparkSession, path: str) -> DataFrame:
     """columns(uid, name, data_type, description): documented columns (of a project's file) or found ones (of its
     catalog's file), names in lower case."""
-    _entries(spark, path, "nodes", "sources").createOrReplaceTempView("__project_entries")
-    return spark.sql(
-        "select uid, lower(c.key) as name, coalesce(try_variant_get(c.value, '$.data_type', 'string'), try_variant_get(c.value, '$.type', 'string')) as data_type, try_variant_get(c.value, '$.description', 'string') as description "
-        "from __project_entries, lateral variant_explode_outer(try_variant_get(entry, '$.columns', 'variant')) as c where c.key is not null"
-    )
+    x = _exploded(_entries(spark, path, *_SECTIONS), "$.columns", "c").where("c.key is not null")
+    kind = F.coalesce(F.try_variant_get("c.value", "$.data_type", "string"), F.try_variant_get("c.value", "$.type", "string"))
+    return x.select("uid", F.lower("c.key").alias("name"), kind.alias("data_type"), F.try_variant_get("c.value", "$.description", "string").alias("description"))
 
 
 def read_tests(spark: SparkSession, path: str) -> DataFrame:
@@ -77,16 +90,13 @@ def read_tests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_constraints(spark: SparkSession, path: str) -> DataFrame:
     """constraints(uid, type, columns): native constraints of models and of their columns, types in lower case."""
-    _entries(spark, path, "nodes").createOrReplaceTempView("__project_entries")
-    model = spark.sql(
-        "select uid, lower(try_variant_get(c.value, '$.type', 'string')) as type, transform(try_variant_get(c.value, '$.columns', 'array<string>'), x -> lower(x)) as columns "
-        "from __project_entries, lateral variant_explode_outer(try_variant_get(entry, '$.constraints', 'variant')) as c where c.value is not null"
-    )
-    own = spark.sql(
-        "select uid, lower(try_variant_get(k.value, '$.type', 'string')) as type, array(lower(c.key)) as columns from __project_entries, lateral variant_explode_outer(try_variant_get(entry, '$.columns', 'variant')) as c, "
-        "lateral variant_explode_outer(try_variant_get(c.value, '$.constraints', 'variant')) as k where c.key is not null and k.value is not null"
-    )
-    return model.unionByName(own).where("type is not null and columns is not null")
+    x = _entries(spark, path, "nodes")
+    model = _exploded(x, "$.constraints", "k").where("k.value is not null")
+    model = model.select("uid", "k", F.transform(F.try_variant_get("k.value", "$.columns", "array<string>"), F.lower).alias("columns"))
+    own = _exploded(x, "$.columns", "c").where("c.key is not null").select("uid", "c.key", "c.value")
+    own = _exploded(own, "$.constraints", "k", within="value").where("k.value is not null").select("uid", "k", F.array(F.lower("key")).alias("columns"))
+    kind = F.lower(F.try_variant_get("k.value", "$.type", "string"))
+    return model.unionByName(own).select("uid", kind.alias("type"), "columns").where("type is not null and columns is not null")
 
 
 def read_facts(spark: SparkSession, path: str, default_strategy: str | None = None) -> DataFrame:

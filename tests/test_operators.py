@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowproof import sources
@@ -255,6 +256,36 @@ def test_project_files(spark, tmp_path):
     assert [tuple(r) for r in spark.table("mart").collect()] == [(1, 2)]
 
 
+def test_project_files_of_odd_shapes(spark, tmp_path):
+    def written(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    before = {t.name for t in spark.catalog.listTables()}
+    assert sources.read_nodes(spark, written("none.json", "{}")).count() == 0
+    odd = written("odd.json", json.dumps({"nodes": {"a": {"name": "a", "columns": [1], "constraints": None}, "b": 5, "c": None}, "sources": [], "metadata": {"nodes": {"z": {}}}}))
+    assert {r.uid: r.name for r in sources.read_nodes(spark, odd).collect()} == {"a": "a", "b": None, "c": None}
+    assert sources.read_columns(spark, odd).count() == 0 and sources.read_constraints(spark, odd).count() == 0
+    held = written("held.json", json.dumps({"nodes": {"m": {"name": "m", "constraints": [{"type": "PRIMARY_KEY", "columns": ["A", "b"]}], "columns": {"V": {"constraints": [{"type": "not_null"}, {"type": None}]}}}}}, indent=1))
+    assert sorted((r.type, r.columns) for r in sources.read_constraints(spark, held).collect()) == [("not_null", ["v"]), ("primary_key", ["a", "b"])]
+    for name, text in (("cut.json", '{"nodes": {"a": {"name"'), ("list.json", "[1, 2]"), ("text.json", "nothing")):
+        with pytest.raises(Exception, match="no project metadata"):
+            sources.read_nodes(spark, written(name, text)).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_project_file_above_one_variant(spark, tmp_path):
+    sql = "select 1 as x --" + "x" * 5_000_000
+    path = str(tmp_path / "large.json")
+    with open(path, "w") as f:
+        f.write('{"metadata": {}, "nodes": {')
+        for i in range(30):
+            f.write(("," if i else "") + json.dumps(f"model.p.m{i}") + ":" + json.dumps({"name": f"m{i}", "resource_type": "model", "compiled_code": sql, "compiled": True}))
+        f.write("}}")
+    rows = sources.read_nodes(spark, path).select("name", "kind", "status", F.length("sql").alias("n")).collect()
+    assert sorted((r.name, r.kind, r.status, r.n) for r in rows) == sorted((f"m{i}", "model", "compiled", len(sql)) for i in range(30))
+
+
 def test_stream_first_rows(spark):
     stream = first_rows(read_files(spark, "/root/testdata/sf0.001", "events.parquet"), "ts", ["user_id"], "400 days")
     assert drain(stream.select("user_id")).count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
