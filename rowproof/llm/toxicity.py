@@ -113,7 +113,12 @@ class Model:
         self.weights, self.lam, self.k, self.coefficients = weights, lam, k, coefficients
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> list[float]:
-        """Of a text with n words: best normalised score, sum of the positive ones, number of significant ones, share."""
+        """Inputs of the logistic curve for a text with n words.
+
+        A constant; of scores normalised for the text's length (extreme-value law) the best, the sum of the positive
+        ones and the number of significant ones; and, not normalised, the best segment and all segments' sum against
+        the length. The curve weighs the latter two by itself.
+        """
         s = np.array([self.lam * x[2] for x in found]) - math.log(self.k * max(n, 1) + 1e-12)
         s = np.maximum(s, -12.0)
         best = float(s.max()) if len(s) else -12.0
