@@ -116,6 +116,23 @@ def test_dependencies_equal_exhaustive_search(spark, seed):
     assert not empty.keys and not empty.dependencies
 
 
+def test_dependencies_of_a_large_table_are_confirmed_on_all_rows(spark, monkeypatch):
+    """Witnesses refute most sets; a fact that only rows beyond them break is no fact."""
+    monkeypatch.setattr(dependencies, "WITNESSES", 40)
+    rows = [(i, i % 50, i % 10 if i != 333 else 99, i % 7 if i % 3 else None, "k" if i != 512 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, `e.f` string").withColumnRenamed("e.f", "e")
+    found = dependencies.Found(df, list("abcde"), 3)
+    value = lambda s: [tuple(r["abcde".index(c)] for c in sorted(s)) for r in rows]
+    size = lambda s: len(set(value(s)))
+    sets = [frozenset(s) for k in range(4) for s in combinations("abcde", k)]
+    gives = lambda s, a: size(s | {a}) == size(s)
+    assert set(found.keys) == {s for s in sets if s and size(s) == 1000 and not any(size(s - {c}) == 1000 for c in s)}
+    assert set(found.dependencies) == {(s, a) for s in sets if len(s) < 3 and size(s) < 1000 for a in "abcde" if a not in s and gives(s, a) and not any(gives(s - {c}, a) for c in s)}
+    assert 0 < len(found.confirmed) < sum(map(len, found.counted))
+    one = dependencies.Found(df.limit(1), ["a", "b"])
+    assert not one.keys and not one.dependencies
+
+
 def test_conditions_equal_exhaustive_search(spark):
     rng = random.Random(3)
     rows = [(rng.choice([None, *range(9)]), rng.choice(["x", "y", None]), rng.choice([1, 2, 3, None])) for _ in range(40)] + [(1, "z", 4), (2, "z", 4)]
