@@ -81,6 +81,13 @@ def test_permuted_aggregates(spark):
     assert {r.blocks for r in out.collect()} == {10}
 
 
+def test_permuted_rows_stay_in_order_with_many_groups_and_ties(spark):
+    """Neither more groups than an aggregate holds in memory nor ties of the order let a list depend on how rows arrive."""
+    df = spark.createDataFrame([(i // 3, (i * 7919) % 1000) for i in range(3000)], "at long, v long").repartition(5)
+    rows = permutation.variants(df, "at", block=10).groupBy("block", "variant").agg(F.collect_list(F.struct("part", "place", "v")).alias("held")).collect()
+    assert len(rows) > 1000 and all(r.held == sorted(r.held) for r in rows)
+
+
 def test_small_operators(spark):
     a = spark.createDataFrame([(1, 2, "p"), (2, 2, "q"), (None, 1, "r")], "k int, x int, name string")
     b = spark.createDataFrame([(1, 1, "s"), (2, 9, "t")], "k int, y int, name string")
