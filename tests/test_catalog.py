@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from rowproof import catalog
+from rowproof.operators import aggregates
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -46,6 +47,10 @@ def test_equals_sql(spark, con, name):
     assert rows(df.columns, got) == rows(expected_names, q.fetchall())
 
 
+def test_every_aggregate_is_measured_under_duplication(spark):
+    assert set(aggregates.REGISTRY) <= {r.aggregate for r in catalog.QUERIES["aggregate_duplication_effect"](spark, DIR).collect()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
