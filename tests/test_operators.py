@@ -157,6 +157,15 @@ def test_effective_strategy_and_replay(spark):
     assert tuple(replay.differences(lambda: df.limit(0)).first()) == (0, 0)
 
 
+def test_replays_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(replay, "ROWS", 100)
+    for n in (500, 5000):
+        make = lambda n=n: spark.range(n).select((F.col("id") % 400).alias("k"))
+        assert replay._counted(make).rdd.getNumPartitions() == 2 * n // 100
+        assert tuple(replay.differences(make).first()) == (0, 0)
+    assert tuple(replay.differences(lambda: spark.range(700).select(F.expr("uuid()").alias("u"))).first()) == (700, 700)
+
+
 def test_project_to_findings(spark, tmp_path):
     project_ = {
         "nodes": {
