@@ -58,10 +58,10 @@ union all select l_returnflag, 'pieces', sum(q)::double, 'piece', 1, 0 from l gr
 def unit_exponents(t):
     """Sums of prices, prices a piece and pieces with their units, two currencies and unknown ones among them."""
     currency = F.when(F.col("l_linestatus") == "F", "usd").when(F.col("l_suppkey") % 10 == 0, "eur").when(F.col("l_suppkey") % 25 == 1, None).otherwise("usd")
-    x = t.lineitem.withColumn("currency", currency)
+    x = units.gathered(t.lineitem.withColumn("currency", currency), ["l_returnflag"], ["currency"], {"price": "l_extendedprice", "pieces": "l_quantity"}, 2)
     a_piece = units.over(F.when(F.col("currency").isNotNull(), F.create_map(F.col("currency"), F.lit(1))), units.unit(piece=1))
     price = units.times(a_piece, units.unit(piece=1))
-    make = lambda df, what, measure, of: units.sums(df, ["l_returnflag"], measure, of, 2).withColumn("what", F.lit(what))
+    make = lambda df, what, measure, of: units.sums(df, ["l_returnflag"], measure, of, 2, rows="rows").withColumn("what", F.lit(what))
     usd = x.where(units.agree(price, units.unit(usd=1)))
     parts = [make(x, "price", "l_extendedprice", price), make(usd, "usd only", "l_extendedprice", price), make(usd, "price a piece", "l_extendedprice", a_piece), make(x, "pieces", "l_quantity", units.unit(piece=1))]
     out = parts[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowproof.functions import total
+from rowproof.functions import column, scaled
 
 
 def unit(**exponents: int) -> Column:
@@ -42,9 +42,23 @@ def agree(a: Column, b: Column) -> Column:
     return F.coalesce(written(a) == written(b), F.lit(False))
 
 
-def sums(df: DataFrame, keys: list[str], measure: str | Column, of: Column, scale: int | None = None) -> DataFrame:
+def gathered(df: DataFrame, keys: list[str], inputs: list[str], measures: dict[str, str | Column], scale: int | None = None) -> DataFrame:
+    """(keys, inputs, measures, rows): measures added up by group and by the columns that units are made of, with the number
+    of rows. Units are then made for few rows, and `sums` takes these sums with rows="rows"."""
+    by = [F.col(c).alias(f"__by_{c}") for c in inputs]
+    # as aggregates of their group, so that a filter on a unit is not moved back to the rows
+    x = df.groupBy(*keys, *by).agg(*(F.min(c).alias(c) for c in inputs), *(F.sum(scaled(m, scale)).alias(n) for n, m in measures.items()), F.count("*").alias("rows"))
+    return x.drop(*(f"__by_{c}" for c in inputs))
+
+
+def sums(df: DataFrame, keys: list[str], measure: str | Column, of: Column, scale: int | None = None, rows: str | Column | None = None) -> DataFrame:
     """(keys, total, unit, units, unknown): the sum of a measure and its unit by group; where rows disagree or a unit is
-    unknown the sum has no meaning and is NULL, with the number of units and of rows of unknown unit."""
-    x = df.groupBy(*keys).agg(total(measure, scale).alias("total"), F.min(written(of)).alias("unit"), F.count_distinct(written(of)).alias("units"), F.count_if(of.isNull()).alias("unknown"))
+    unknown the sum has no meaning and is NULL, with the number of units and of rows of unknown unit. `rows` says for how
+    many rows a row stands."""
+    n = F.count("*") if rows is None else F.sum(column(rows))
+    x = df.groupBy(*keys, written(of).alias("__unit")).agg(F.sum(scaled(measure, scale)).alias("__sum"), n.alias("__rows"))
+    # a row a unit: the units are counted as rows
+    unknown = F.coalesce(F.sum(F.when(F.col("__unit").isNull(), F.col("__rows"))), F.lit(0))
+    x = x.groupBy(*keys).agg(F.sum("__sum").cast("double").alias("total"), F.min("__unit").alias("unit"), F.count("__unit").alias("units"), unknown.alias("unknown"))
     sound = (F.col("units") == 1) & (F.col("unknown") == 0)
     return x.select(*keys, F.when(sound, F.col("total")).alias("total"), F.when(sound, F.col("unit")).alias("unit"), "units", "unknown")

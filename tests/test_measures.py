@@ -62,6 +62,17 @@ def test_units(spark):
     assert got == {"x": (10.0, "usd", 1, 0), "y": (None, None, 2, 0), "z": (None, None, 1, 1)}
 
 
+def test_units_of_gathered_rows(spark):
+    df = spark.createDataFrame([("x", 2.0, "usd"), ("x", 4.5, "usd"), ("y", 1.0, "usd"), ("y", 1.0, "eur"), ("y", 1.0, "eur"), ("z", 1.0, None), ("z", 1.0, None), ("z", 1.0, "usd")], "k string, v double, c string")
+    of = F.when(F.col("c").isNotNull(), F.create_map(F.col("c"), F.lit(1)))
+    got = units.gathered(df, ["k"], ["c"], {"v": "v"}, 2)
+    assert sorted((r.k, str(r.c), float(r.v), r.rows) for r in got.collect()) == [("x", "usd", 6.5, 2), ("y", "eur", 2.0, 2), ("y", "usd", 1.0, 1), ("z", "None", 2.0, 2), ("z", "usd", 1.0, 1)]
+    sums = {r.k: tuple(r)[1:] for r in units.sums(got, ["k"], "v", of, 2, rows="rows").collect()}
+    assert sums == {r.k: tuple(r)[1:] for r in units.sums(df, ["k"], "v", of, 2).collect()} == {"x": (6.5, "usd", 1, 0), "y": (None, None, 2, 0), "z": (None, None, 1, 2)}
+    only = units.sums(got.where(units.agree(of, units.unit(usd=1))), ["k"], "v", of, 2, rows="rows")
+    assert {r.k: r.total for r in only.collect()} == {"x": 6.5, "y": 1.0, "z": 1.0}
+
+
 def test_permuted_aggregates(spark):
     df = spark.createDataFrame([(i, (i * 7919) % 1000 - 500) for i in range(900)], "at long, v long").repartition(5)
 
