@@ -38,6 +38,23 @@ def test_overlaps_equal_pairs(spark):
     assert got == {x: (a.count(x), sum(valid(x) and valid(y) and y[0] <= x[1] and y[1] >= x[0] for y in b)) for x in a}
 
 
+def test_inequalities_read_rows_once(spark, monkeypatch):
+    """Rows that stand for many, more ranges for more values, and results that no longer read the tables."""
+    monkeypatch.setattr(inequality, "VALUES", 5)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def read(i):
+        seen.add(1)
+        return i // 2
+
+    df = spark.range(1000).select(read("id").alias("v"))
+    got = inequality.below(df, "v", spark.createDataFrame([(3, 2), (499, 5), (None, 1)], "w int, n long"), "w", parts=2, right_rows="n")
+    read_once = seen.value
+    assert got.count() == 500 and {(r.value, r.n_left, r.n_below) for r in got.where("value in (3, 4, 499)").collect()} == {(3, 2, 0), (4, 2, 2), (499, 2, 2)}
+    assert 0 < seen.value == read_once
+
+
 def test_json_paths(spark):
     docs = ['{"a": {"b": [1, {"c": null}, [2.5, "x"]]}, "d.e": 1}', '{"a": {"b": []}, "x y": true}', '{"a": 5}', "[1, 2]", "oops {", None, "null", '"text"', json.dumps({"l": {"m": {"n": {"o": {"p": [{"q": 1}, {"q": "r"}, {}]}}}}})]
     df = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
