@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowproof.functions import units
 from rowproof.operators import inequality, json_paths, permutation
 from rowproof.registry import query
+from rowproof.sources.shared import kept
 
 
 @query("""with o as (select o_orderdate, count(*) as n from orders group by 1), l as (select l_shipdate, count(*) as m from lineitem group by 1)
@@ -26,8 +27,8 @@ def version_overlaps(t):
     """Versions of orders that are valid at the same time, by status; without an end, or ending before they start, they
     overlap with none."""
     v = t.orders.select("o_orderstatus", F.col("o_orderdate").alias("s"), F.expr("case when o_custkey % 40 <> 0 then o_orderdate + make_interval(0, 0, 0, cast(o_custkey % 30 - 1 as int)) end").alias("e"))
-    n = inequality.overlaps(v, v, "s", "e").select(F.col("s").alias("s2"), F.col("e").alias("e2"), "n_overlaps")
-    a = v.groupBy("o_orderstatus", "s", "e").agg(F.count("*").alias("n"))
+    a = kept(v.groupBy("o_orderstatus", "s", "e").agg(F.count("*").alias("n")), "versions")
+    n = inequality.overlaps(a, a, "s", "e", rows="n").select(F.col("s").alias("s2"), F.col("e").alias("e2"), "n_overlaps")
     x = a.join(n, a["s"].eqNullSafe(n["s2"]) & a["e"].eqNullSafe(n["e2"]))
     return x.groupBy("o_orderstatus").agg(F.sum("n").alias("versions"), F.sum(F.col("n") * F.col("n_overlaps")).alias("overlaps"))
 
@@ -63,7 +64,7 @@ def unit_exponents(t):
     price = units.times(a_piece, units.unit(piece=1))
     make = lambda df, what, measure, of: units.sums(df, ["l_returnflag"], measure, of, 2, rows="rows").withColumn("what", F.lit(what))
     usd = x.where(units.agree(price, units.unit(usd=1)))
-    parts = [make(x, "price", "l_extendedprice", price), make(usd, "usd only", "l_extendedprice", price), make(usd, "price a piece", "l_extendedprice", a_piece), make(x, "pieces", "l_quantity", units.unit(piece=1))]
+    parts = [make(x, "price", "price", price), make(usd, "usd only", "price", price), make(usd, "price a piece", "price", a_piece), make(x, "pieces", "pieces", units.unit(piece=1))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
