@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows about, for the whole row and for each column with many values, that are searched first for rows that break facts.
 WITNESSES = 50_000
+#: Tasks that these rows are dealt to.
+TASKS = 32
 #: Columns at most in one pass with grouping sets (grouping_id has 64 bits).
 WIDEST = 60
 
@@ -62,7 +64,8 @@ class Found:
             return None
         many = [[c] for c, values in zip(names, row[1:], strict=True) if values >= 10 * share]
         picked = (F.pmod(F.xxhash64(*c), F.lit(share)) == 0 for c in [names, *many])
-        return self.df.where(reduce(lambda a, b: a | b, picked)).persist()
+        # a file of one row group is read by one task
+        return self.df.where(reduce(lambda a, b: a | b, picked)).repartition(TASKS).persist()
 
     def _open(self, s: frozenset[str]) -> bool:
         """Can the set be a key or a minimal determinant? Not if it contains a key or a dependency."""
