@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rowproof.llm import bpe, minhash, mixing, secret_scan
 from rowproof.llm import toxicity as tox
-from rowproof.llm.common import n_words, own_name, quoted, table, written
+from rowproof.llm.common import dropped, n_words, numbered, own_name, picked, quoted, table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +32,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words are like nothing: they stay, once for each id, and all of those without an id. An empty table stays
     empty.
     """
-    row = own_name("row", docs.columns)
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
-    found = minhash.near_duplicates(rows, k=5, percent=80, id_col=row).select(F.col("doc_id").alias("number"), "component_id")
+    row, chunk = own_name("row", docs.columns), own_name("chunk", docs.columns)
+    rows = numbered(docs, "pipeline-rows", row, chunk)
+    found = minhash.near_duplicates(rows, k=5, percent=80, id_col=row, chunk_col=chunk).select(F.col("doc_id").alias("number"), "component_id")
     named = rows.select(F.col(row).alias("number"), "doc_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number"))
     kept = written(found.join(named, "number").groupBy("component_id").agg(first.alias("first")).select(F.col("first.number").alias(row)), "pipeline-kept")
-    rows = rows.join(kept, row, "left_semi").select(*quoted(docs.columns))
+    dropped(found)
+    rows = picked(rows, kept, row, chunk).select(*quoted(docs.columns))
     wordless = (n_words(F.col("text")) == 0) & F.col("doc_id").isNotNull()
     return rows.where(~wordless).unionByName(rows.where(wordless).dropDuplicates(["doc_id"]))
 

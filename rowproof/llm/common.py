@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Low bits of a row's number within its chunk: 2,048 rows at most.
+CHUNK_BITS = 11
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -56,6 +58,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, row: str, chunk: str) -> DataFrame:
+    """df, written as written() does, with two columns more: a number for each row and the number of the row's chunk.
+
+    Chunks are neighbouring rows of a partition. The table is bucketed by chunk, which moves no row when it is written,
+    so picked() finds rows in it without a shuffle of the table. The catalog's entry goes at once, the files stay.
+    """
+    spark = df.sparkSession
+    path, entry = scratch(spark, name), f"rowproof_rows_{uuid.uuid4().hex}"
+    x = df.withColumn(row, F.monotonically_increasing_id())
+    x = x.withColumn(chunk, F.shiftright(F.col(row), CHUNK_BITS))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        x.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, chunk).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"drop table {entry}")
+    return out
+
+
+def picked(rows: DataFrame, numbers: DataFrame, row: str, chunk: str) -> DataFrame:
+    """The rows of a numbered() table whose number is in numbers (one column, named as row; none twice).
+
+    Numbers are gathered by chunk and go to the bucket that has it; the rows stay where they lie, at any size.
+    """
+    own = own_name("picked", rows.columns)
+    some = numbers.groupBy(F.shiftright(F.col(row), CHUNK_BITS).alias(chunk)).agg(F.collect_list(row).alias(own))
+    return rows.join(some.hint("shuffle_hash"), chunk).where(F.array_contains(own, F.col(row))).select(*quoted(rows.columns))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that written() made and nothing needs any more."""
     for x in tables:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.llm.common import documents, small_batches, table, written
+from rowproof.llm.common import documents, dropped, picked, small_batches, table, written
 from rowproof.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -175,13 +175,14 @@ def _across(percent: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_col: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row; ids are whole numbers.
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their shingle sets. component_id is
     the smallest id that links reach, kept says that it is the document's own. Texts without words (null, empty)
     and rows without an id are linked with nothing; rows that share an id count as one document, linked to what
-    any of them is linked to. An empty table gives no rows.
+    any of them is linked to. An empty table gives no rows. Where docs is a numbered() table and id_col its rows'
+    number, chunk_col spares a shuffle of the texts.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -196,7 +197,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = written(dealt.join(hubs, "value").select("value", "hub", "blocks", "node"), "minhash-buckets")
 
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = x.join(candidates, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "node long, n long, signature binary, bands binary, shingles binary")
+    if chunk_col is None:
+        texts = x.join(candidates, "doc_id", "left_semi")
+    else:
+        lying = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(chunk_col).alias("chunk"))
+        texts = documents(picked(lying, candidates, "doc_id", "chunk"))
+    sets = texts.mapInArrow(lambda it: _sets(it, k), "node long, n long, signature binary, bands binary, shingles binary")
     sets = written(sets, "minhash-sets")
 
     def side(c: str, *columns: tuple[str, str]) -> DataFrame:
@@ -222,6 +228,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
     cross = open_.join(sets, "node").groupBy("value", "i", "j").applyInArrow(_across(percent), "a long, b long")
     comps = components(links.unionByName(written(cross, "minhash-cross")))
+    dropped(sets)
 
     out = profiles.join(classes.select("digest", "node"), "digest", "left").select("doc_id", "n", F.when(real, F.col("node")).alias("node"))
     out = out.join(comps, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))

@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from rowproof.llm import minhash
+from rowproof.llm.common import numbered, picked, settings
 from rowproof.llm.words import load
 
 D = "/root/testdata/sf0.001"
@@ -72,6 +74,30 @@ def test_near_dedup_takes_rows_not_ids(spark):
     assert got == sorted([(1, a), (1, b), (None, c), (8, d), (3, ""), (4, None), (None, ""), (None, "")], key=str)
 
 
+def test_near_dedup_shuffles_no_texts(spark):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):  # as on tables too large to broadcast
+        plan = cp.near_dedup(spark, docs(spark), D)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row#" not in plan and "hashpartitioning(chunk#" not in plan
+
+
+def test_picked_rows_are_those_of_a_semi_join(spark):
+    x = spark.range(0, 9000, 1, 3).select(F.concat(F.lit("t"), F.col("id")).alias("a.b"), (F.col("id") % 7).alias("picked"))
+    rows = numbered(x, "test-rows", "n", "c")
+    assert rows.drop("n", "c").exceptAll(x).count() == 0 and rows.select("n").distinct().count() == rows.count() == 9000
+    assert rows.groupBy("c").count().agg(F.max("count")).first()[0] == 2048
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rowproof_rows")]
+    for some in (rows.where("picked = 3"), rows.limit(0), rows):
+        got = picked(rows, some.select("n"), "n", "c")
+        assert got.columns == rows.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(some.select("n"), "n", "left_semi").select(*[f"`{c}`" for c in rows.columns]).collect()))
+
+
+def test_near_duplicates_by_chunk_are_the_same(spark):
+    rows = numbered(docs(spark).repartition(3), "test-rows", "n", "c")
+    by_chunk, plain = (sorted(map(tuple, minhash.near_duplicates(rows, id_col="n", chunk_col=c).collect())) for c in ("c", None))
+    assert by_chunk == plain and len(plain) == docs(spark).count()
+
+
 def test_columns_with_clashing_and_dotted_names(spark):
     names = ["row", "_row", "spans", "masked", "a.b", "times", "number", "component_id", "key"]
     x = docs(spark).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
