@@ -38,6 +38,8 @@ SAMPLE, BLOCK, SPREAD = 16_384, 4096, 40
 GROUP = 8
 #: Vectors of a block, in bytes as doubles; bytes of the distances that a task holds at a time.
 BLOCK_BYTES, HELD_BYTES = 64 << 20, 64 << 20
+#: Nodes whose inner products with a block's are in one matrix; node or row pairs up to which members are paired one by one.
+TILE, FEW = (256, 2048), 512
 #: Slack for rounding in pruning, which is done in single precision; cosines of pairs that are left are exact.
 SLACK = 1e-4
 
@@ -46,6 +48,51 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
+def _apart(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of rows i of x from rows j, a pair at each place."""
+    out, step = np.empty(len(i)), max(1, HELD_BYTES // (16 * x.shape[1]))
+    for k in range(0, len(i), step):
+        out[k : k + step] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x[i[k : k + step]], x[j[k : k + step]])))
+    return out
+
+
+def _hits(products: np.ndarray, least: float) -> np.ndarray:
+    """Places in the matrix, row by row, of what is not below `least`."""
+    hit = (products >= least).reshape(-1)
+    if len(hit) % 8:
+        return np.flatnonzero(hit)
+    eights = np.flatnonzero(hit.view(np.uint64) != 0)  # hits are rare: eight places at a time
+    at = np.flatnonzero(hit.reshape(-1, 8)[eights].reshape(-1))
+    return eights[at >> 3] * 8 + (at & 7)
+
+
+def directions(x: np.ndarray, distance: float) -> np.ndarray | None:
+    """Orthonormal columns, in which most rows of x that are farther apart than the distance show it; None: no gain.
+
+    Rows' inner products are at most those of their parts in these directions, and the lengths of the rest multiplied.
+    The widest directions of x are taken, as many as cost least on pairs of rows: a direction's part in a product costs
+    one, a pair that is left 5,000.
+    """
+    n, dims = x.shape
+    wide = np.linalg.qr(np.random.default_rng(0).normal(size=(dims, min(dims, 64))))[0]
+    for _ in range(3):
+        wide = np.linalg.qr(x.T @ (x @ wide))[0]
+    wide = wide @ np.linalg.svd(x @ wide, full_matrices=False)[2].T
+    some, best, least = x[:: max(1, n // 512)][:512], None, float(dims)
+    for k in range(4, wide.shape[1] + 1, 4):
+        y = _parts(some, wide[:, :k])
+        share = (y @ y.T >= 1.0 - 0.5 * distance * distance - SLACK).sum() / max(1, len(y) ** 2) - 1 / max(1, len(y))
+        if k + 5000 * share < least:
+            best, least = wide[:, :k], k + 5000 * share
+    return best
+
+
+def _parts(x: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Rows' parts in these directions, and the lengths of the rest."""
+    y = x @ wide
+    return np.concatenate([y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1, keepdims=True)))], axis=1).astype(np.float32)
+
+
 def radii(distance: float) -> list[float]:
     """1, 1/2, 1/4 and so on, down to the first below the distance, which is more than 0; three at least."""
     return [0.5**i for i in range(max(3, math.floor(-math.log2(distance)) + 2))]
@@ -63,6 +110,7 @@ def nearest_centres(x: np.ndarray, levels_at: list[float]) -> np.ndarray:
     from its centre. A centre's distances are computed once, for many centres at a time.
     """
     near, far, levels = np.zeros(len(x), np.int64), np.full(len(x), np.inf), []
+    coarse = x.astype(np.float32)
     for r in levels_at:
         for i in range(0, len(x), 256):
             open_ = i + np.flatnonzero(far[i : i + 256] > r)
@@ -74,13 +122,24 @@ def nearest_centres(x: np.ndarray, levels_at: list[float]) -> np.ndarray:
                 if free[k]:
                     new.append(open_[k])
                     free &= apart[k]
-            step = max(1, HELD_BYTES // (8 * len(new)))
-            for j in range(0, len(x), step):
-                d = _distances(x[j : j + step], x[new])
-                at = d.argmin(axis=1)
-                d = d[np.arange(len(d)), at]
-                closer = np.flatnonzero(d < far[j : j + step])
-                near[j + closer], far[j + closer] = np.array(new)[at[closer]], d[closer]
+            new = np.array(new)
+            near[new], far[new] = new, 0.0
+            others = np.flatnonzero(far > 0)  # centres stay their own
+            step = max(1, min(TILE[1], HELD_BYTES // (16 * max(len(new), x.shape[1]))))
+            for j in range(0, len(others), step):
+                part = others[j : j + step]
+                at = _hits(coarse[part] @ coarse[new].T, 1.0 - 0.5 * r * r - SLACK)  # a row gets a centre within r, or becomes one
+                if len(at) * 16 > len(part) * len(new):
+                    d = _distances(x[part], x[new])
+                    to = d.argmin(axis=1)
+                    d, to = d[np.arange(len(d)), to], new[to]
+                else:  # few are that close
+                    row, to = at // len(new), new[at % len(new)]
+                    d = _apart(x, part[row], to)
+                    first = np.unique(row[order := np.lexsort((to, d, row))], return_index=True)[1]
+                    part, d, to = part[row[order[first]]], d[order[first]], to[order[first]]
+                closer = d < far[part]
+                near[part[closer]], far[part[closer]] = to[closer], d[closer]
         levels.append(near.copy())
     return np.stack(levels)
 
@@ -90,11 +149,12 @@ class CoverTree:
 
     near is what nearest_centres() says of a block, at which of its rows (in order) x has; all by default. members lists, level by level and node by node, what a node holds:
     nodes of the next level, or rows at the last one; starts has where each node's list begins; radius is the
-    greatest distance to a row below.
+    greatest distance to a row below. parts has the rows in the directions `wide`, or whole rows without any.
     """
 
-    def __init__(self, x: np.ndarray, near: np.ndarray, at: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, near: np.ndarray, at: np.ndarray | None = None, wide: np.ndarray | None = None):
         self.x, self.coarse = x, x.astype(np.float32)
+        self.parts = self.coarse if wide is None else _parts(x, wide)
         self.centre, home = [], []
         for c in near:
             ids, first, own = np.unique(c, return_index=True, return_inverse=True)
@@ -121,29 +181,106 @@ class CoverTree:
         return self.members[level][self.starts[level][node] : self.starts[level][node + 1]]
 
 
+def _within(a: CoverTree, b: CoverTree, level: int, p: np.ndarray, q: np.ndarray, distance: float) -> np.ndarray:
+    """Of nodes p of a and q of b, a pair at each place: true where rows of both may be within the distance."""
+    out, step = np.empty(len(p), bool), max(1, HELD_BYTES // (8 * a.x.shape[1]))
+    for i in range(0, len(p), step):
+        u, v = p[i : i + step], q[i : i + step]
+        cosine = np.einsum("ij,ij->i", a.coarse[a.centre[level][u]], b.coarse[b.centre[level][v]])
+        out[i : i + step] = cosine >= 1.0 - SLACK - 0.5 * (a.radius[level][u] + b.radius[level][v] + distance) ** 2
+    return out
+
+
+def _nodes_met(a: CoverTree, b: CoverTree, level: int, left: np.ndarray, right: np.ndarray, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes, one of each list, that may hold a pair within the distance.
+
+    Nodes of about one radius are together, so one bound holds for a matrix of products. Products of the nodes' parts
+    are not below those of whole centres; pairs that these leave are judged by the centres and their own radii.
+    """
+
+    def bands(t: CoverTree, nodes: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        radius = t.radius[level][nodes]
+        band = np.searchsorted([1e-6, 0.0625, 0.125, 0.25, 0.5, 0.75], radius)
+        return [(radius[own].max(), nodes[own], t.parts[t.centre[level][nodes[own]]]) for own in (np.flatnonzero(band == k) for k in np.unique(band))]
+
+    for r, p, x in bands(a, left):
+        for s, q, y in bands(b, right):
+            for j in range(0, len(q), TILE[1]):
+                across = np.ascontiguousarray(y[j : j + TILE[1]].T)
+                for i in range(0, len(p), TILE[0]):
+                    at = _hits(x[i : i + TILE[0]] @ across, 1.0 - SLACK - 0.5 * (r + s + distance) ** 2)
+                    if len(at) * 16 > across.shape[1] * TILE[0]:  # not few: all centres of the matrix at once
+                        u, v = p[i : i + TILE[0]], q[j : j + TILE[1]]
+                        reach = (a.radius[level][u][:, None] + (b.radius[level][v] + distance)).astype(np.float32)
+                        u_at, v_at = np.nonzero(a.coarse[a.centre[level][u]] @ b.coarse[b.centre[level][v]].T >= 1.0 - SLACK - 0.5 * reach * reach)
+                        yield u[u_at], v[v_at]
+                    elif len(at):
+                        u, v = p[i + at // across.shape[1]], q[j + at % across.shape[1]]
+                        good = _within(a, b, level, u, v, distance)
+                        yield u[good], v[good]
+
+
+def _members_met(a: CoverTree, b: CoverTree, level: int, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members of nodes p of a with members of nodes q of b, a pair of nodes at each place: all pairs, some at a time."""
+    start, other = a.starts[level][p], b.starts[level][q]
+    n = b.starts[level][q + 1] - other
+    ends = np.cumsum((a.starts[level][p + 1] - start) * n)
+    step = max(1, HELD_BYTES // (32 * a.x.shape[1]))
+    for i in range(0, int(ends[-1]) if len(ends) else 0, step):
+        flat = np.arange(i, min(i + step, int(ends[-1])))
+        pair = np.searchsorted(ends, flat, side="right")
+        flat -= np.where(pair > 0, ends[pair - 1], 0)
+        yield a.members[level][start[pair] + flat // n[pair]], b.members[level][other[pair] + flat % n[pair]]
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in fewer and longer arrays."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= 1 << 17:
+            yield np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held])
+            held, n = [], 0
+    if n:
+        yield np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held])
+
+
+def _by_size(a: CoverTree, b: CoverTree, level: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Pairs of nodes with few pairs of members; and each other node of a with all that it meets."""
+    sizes = np.diff(a.starts[level])[p] * np.diff(b.starts[level])[q]
+    few = sizes <= FEW
+    p, q, large, with_ = p[few], q[few], p[~few], q[~few]
+    order = np.argsort(large, kind="stable")
+    nodes, first = np.unique(large[order], return_index=True)
+    return p, q, list(zip(nodes.tolist(), np.split(with_[order], first[1:]), strict=True)) if len(nodes) else []
+
+
 def near_leaves(a: CoverTree, b: CoverTree, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row lists of a and b whose leaf nodes may hold a pair within the distance."""
-    pairs = [(np.arange(len(a.centre[0])), np.arange(len(b.centre[0])))]
-    last = len(a.centre) - 1
-    for level in range(last + 1):
-        below = []
-        for left, right in pairs:
-            for i in range(0, len(left), 512):
-                part = left[i : i + 512]
-                least = a.radius[level][part].astype(np.float32)[:, None] + (b.radius[level][right] + distance).astype(np.float32)
-                least *= least
-                least *= -0.5
-                least += 1.0 - SLACK  # centres within reach have at least this inner product
-                hit = a.coarse[a.centre[level][part]] @ b.coarse[b.centre[level][right]].T >= least
-                for p in np.flatnonzero(hit.any(axis=1)).tolist():
-                    near = right[hit[p]]
-                    own = a.held(level, int(part[p]))
-                    if level == last:
-                        for q in near.tolist():
-                            yield own, b.held(level, q)
-                    else:
-                        below.append((own, np.concatenate([b.held(level, q) for q in near.tolist()])))
-        pairs = below
+    """Leaf nodes of a and of b, a pair at each place, that may hold rows within the distance: both trees are descended.
+
+    The first levels are passed over where the next has less than twice the nodes: wide nodes of few rows prune little.
+    """
+    top, last = 0, len(a.centre) - 1
+    while top < last and all(len(t.centre[top + 1]) < 2 * len(t.centre[top]) for t in (a, b)):
+        top += 1
+
+    def below(level: int, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        p, q, large = _by_size(a, b, level, p, q)
+        for u, v in _members_met(a, b, level, p, q):
+            good = _within(a, b, level + 1, u, v, distance)
+            yield u[good], v[good]
+        for node, others in large:
+            yield from _nodes_met(a, b, level + 1, a.held(level, node), np.concatenate([b.held(level, k) for k in others.tolist()]), distance)
+
+    def descend(level: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for p, q in _gathered(pairs):
+            if level == last:
+                yield p, q
+            else:
+                yield from descend(level + 1, below(level, p, q))
+
+    yield from descend(top, _nodes_met(a, b, top, np.arange(len(a.centre[top])), np.arange(len(b.centre[top])), distance))
 
 
 def _labels(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,10 +305,10 @@ def _planted(t: pa.Table, levels_at: list[float]) -> pa.Table:
 class _Side:
     """A block's rows, or those of them that visit another, and their tree."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, wide: np.ndarray | None = None):
         t = t.sort_by("at")
         self.rep, self.h, self.n = (t.column(c).to_numpy() for c in ("rep", "h", "n"))
-        self.tree = CoverTree(unit(matrix(t.column("v"))), matrix(t.column("near"), np.int64).T, t.column("at").to_numpy())
+        self.tree = CoverTree(unit(matrix(t.column("v"))), matrix(t.column("near"), np.int64).T, t.column("at").to_numpy(), wide)
         self.links = np.zeros(len(self.rep), np.int64)
 
     def counts(self) -> list[np.ndarray]:
@@ -179,27 +316,62 @@ class _Side:
         return [self.rep[some], self.h[some], self.links[some]]
 
 
+def _spanning(edges: list[np.ndarray]) -> np.ndarray:
+    """Links (two rows of ids each) that join what these join: each id with the smallest that it reaches, if another."""
+    if not edges:
+        return np.zeros((2, 0), np.int64)
+    ids, at = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    low = np.arange(len(ids))
+    while True:
+        least, before = np.minimum(low[u], low[v]), low.copy()
+        for x in (u, v, before[u], before[v]):
+            np.minimum.at(low, x, least)
+        low = low[low]
+        if (low == before).all():
+            return np.stack([ids, ids[low]])[:, low != np.arange(len(ids))]
+
+
 def _pair(a: _Side, b: _Side, cosine: float) -> np.ndarray:
     """Add to both sides' numbers of links (once where they are the same); returns spanning links (two rows of ids)."""
     edges: list[np.ndarray] = []
-    for own, other in near_leaves(a.tree, b.tree, math.sqrt(max(0.0, 2.0 - 2.0 * cosine))):
-        for i in range(0, len(own), 1024):
-            rows = own[i : i + 1024]
-            link = a.tree.x[rows] @ b.tree.x[other].T >= cosine
+    last = len(a.tree.centre) - 1
+    for p, q in near_leaves(a.tree, b.tree, math.sqrt(max(0.0, 2.0 - 2.0 * cosine))):
+        p, q, large = _by_size(a.tree, b.tree, last, p, q)
+        for u, v in _members_met(a.tree, b.tree, last, p, q):
+            link = np.einsum("ij,ij->i", a.tree.x[u], b.tree.x[v]) >= cosine
             if a is b:
-                link &= rows[:, None] != other[None, :]
-            if not link.any():
-                continue
-            a.links[rows] += link @ b.n[other]
+                link &= u != v
+            u, v = u[link], v[link]
+            np.add.at(a.links, u, b.n[v])
             if a is not b:
-                b.links[other] += link.T @ a.n[rows]
-            la, lb = _labels(link, a.rep[rows], b.rep[other])
-            for ids, low in ((a.rep[rows], la), (b.rep[other], lb)):
-                edges.append(np.stack([ids, low])[:, ids != low])
-    return np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), np.int64)
-
-
-def _met(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+                np.add.at(b.links, v, a.n[u])
+            edges.append(np.stack([a.rep[u], b.rep[v]]))
+        for node, others in large:
+            own, other = a.tree.held(last, node), np.concatenate([b.tree.held(last, k) for k in others.tolist()])
+            for i in range(0, len(own), 1024):
+                for j in range(0, len(other), 8192):
+                    edges += _linked(a, b, own[i : i + 1024], other[j : j + 8192], cosine)
+        if sum(e.shape[1] for e in edges) > 1 << 20:
+            edges = [_spanning(edges)]
+    return _spanning(edges)
+
+
+def _linked(a: _Side, b: _Side, rows: np.ndarray, other: np.ndarray, cosine: float) -> list[np.ndarray]:
+    """_pair() for all rows of a list with all of another."""
+    link = a.tree.x[rows] @ b.tree.x[other].T >= cosine
+    if a is b:
+        link &= rows[:, None] != other[None, :]
+    if not link.any():
+        return []
+    a.links[rows] += link @ b.n[other]
+    if a is not b:
+        b.links[other] += link.T @ a.n[rows]
+    la, lb = _labels(link, a.rep[rows], b.rep[other])
+    return [np.stack([ids, low])[:, ids != low] for ids, low in ((a.rep[rows], la), (b.rep[other], lb))]
+
+
+def _met(batches: Iterator[pa.RecordBatch], cosine: float, wide: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Blocks with their visitors, block by block -> (rep, h, links, low): numbers of links, and spanning links."""
 
     def found(counts: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
@@ -209,7 +381,7 @@ def _met(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Record
 
     def met(key: tuple, t: pa.Table, held: _Side | None) -> tuple[_Side | None, list[pa.RecordBatch]]:
         block, group, side, _ = key
-        own = _Side(t)
+        own = _Side(t, wide)
         if side == 0:  # the block itself; it meets itself in the task of its own group
             return own, [found([np.zeros(0, np.int64)] * 3, _pair(own, own, cosine))] if group == block // GROUP else []
         edges = _pair(held, own, cosine)
@@ -266,7 +438,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     counts = links.groupBy("rep", "h").agg(F.sum("links").alias("links"))
     per_class = classes.join(counts, ["rep", "h"], "left").join(edges.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = x.withColumn("k", F.when(usable(F.col("v")) & F.col("vec_id").isNotNull(), F.col("v"))).join(per_class.withColumnRenamed("v", "k"), "k", "left")
+    out = x.withColumn("k", F.when(F.col("vec_id").isNotNull(), F.col("v"))).join(per_class.withColumnRenamed("v", "k"), "k", "left")  # classes have usable vectors only
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
@@ -275,8 +447,10 @@ def _found(classes: DataFrame, cosine: float, dims: int) -> DataFrame:
     """(rep, h, links, low) from all blocks; vectors of one length."""
     spark, n = classes.sparkSession, classes.count()
     size = block_size(n, dims)
-    top = codebook(unit(sample(classes, "rep", "v", SAMPLE)), -(-n // size))
+    some = unit(sample(classes, "rep", "v", SAMPLE))
+    top = codebook(some, -(-n // size))
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * cosine)) + SLACK
+    wide = directions(some, reach)
     levels_at = radii(reach)
     kind = classes.schema["v"].dataType.simpleString()
 
@@ -323,8 +497,9 @@ def _found(classes: DataFrame, cosine: float, dims: int) -> DataFrame:
 
     key = ["block", "group"]
     dealt = planted.mapInArrow(deal, f"block long, group long, side long, from_ long, rep long, h long, n long, v {kind}, at int, near array<int>")
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "side", "from_", "at")
-    return dealt.mapInArrow(lambda it: _met(it, cosine), "rep long, h long, links long, low long")
+    keys = sum(i // GROUP + 1 for i in range(len(blocks)))
+    dealt = dealt.repartition(max(4 * keys, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key).sortWithinPartitions(*key, "side", "from_", "at")
+    return dealt.mapInArrow(lambda it: _met(it, cosine, wide), "rep long, h long, links long, low long")
 
 
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,65 @@ def test_radii_and_blocks_are_bounded():
         assert apart.min() > r - 1e-9
 
 
+def test_blocks_without_structure_are_met_in_whole_matrices(monkeypatch):
+    """Vectors far apart, some of them within the widest radius, and near copies: no node is looked at by itself for each pair."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 48))
+    x[3000:3100] = x[:100] + 0.15 * rng.normal(size=(100, 48))
+    x[100:140] = x[3000] + 0.1 * rng.normal(size=(40, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def side(ids):
+        n = pa.array(np.ones(len(ids), np.int64))
+        v = pa.ListArray.from_arrays(np.arange(0, 48 * len(ids) + 1, 48, dtype=np.int32), pa.array(x[ids].ravel()))
+        return cover_tree._Side(cover_tree._planted(pa.table({"rep": ids, "h": ids, "n": n, "v": v}), cover_tree.radii(0.3163)))
+
+    a, b = side(np.arange(3000)), side(np.arange(3000, 6000))
+    asked, held = [], cover_tree.CoverTree.held
+    monkeypatch.setattr(cover_tree.CoverTree, "held", lambda t, level, node: asked.append(node) or held(t, level, node))
+    link = x[:3000] @ x[3000:].T >= 0.95
+    edges = cover_tree._pair(a, b, 0.95)
+    assert link.sum() > 50 and (a.links == link.sum(axis=1)).all() and (b.links == link.sum(axis=0)).all()
+    assert len(asked) < 6000
+    linked = set(np.flatnonzero(link.any(axis=1)).tolist()) | set((3000 + np.flatnonzero(link.any(axis=0))).tolist())
+    assert set(edges.ravel().tolist()) == linked
+    own = x[:3000] @ x[:3000].T >= 0.95
+    cover_tree._pair(c := side(np.arange(3000)), c, 0.95)
+    assert (c.links == own.sum(axis=1) - 1).all()
+
+
+def test_directions_only_refute():
+    rng = np.random.default_rng(6)
+    for x in (rng.normal(size=(900, 64)), rng.normal(size=(900, 4)) @ rng.normal(size=(4, 40)) + 0.2 * rng.normal(size=(900, 40)), rng.normal(size=(5, 30)), np.ones((3, 1)), rng.normal(size=(700, 3))):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for distance in (0.3163, 0.8, 1.3):
+            wide = cover_tree.directions(x, distance)
+            if wide is not None:
+                y = cover_tree._parts(x, wide)
+                assert y.shape[1] <= x.shape[1] and (y @ y.T >= x @ x.T - cover_tree.SLACK / 2).all()
+    x = rng.normal(size=(2000, 64))
+    assert cover_tree.directions(x / np.linalg.norm(x, axis=1, keepdims=True), 0.3163).shape[1] <= 32
+
+
+def test_spanning_links_join_what_links_join():
+    rng = np.random.default_rng(8)
+    for n in (1, 30, 400):
+        path = np.stack([np.arange(n), np.arange(1, n + 1)]) * 3
+        edges = [path[:, rng.permutation(n)], 5000 + rng.integers(0, 300, (2, 200))]
+        got = cover_tree._spanning(edges)
+        parent = {}
+
+        def find(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for u, v in np.concatenate(edges, axis=1).T.tolist():
+            p, q = sorted((find(u), find(v)))
+            parent[q] = p
+        assert sorted(map(tuple, got.T.tolist())) == sorted((x, find(x)) for x in list(parent) if find(x) != x)
+
+
 def test_cover_tree_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert cover_tree.near_vectors(spark.createDataFrame([], schema)).count() == 0
