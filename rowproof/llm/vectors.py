@@ -23,6 +23,32 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
+def packed(column: pa.ListArray, good: pa.BooleanArray, kind: str) -> pa.Array:
+    """Vectors (lists of numbers) as the bytes of numpy's type `kind`, -0 as 0; null where good is false, or a vector is null,
+    all zero, or has components that are null or not finite."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    x = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # null as nan
+    ends -= ends[0]
+
+    def count(at: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(at)])
+        return sums[ends[1:]] - sums[ends[:-1]]
+
+    use = good.to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False) & (count(~np.isfinite(x)) == 0) & (count(x != 0) > 0)
+    at = pa.array((ends * x.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(column), [pa.array(use).buffers()[1], at.buffers()[1], pa.py_buffer(x.tobytes())])
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """What packed() gave for vectors of one length, as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(kind).astype(np.float64).reshape(len(column), -1)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, without overflow or underflow on the way."""
     x = x / np.abs(x).max(axis=1, keepdims=True)

@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowproof.llm import cover_tree, multi_index
+from rowproof.llm import cover_tree, multi_index, vectors
 
 
 def brute(rows, cosine=0.95):
@@ -89,8 +89,8 @@ def test_blocks_without_structure_are_met_in_whole_matrices(monkeypatch):
 
     def side(ids):
         n = pa.array(np.ones(len(ids), np.int64))
-        v = pa.ListArray.from_arrays(np.arange(0, 48 * len(ids) + 1, 48, dtype=np.int32), pa.array(x[ids].ravel()))
-        return cover_tree._Side(cover_tree._planted(pa.table({"rep": ids, "h": ids, "n": n, "v": v}), cover_tree.radii(0.3163)))
+        v = vectors.packed(pa.ListArray.from_arrays(np.arange(0, 48 * len(ids) + 1, 48, dtype=np.int32), pa.array(x[ids].ravel())), n.is_valid(), "f8")
+        return cover_tree._Side(cover_tree._planted(pa.table({"rep": ids, "h": ids, "n": n, "v": v}), cover_tree.radii(0.3163), "f8"), None, "f8")
 
     a, b = side(np.arange(3000)), side(np.arange(3000, 6000))
     asked, held = [], cover_tree.CoverTree.held
@@ -106,6 +106,17 @@ def test_blocks_without_structure_are_met_in_whole_matrices(monkeypatch):
     assert (c.links == own.sum(axis=1) - 1).all()
 
 
+@pytest.mark.parametrize("kind", ["f4", "f8"])
+def test_packed_vectors(kind):
+    data = [[1.0, -0.0], None, [0.0, -0.0], [], [2.0, None], [1e30, float("inf")], [float("nan"), 1.0], [3.0, 4.0], [5.0, 6.0], [1.0, 0.0], [7.0, 8.0]]
+    column = pa.array([[9.0], *data, [9.0]], pa.list_(pa.float32() if kind == "f4" else pa.float64())).slice(1, len(data))
+    got = vectors.packed(column, pa.array([i != 8 for i in range(len(data))]), kind)
+    assert got.is_valid().to_pylist() == [i in (0, 7, 9, 10) for i in range(len(data))] and got[0] == got[9]
+    assert vectors.unpacked(got.drop_null(), kind).tolist() == [[1, 0], [3, 4], [1, 0], [7, 8]]
+    assert vectors.unpacked(pa.chunked_array([got.slice(9, 2), got.slice(7, 1)]), kind).tolist() == [[1, 0], [7, 8], [3, 4]]
+    assert vectors.packed(column.slice(0, 0), pa.array([], pa.bool_()), kind).to_pylist() == []
+
+
 def test_directions_only_refute():
     rng = np.random.default_rng(6)
     for x in (rng.normal(size=(900, 64)), rng.normal(size=(900, 4)) @ rng.normal(size=(4, 40)) + 0.2 * rng.normal(size=(900, 40)), rng.normal(size=(5, 30)), np.ones((3, 1)), rng.normal(size=(700, 3))):
