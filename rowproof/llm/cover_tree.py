@@ -44,15 +44,19 @@ TILE, FEW = (512, 1024), 512
 SLACK = 1e-4
 
 
+#: Rows or nodes of two trees: a pair at each place, or, if the last is true, each of the first with each of the second.
+Met = tuple[np.ndarray, np.ndarray, bool]
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
-def _apart(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Distances of rows i of x from rows j, a pair at each place."""
+def _cosines(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of rows i of x and rows j of y, a pair at each place."""
     out, step = np.empty(len(i)), max(1, HELD_BYTES // (16 * x.shape[1]))
     for k in range(0, len(i), step):
-        out[k : k + step] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x[i[k : k + step]], x[j[k : k + step]])))
+        out[k : k + step] = np.einsum("ij,ij->i", x[i[k : k + step]], y[j[k : k + step]])
     return out
 
 
@@ -135,7 +139,7 @@ def nearest_centres(x: np.ndarray, levels_at: list[float]) -> np.ndarray:
                     d, to = d[np.arange(len(d)), to], new[to]
                 else:  # few are that close
                     row, to = at // len(new), new[at % len(new)]
-                    d = _apart(x, part[row], to)
+                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * _cosines(x, part[row], x, to)))
                     first = np.unique(row[order := np.lexsort((to, d, row))], return_index=True)[1]
                     part, d, to = part[row[order[first]]], d[order[first]], to[order[first]]
                 closer = d < far[part]
@@ -183,15 +187,11 @@ class CoverTree:
 
 def _within(a: CoverTree, b: CoverTree, level: int, p: np.ndarray, q: np.ndarray, distance: float) -> np.ndarray:
     """Of nodes p of a and q of b, a pair at each place: true where rows of both may be within the distance."""
-    out, step = np.empty(len(p), bool), max(1, HELD_BYTES // (8 * a.x.shape[1]))
-    for i in range(0, len(p), step):
-        u, v = p[i : i + step], q[i : i + step]
-        cosine = np.einsum("ij,ij->i", a.coarse[a.centre[level][u]], b.coarse[b.centre[level][v]])
-        out[i : i + step] = cosine >= 1.0 - SLACK - 0.5 * (a.radius[level][u] + b.radius[level][v] + distance) ** 2
-    return out
+    cosines = _cosines(a.coarse, a.centre[level][p], b.coarse, b.centre[level][q])
+    return cosines >= 1.0 - SLACK - 0.5 * (a.radius[level][p] + b.radius[level][q] + distance) ** 2
 
 
-def _nodes_met(a: CoverTree, b: CoverTree, level: int, left: np.ndarray, right: np.ndarray, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _nodes_met(a: CoverTree, b: CoverTree, level: int, left: np.ndarray, right: np.ndarray, distance: float) -> Iterator[Met]:
     """Pairs of nodes, one of each list, that may hold a pair within the distance.
 
     Nodes of about one radius are together, so one bound holds for a matrix of products. Products of the nodes' parts
@@ -209,15 +209,19 @@ def _nodes_met(a: CoverTree, b: CoverTree, level: int, left: np.ndarray, right:
                 across = np.ascontiguousarray(y[j : j + TILE[1]].T)
                 for i in range(0, len(p), TILE[0]):
                     at = _hits(x[i : i + TILE[0]] @ across, 1.0 - SLACK - 0.5 * (r + s + distance) ** 2)
-                    if len(at) * 16 > across.shape[1] * TILE[0]:  # not few: all centres of the matrix at once
-                        u, v = p[i : i + TILE[0]], q[j : j + TILE[1]]
+                    u, v = p[i : i + TILE[0]], q[j : j + TILE[1]]
+                    if len(at) * 16 > len(u) * len(v):  # not few: all centres of the matrix at once
                         reach = (a.radius[level][u][:, None] + (b.radius[level][v] + distance)).astype(np.float32)
-                        u_at, v_at = np.nonzero(a.coarse[a.centre[level][u]] @ b.coarse[b.centre[level][v]].T >= 1.0 - SLACK - 0.5 * reach * reach)
-                        yield u[u_at], v[v_at]
+                        hit = a.coarse[a.centre[level][u]] @ b.coarse[b.centre[level][v]].T >= 1.0 - SLACK - 0.5 * reach * reach
+                        if np.count_nonzero(hit) * 16 > hit.size:
+                            yield u[hit.any(axis=1)], v[hit.any(axis=0)], True
+                        else:
+                            row, column = np.nonzero(hit)
+                            yield u[row], v[column], False
                     elif len(at):
-                        u, v = p[i + at // across.shape[1]], q[j + at % across.shape[1]]
+                        u, v = u[at // len(v)], v[at % len(v)]
                         good = _within(a, b, level, u, v, distance)
-                        yield u[good], v[good]
+                        yield u[good], v[good], False
 
 
 def _members_met(a: CoverTree, b: CoverTree, level: int, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -233,17 +237,24 @@ def _members_met(a: CoverTree, b: CoverTree, level: int, p: np.ndarray, q: np.nd
         yield a.members[level][start[pair] + flat // n[pair]], b.members[level][other[pair] + flat % n[pair]]
 
 
-def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same pairs in fewer and longer arrays."""
+def _gathered(met: Iterator[Met]) -> Iterator[Met]:
+    """The same, with single pairs in fewer and longer arrays."""
     held, n = [], 0
-    for pair in pairs:
-        held.append(pair)
-        n += len(pair[0])
+
+    def taken() -> Met:
+        return np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held]), False
+
+    for u, v, crossed in met:
+        if crossed:
+            yield u, v, True
+            continue
+        held.append((u, v))
+        n += len(u)
         if n >= 1 << 17:
-            yield np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held])
+            yield taken()
             held, n = [], 0
     if n:
-        yield np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held])
+        yield taken()
 
 
 def _by_size(a: CoverTree, b: CoverTree, level: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -256,43 +267,73 @@ def _by_size(a: CoverTree, b: CoverTree, level: int, p: np.ndarray, q: np.ndarra
     return p, q, list(zip(nodes.tolist(), np.split(with_[order], first[1:]), strict=True)) if len(nodes) else []
 
 
-def near_leaves(a: CoverTree, b: CoverTree, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Leaf nodes of a and of b, a pair at each place, that may hold rows within the distance: both trees are descended.
+def _below(a: CoverTree, b: CoverTree, level: int, met: Iterator[Met], distance: float) -> Iterator[Met]:
+    """Of nodes met on a level, the nodes of the next one that may hold rows within the distance; of leaf nodes, the rows."""
+    last = level == len(a.centre) - 1
+
+    def crossed_(p: np.ndarray, q: np.ndarray) -> Iterator[Met]:
+        u, v = (np.concatenate([t.held(level, k) for k in nodes.tolist()]) for t, nodes in ((a, p), (b, q)))
+        return iter([(u, v, True)]) if last else _nodes_met(a, b, level + 1, u, v, distance)
+
+    for p, q, crossed in _gathered(met):
+        if crossed:
+            yield from crossed_(p, q)
+            continue
+        p, q, large = _by_size(a, b, level, p, q)
+        for u, v in _members_met(a, b, level, p, q):
+            if not last:
+                good = _within(a, b, level + 1, u, v, distance)
+                u, v = u[good], v[good]
+            yield u, v, False
+        for node, others in large:
+            yield from crossed_(np.array([node]), others)
+
+
+def near_rows(a: CoverTree, b: CoverTree, distance: float) -> Iterator[Met]:
+    """Rows of a and of b that may be within the distance: both trees are descended.
 
     The first levels are passed over where the next has less than twice the nodes: wide nodes of few rows prune little.
     """
     top, last = 0, len(a.centre) - 1
     while top < last and all(len(t.centre[top + 1]) < 2 * len(t.centre[top]) for t in (a, b)):
         top += 1
+    met = _nodes_met(a, b, top, np.arange(len(a.centre[top])), np.arange(len(b.centre[top])), distance)
+    for level in range(top, last + 1):
+        met = _below(a, b, level, met, distance)
+    return met
 
-    def below(level: int, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        p, q, large = _by_size(a, b, level, p, q)
-        for u, v in _members_met(a, b, level, p, q):
-            good = _within(a, b, level + 1, u, v, distance)
-            yield u[good], v[good]
-        for node, others in large:
-            yield from _nodes_met(a, b, level + 1, a.held(level, node), np.concatenate([b.held(level, k) for k in others.tolist()]), distance)
 
-    def descend(level: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for p, q in _gathered(pairs):
-            if level == last:
-                yield p, q
-            else:
-                yield from descend(level + 1, below(level, p, q))
+def _lowest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For 0 to n - 1 the smallest number that it reaches by the links of u with v."""
+    low = np.arange(n)
+    while True:
+        least, before = np.minimum(low[u], low[v]), low.copy()
+        for x in (u, v, before[u], before[v]):
+            np.minimum.at(low, x, least)
+        low = low[low]
+        if (low == before).all():
+            return low
 
-    yield from descend(top, _nodes_met(a, b, top, np.arange(len(a.centre[top])), np.arange(len(b.centre[top])), distance))
 
+def _joining(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Some links of a link matrix (two rows of ids) that join what all of them join.
 
-def _labels(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows and columns of a link matrix: the smallest id in their component of it (their own if unlinked)."""
-    big = np.iinfo(np.int64).max
-    la, lb = left.copy(), right.copy()
+    Each row and each column with a link to another component takes its first one, until there is none.
+    """
+    rows, columns = link.shape
+    u, v, low, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), None, link
     while True:
-        nb = np.minimum(lb, np.where(link, la[:, None], big).min(axis=0))
-        na = np.minimum(la, np.where(link, nb[None, :], big).min(axis=1))
-        if (na == la).all() and (nb == lb).all():
-            return la, lb
-        la, lb = na, nb
+        first, first_row = open_.argmax(axis=1), open_.argmax(axis=0)
+        row, column = np.flatnonzero(open_[np.arange(rows), first]), np.flatnonzero(open_[first_row, np.arange(columns)])
+        if not len(row):
+            break
+        u, v = np.concatenate([u, row, first_row[column]]), np.concatenate([v, rows + first[row], rows + column])
+        low = _lowest(rows + columns, u, v)
+        if low[u].max() == low[u].min():
+            break
+        open_ = link & (low[:rows, None] != low[None, rows:])
+    ids = np.concatenate([left, right])
+    return np.stack([ids[u], ids[v]])
 
 
 def _planted(t: pa.Table, levels_at: list[float], kind: str = "f4") -> pa.Table:
@@ -321,25 +362,20 @@ def _spanning(edges: list[np.ndarray]) -> np.ndarray:
     if not edges:
         return np.zeros((2, 0), np.int64)
     ids, at = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
-    u, v = at.reshape(2, -1)
-    low = np.arange(len(ids))
-    while True:
-        least, before = np.minimum(low[u], low[v]), low.copy()
-        for x in (u, v, before[u], before[v]):
-            np.minimum.at(low, x, least)
-        low = low[low]
-        if (low == before).all():
-            return np.stack([ids, ids[low]])[:, low != np.arange(len(ids))]
+    low = _lowest(len(ids), *at.reshape(2, -1))
+    return np.stack([ids, ids[low]])[:, low != np.arange(len(ids))]
 
 
 def _pair(a: _Side, b: _Side, cosine: float) -> np.ndarray:
     """Add to both sides' numbers of links (once where they are the same); returns spanning links (two rows of ids)."""
     edges: list[np.ndarray] = []
-    last = len(a.tree.centre) - 1
-    for p, q in near_leaves(a.tree, b.tree, math.sqrt(max(0.0, 2.0 - 2.0 * cosine))):
-        p, q, large = _by_size(a.tree, b.tree, last, p, q)
-        for u, v in _members_met(a.tree, b.tree, last, p, q):
-            link = np.einsum("ij,ij->i", a.tree.x[u], b.tree.x[v]) >= cosine
+    for u, v, crossed in near_rows(a.tree, b.tree, math.sqrt(max(0.0, 2.0 - 2.0 * cosine))):
+        if crossed:
+            for i in range(0, len(u), 1024):
+                for j in range(0, len(v), 2048):
+                    edges += _linked(a, b, u[i : i + 1024], v[j : j + 2048], cosine)
+        else:
+            link = _cosines(a.tree.x, u, b.tree.x, v) >= cosine
             if a is b:
                 link &= u != v
             u, v = u[link], v[link]
@@ -347,28 +383,34 @@ def _pair(a: _Side, b: _Side, cosine: float) -> np.ndarray:
             if a is not b:
                 np.add.at(b.links, v, a.n[u])
             edges.append(np.stack([a.rep[u], b.rep[v]]))
-        for node, others in large:
-            own, other = a.tree.held(last, node), np.concatenate([b.tree.held(last, k) for k in others.tolist()])
-            for i in range(0, len(own), 1024):
-                for j in range(0, len(other), 8192):
-                    edges += _linked(a, b, own[i : i + 1024], other[j : j + 8192], cosine)
-        if sum(e.shape[1] for e in edges) > 1 << 20:
+        if sum(e.shape[1] for e in edges) > 1 << 20 or len(edges) > 4096:
             edges = [_spanning(edges)]
     return _spanning(edges)
 
 
 def _linked(a: _Side, b: _Side, rows: np.ndarray, other: np.ndarray, cosine: float) -> list[np.ndarray]:
-    """_pair() for all rows of a list with all of another."""
-    link = a.tree.x[rows] @ b.tree.x[other].T >= cosine
+    """_pair() for all rows of a list with all of another: in single precision, and where that leaves it open in double."""
+    products = a.tree.coarse[rows] @ b.tree.coarse[other].T
+    link = products >= cosine + SLACK
+    open_ = _hits((products >= cosine - SLACK) != link, True)
+    if len(open_) * 16 > link.size:
+        link = a.tree.x[rows] @ b.tree.x[other].T >= cosine
+    elif len(open_):
+        link.reshape(-1)[open_] = _cosines(a.tree.x, rows[open_ // len(other)], b.tree.x, other[open_ % len(other)]) >= cosine
     if a is b:
         link &= rows[:, None] != other[None, :]
     if not link.any():
         return []
-    a.links[rows] += link @ b.n[other]
+
+    def added(links: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if n.sum() < 1 << 24:  # exact in single precision
+            return (links.astype(np.float32) @ n.astype(np.float32)).astype(np.int64)
+        return links @ n
+
+    a.links[rows] += added(link, b.n[other])
     if a is not b:
-        b.links[other] += link.T @ a.n[rows]
-    la, lb = _labels(link, a.rep[rows], b.rep[other])
-    return [np.stack([ids, low])[:, ids != low] for ids, low in ((a.rep[rows], la), (b.rep[other], lb))]
+        b.links[other] += added(link.T, a.n[rows])
+    return [_joining(link, a.rep[rows], b.rep[other])]
 
 
 def _met(batches: Iterator[pa.RecordBatch], cosine: float, wide: np.ndarray | None, kind: str) -> Iterator[pa.RecordBatch]:

@@ -79,6 +79,44 @@ def test_radii_and_blocks_are_bounded():
         assert apart.min() > r - 1e-9
 
 
+def side(x, ids, n=None, wide=None):
+    n = pa.array(np.ones(len(ids), np.int64) if n is None else n)
+    v = vectors.packed(pa.ListArray.from_arrays(np.arange(0, x.shape[1] * len(ids) + 1, x.shape[1], dtype=np.int32), pa.array(x[ids].ravel())), n.is_valid(), "f8")
+    return cover_tree._Side(cover_tree._planted(pa.table({"rep": ids, "h": ids, "n": n, "v": v}), cover_tree.radii(0.3163), "f8"), wide, "f8")
+
+
+@pytest.mark.parametrize("kind", ["tight", "edge", "loose", "centres", "flat"])
+@pytest.mark.parametrize("held", [64 << 20, 4096])
+def test_blocks_of_any_structure(monkeypatch, kind, held):
+    """Numbers of links and what links join equal brute force; few rows and nodes are looked at pair by pair."""
+    monkeypatch.setattr(cover_tree, "HELD_BYTES", held)
+    rng, n = np.random.default_rng(11), 700
+    one, some = rng.normal(size=24), rng.normal(size=(30, 24))
+    x = {
+        "tight": lambda: one + 0.05 * rng.normal(size=(2 * n, 24)),
+        "edge": lambda: one + 0.23 * rng.normal(size=(2 * n, 24)),
+        "loose": lambda: one + 0.6 * rng.normal(size=(2 * n, 24)),
+        "centres": lambda: some[rng.integers(0, 30, 2 * n)] + 0.25 * rng.normal(size=(2 * n, 24)),
+        "flat": lambda: rng.normal(size=(2 * n, 3)) @ rng.normal(size=(3, 24)),
+    }[kind]()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    times = rng.integers(1, 4, 2 * n)
+    times[:3] = 1 << 30
+    paired, cosines = [], cover_tree._cosines
+    monkeypatch.setattr(cover_tree, "_cosines", lambda x, i, y, j: paired.append(len(i)) or cosines(x, i, y, j))
+    for wide in (None, cover_tree.directions(x, 0.3163)):
+        a, b = (side(x, ids, times[ids], wide) for ids in (np.arange(n), np.arange(n, 2 * n)))
+        paired.clear()
+        edges = np.concatenate([cover_tree._pair(a, b, 0.95), cover_tree._pair(a, a, 0.95)], axis=1)
+        assert sum(paired) < 0.3 * 2 * n * n
+        link = x @ x.T >= 0.95
+        np.fill_diagonal(link, False)
+        assert (a.links == link[:n] @ times).all() and (b.links == link[n:, :n] @ times[:n]).all()
+        link[n:, n:] = False
+        low = cover_tree._lowest(2 * n, *np.nonzero(link))
+        assert (cover_tree._lowest(2 * n, *edges) == low).all() and edges.shape[1] <= 3 * n
+
+
 def test_blocks_without_structure_are_met_in_whole_matrices(monkeypatch):
     """Vectors far apart, some of them within the widest radius, and near copies: no node is looked at by itself for each pair."""
     rng = np.random.default_rng(4)
@@ -87,12 +125,7 @@ def test_blocks_without_structure_are_met_in_whole_matrices(monkeypatch):
     x[100:140] = x[3000] + 0.1 * rng.normal(size=(40, 48))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
 
-    def side(ids):
-        n = pa.array(np.ones(len(ids), np.int64))
-        v = vectors.packed(pa.ListArray.from_arrays(np.arange(0, 48 * len(ids) + 1, 48, dtype=np.int32), pa.array(x[ids].ravel())), n.is_valid(), "f8")
-        return cover_tree._Side(cover_tree._planted(pa.table({"rep": ids, "h": ids, "n": n, "v": v}), cover_tree.radii(0.3163), "f8"), None, "f8")
-
-    a, b = side(np.arange(3000)), side(np.arange(3000, 6000))
+    a, b = side(x, np.arange(3000)), side(x, np.arange(3000, 6000))
     asked, held = [], cover_tree.CoverTree.held
     monkeypatch.setattr(cover_tree.CoverTree, "held", lambda t, level, node: asked.append(node) or held(t, level, node))
     link = x[:3000] @ x[3000:].T >= 0.95
@@ -102,7 +135,7 @@ def test_blocks_without_structure_are_met_in_whole_matrices(monkeypatch):
     linked = set(np.flatnonzero(link.any(axis=1)).tolist()) | set((3000 + np.flatnonzero(link.any(axis=0))).tolist())
     assert set(edges.ravel().tolist()) == linked
     own = x[:3000] @ x[:3000].T >= 0.95
-    cover_tree._pair(c := side(np.arange(3000)), c, 0.95)
+    cover_tree._pair(c := side(x, np.arange(3000)), c, 0.95)
     assert (c.links == own.sum(axis=1) - 1).all()
 
 
