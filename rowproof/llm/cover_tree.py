@@ -13,6 +13,9 @@ Unit vectors at cosine c are sqrt(2 - 2c) apart, so the threshold is a distance.
   distance to the block's centre is within its ring, widened by the threshold, and no others. The block is held, its
   visitors stream past it block by block, for GROUP blocks a task; each time both trees are descended, node pairs are
   pruned by the covering radii, and the cosines of what is left are computed in double precision.
+* Nodes of a level meet in whole matrices of products, first in a few directions in which vectors are widest: parts there
+  and the lengths of the rest bound the cosine from above. Few hits go on pair by pair, many as matrices of what the nodes
+  hold. Levels with nearly as many nodes as the next are passed over, as a wide node of two rows prunes nothing.
 
 A task returns a row per vector (how many others it links with) and a spanning set of links, never all pairs.
 """

@@ -45,6 +45,7 @@ def unpacked(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
         column = column.combine_chunks()
     if not len(column):
         return np.zeros((0, 0))
+    column = column.cast(pa.binary())  # or a large one, by a setting
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(kind).astype(np.float64).reshape(len(column), -1)
 
